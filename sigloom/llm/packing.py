@@ -24,42 +24,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
-
-MEMO = 400_000
-_state: dict = {}
-
-
-def word_ids(path: str):
-    """bytes of a word -> its ids as little-endian bytes; each distinct word is tokenised once per worker."""
-    if path not in _state:
-        from tokenizers import Tokenizer
-
-        _state[path] = (Tokenizer.from_file(path), {})
-    tokenizer, memo = _state[path]
-
-    def learn(words: list[bytes]) -> None:
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list(set(words).difference(memo))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, tokenizer.encode_batch([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                memo[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    return memo, learn
-
+from . import tokens as T
 
 def pieces(batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """The vocabulary drops white space, so a text's ids are its words' ids one after another."""
     end = np.asarray([end_id], "<u4").tobytes()
-    memo, learn = word_ids(path)
+    tokenizer = T.lower_words(path)
     for block in B.blocks(batches):
         texts = [t.split() for t in block.texts()]
-        learn([w for t in texts for w in t])
+        known = tokenizer.learn({w for t in texts for w in t})
         ids = block.batch.column("doc_id").to_pylist()
         out: list[tuple] = []
         for doc, words in zip(ids, texts, strict=True):
-            raw = b"".join([memo[w] for w in words]) + end
+            raw = b"".join([known[w] for w in words]) + end
             total = len(raw) // 4
             for start in range(0, total, limit):
                 part = raw[4 * start : 4 * (start + limit)]
