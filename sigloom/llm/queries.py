@@ -6,16 +6,33 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import blocks, packing
+from . import blocks, decontaminate, language, packing, simhash
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(blocks.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048, end_id=1)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(blocks.documents(spark, sf_dir), shingle=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(blocks.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(blocks.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_simhash": op4_simhash,
+    "op9_language": op9_language,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
