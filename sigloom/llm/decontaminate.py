@@ -116,8 +116,9 @@ def shingle_counts(documents: DataFrame, wanted: dict[int, np.ndarray]) -> dict[
     return {int(np.int64(r["shingle"]).view(np.uint64)): r["n"] for r in counted.collect()}
 
 
-def scan(part: Windows, width: int, last: bool):
-    """The last part drops the text. Adds to `hits` the words (first, end) that windows of this part cover, and to `items` their items."""
+def scan(part: Windows, width: int, last: bool, carried: str):
+    """Adds to `hits` the words (first, end) that windows of this part cover, and to `items` their items. The last part
+    sums them up and drops the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.blocks(batches):
@@ -148,32 +149,27 @@ def scan(part: Windows, width: int, last: bool):
                             items.setdefault(d, set()).update(part.items[win[j]])
             b = block.batch
             old, names = b.column("hits").to_pylist(), b.column("items").to_pylist()
-            out = {
-                "doc_id": b.column("doc_id"),
-                "text": b.column("text"),
-                "n_words": pa.array(np.diff(first), pa.int64()),
-                "hits": pa.array([(x or []) + hits.get(i, []) for i, x in enumerate(old)], pa.list_(pa.int64())),
-                "items": pa.array([sorted({*(x or []), *items.get(i, ())}) for i, x in enumerate(names)], pa.list_(pa.string())),
-            }
+            hits_of = [(x or []) + hits.get(i, []) for i, x in enumerate(old)]
+            items_of = [sorted({*(x or []), *items.get(i, ())}) for i, x in enumerate(names)]
+            out = {carried: b.column(carried), "n_words": pa.array(np.diff(first), pa.int64())}
             if last:
-                del out["text"]
+                out["n_hit"] = pa.array([covered(x) for x in hits_of], pa.int64())
+                out["n_items"] = pa.array([len(x) for x in items_of], pa.int64())
+                out["items_sha256"] = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items_of], pa.string())
+            else:
+                out |= {"text": b.column("text"), "hits": pa.array(hits_of, pa.list_(pa.int64())), "items": pa.array(items_of, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
 
     return run
 
 
-def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_hit, shas, counts = [], [], []
-        for hits, items in zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
-            end = total = 0
-            for a, b in sorted(zip(hits[::2], hits[1::2], strict=True)) if hits else ():
-                total += max(0, b - max(a, end))
-                end = max(end, b)
-            n_hit.append(total)
-            counts.append(len(items))
-            shas.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+def covered(hits: list[int]) -> int:
+    """Words inside any of the ranges first, end, first, end ..."""
+    end = total = 0
+    for a, b in sorted(zip(hits[::2], hits[1::2], strict=True)):
+        total += max(0, b - max(a, end))
+        end = max(end, b)
+    return total
 
 
 def item_parts(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
@@ -190,14 +186,25 @@ def item_parts(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
     return parts
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, share: float = 0.05) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row per row."""
-    df = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<long>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+def judged(documents: DataFrame, benchmark: DataFrame, carried: str, width: int, shingle: int, share: float) -> DataFrame:
+    """(carried column, text) -> carried, n_words, n_hit, n_items, items_sha256, contaminated."""
+    kind = documents.schema[carried].dataType.simpleString()
+    df = documents.select(carried, "text", F.lit(None).cast("array<long>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     parts = item_parts(benchmark)
     for k, items in enumerate(parts, 1):
         part = Windows(items, width, shingle)
         part.order(shingle_counts(documents, part.shingles()))
-        last = k == len(parts)
-        df = df.mapInArrow(scan(part, width, last), "doc_id long, " + "text string, " * (not last) + "n_words long, hits array<long>, items array<string>")
-    out = df.select("doc_id", "n_words", "hits", "items").mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / share) >= F.col("n_words")))
+        more = "n_hit long, n_items long, items_sha256 string" if k == len(parts) else "text string, hits array<long>, items array<string>"
+        df = df.mapInArrow(scan(part, width, k == len(parts), carried), f"{carried} {kind}, n_words long, {more}")
+    return df.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / share) >= F.col("n_words")))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, share: float = 0.05) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row per row."""
+    return judged(documents.select("doc_id", "text"), benchmark, "doc_id", width, shingle, share)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, share: float = 0.05) -> DataFrame:
+    """The documents that are not contaminated, all their columns; no shuffle."""
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "text")
+    return judged(whole, benchmark, "row", width, shingle, share).where(~F.col("contaminated")).select("row.*")

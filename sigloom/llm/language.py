@@ -210,3 +210,22 @@ def identify(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     out = predict(documents, train(documents, path))
     return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents in a learned language by a posterior of at least `least`, all their columns. Without a learned
+    language nothing can be told: all stay."""
+    if not model.names:
+        return documents
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # languages x vocabulary numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = scorer(sent.value)
+        for block in B.blocks(batches):
+            texts = block.texts()
+            letters = np.array([has_letter(t) for t in texts], bool)
+            logs = s.score([words(t) if ok else [] for t, ok in zip(texts, letters, strict=True)])
+            best = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+            yield block.batch.filter(pa.array(letters & (best >= least)))
+
+    return documents.mapInArrow(run, documents.schema)

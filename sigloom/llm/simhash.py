@@ -153,3 +153,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(known.join(least, "root").select("fp", "component_id"), "fp")
+
+
+def survivors(documents: DataFrame, shingle: int = 3) -> DataFrame:
+    """One document of each group, that of the smallest doc_id; of rows that share it, one. All columns. Rows without a
+    doc_id cannot be told apart and stay."""
+    groups = near_duplicates(documents, shingle)
+    heads = groups.where("doc_id = component_id").groupBy("doc_id").count()
+    out = documents.join(heads.select("doc_id"), "doc_id", "left_semi")
+    if not heads.where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(documents.where("doc_id is null"))
