@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, decontaminate, language, packing, pii, simhash
+from . import blocks, counts, decontaminate, language, packing, pii, simhash
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counts.token_counts(blocks.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = blocks.documents(spark, sf_dir)
     return pii.find(documents, pii.train(documents))
@@ -36,6 +41,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
+    "op5_token_counts": op5_token_counts,
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,

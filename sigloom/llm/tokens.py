@@ -27,7 +27,7 @@ LETTERS = byte_letters()
 
 
 def written(s: str) -> str:
-    return s if s.isascii() and " " not in s else s.encode().decode("latin-1").translate(LETTERS)
+    return s if s.isascii() and s.isprintable() and " " not in s else s.encode().decode("latin-1").translate(LETTERS)
 
 
 #: letters of Latin-1, whose lower case and composed form are the same by any library, between ASCII punctuation
