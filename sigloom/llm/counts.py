@@ -132,8 +132,8 @@ def distinct_units(documents: DataFrame, path: str) -> DataFrame:
     return units.mapInArrow(count, "form string, n long, pieces long")
 
 
-def head_of(units: DataFrame, most: int = HEAD) -> tuple[int, dict[str, int]]:
-    """The least count n such that at most `most` units have n or more; those units and their pieces."""
+def head_of(units: DataFrame, most: int = HEAD, value: str = "pieces") -> tuple[int, dict[str, int]]:
+    """The units of the highest counts n, as many whole counts as make `most` units at most: how many, and unit -> value."""
     # counts below 1024 one by one, then in eighths of a power of two: some hundred rows
     step = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 8) + 1024.0 - 80)
     steps = {r["step"]: r["count"] for r in units.groupBy(step.alias("step")).count().collect()}
@@ -142,9 +142,9 @@ def head_of(units: DataFrame, most: int = HEAD) -> tuple[int, dict[str, int]]:
         if total + steps[s] > most:
             break
         total, least = total + steps[s], s
-    rows = units.where(step >= least).select("form", "pieces")
+    rows = units.where(step >= least).select("form", value)
     table = rows.toArrow() if total else None
-    return total, dict(zip(table["form"].to_pylist(), table["pieces"].to_pylist(), strict=True)) if table else {}
+    return total, dict(zip(table["form"].to_pylist(), table[value].to_pylist(), strict=True)) if table else {}
 
 
 def token_counts(documents: DataFrame, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, counts, decontaminate, language, packing, pii, simhash
+from . import blocks, bloomlm, counts, decontaminate, language, packing, pii, simhash
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.score(blocks.documents(spark, sf_dir))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = blocks.documents(spark, sf_dir)
     return pii.find(documents, pii.train(documents))
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op7_language_model": op7_language_model,
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
