@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bloomlm, counts, decontaminate, language, packing, pii, simhash
+from . import blocks, bloomlm, counts, decontaminate, language, packing, pii, simhash, substrings
+
+
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal(blocks.documents(spark, sf_dir), width=13, texts=False)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
