@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bloomlm, counts, decontaminate, language, packing, pii, simhash, substrings
+from . import blocks, bloomlm, counts, decontaminate, language, packing, pii, preference, rotatedbits, simhash, substrings
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(blocks.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048, end_id=1)
 
 
+def op3_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.formatted(preference.neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(blocks.documents(spark, sf_dir), shingle=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotatedbits.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10, every=100)
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomlm.score(blocks.documents(spark, sf_dir))
 
@@ -49,12 +57,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_packing": op2_packing,
+    "op3_chat_preference": op3_chat_preference,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_model": op7_language_model,
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_chat_preference": preference.ORACLE}
