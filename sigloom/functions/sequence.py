@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import indices, let
+from .arrays import at, indices, let
 
 MATCH, INSERT, DELETE, SKIP, SOFT, HARD, PAD, EQUAL, DIFFER = range(9)  # CIGAR operation codes
 MATCHING, ON_REFERENCE, ON_QUERY = (MATCH, EQUAL, DIFFER), (MATCH, DELETE, SKIP, EQUAL, DIFFER), (MATCH, INSERT, SOFT, EQUAL, DIFFER)
@@ -20,11 +22,16 @@ def motif_hits(sequence: Column, motif: str, start: Column | None = None, stop:
     """All places, overlapping ones too, where the motif stands in upper or lower case, inside [start, stop)."""
     first = F.greatest(F.lit(0), start) if start is not None else F.lit(0)
 
-    def of(upper: Column) -> Column:
-        last = F.least(F.length(upper), stop) if stop is not None else F.length(upper)
-        return F.filter(indices(last - len(motif) + 1), lambda p: (p >= first) & (F.substring(upper, p + 1, F.lit(len(motif))) == motif.upper()))
+    def of(letters: Column) -> Column:
+        last = F.least(F.size(letters), stop) if stop is not None else F.size(letters)
+
+        def hit(p: Column) -> Column:
+            return reduce(Column.__and__, [at(letters, p + j) == c for j, c in enumerate(motif.upper())], p >= first)
+
+        return F.filter(indices(last - len(motif) + 1), hit)
 
-    return let(capital(sequence), of)
+    # letters in an array: looking one up is the same work anywhere, whereas substring() counts from the start
+    return let(F.split(capital(sequence), ""), of)
 
 
 def base_codes(sequence: Column) -> Column:
@@ -45,7 +52,7 @@ def one_hot(sequence: Column) -> Column:
 def kmers(sequence: Column, k: int) -> Column:
     """The k-mer that starts at every place, in upper case with T for U."""
     upper = F.replace(capital(sequence), F.lit("U"), F.lit("T"))
-    return let(upper, lambda s: F.transform(indices(F.length(s) - k + 1), lambda i: F.substring(s, i + 1, F.lit(k))))
+    return let(F.split(upper, ""), lambda s: F.transform(indices(F.size(s) - k + 1), lambda i: F.array_join(F.slice(s, i + 1, F.lit(k)), "")))
 
 
 def context(sequence: Column, base: Column, before: int, after: int) -> Column:

@@ -33,7 +33,7 @@ def called(tally: DataFrame) -> DataFrame:
     """The class of most votes, the earlier of equal ones, and its share (0 if there are no votes)."""
     best = tally.groupBy("read_id").agg(F.max(F.struct("votes", (-F.col("place")).alias("first"), "class")).alias("x"), F.sum("votes").alias("all"))
     share = F.when(F.col("all") > 0, F.col("x.votes") / F.col("all")).otherwise(F.lit(0.0))
-    return best.select("read_id", F.col("x.class").alias("call"), F.round(share, 6).alias("confidence"))
+    return best.select("read_id", F.col("x.class").alias("call"), F.round(share, 9).alias("confidence"))
 
 
 def pairwise(votes: DataFrame, pairs: DataFrame, weighted: bool = False) -> DataFrame:
