@@ -15,7 +15,7 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 NULL_ID = np.iinfo(np.int64).max  # the place of a null doc_id: after all others
 
 _rng = np.random.default_rng(20240229)
@@ -119,6 +119,18 @@ def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> np.ndarray:
     return batch.column(column).cast(pa.int64()).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
 
 
+_kept: dict = {}
+
+
+def remembered(name: tuple, make):
+    """What a worker remembers between tasks: one thing at a time, so that a worker which serves one operator after
+    another doesn't add up their memories."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def scratch(spark, name: str) -> str:
     """A new folder that all executors share: below spark.checkpoint.dir. Only where that is unset, as in tests, is it local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

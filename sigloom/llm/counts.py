@@ -34,8 +34,6 @@ WHITE = "\t-\r \x85\xa0  -     　"
 UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 RUN = re.compile(f"[{WHITE}][{WHITE}]|\x01")
 
-_loaded: dict = {}
-
 
 class PieceCounter:
     """Pieces of units, as the file gives them."""
@@ -72,9 +70,7 @@ class PieceCounter:
 
 
 def counter(path: str) -> PieceCounter:
-    if path not in _loaded:
-        _loaded[path] = PieceCounter(path)
-    return _loaded[path]
+    return B.remembered(("pieces", path), lambda: PieceCounter(path))
 
 
 def form_of(unit: str) -> str:

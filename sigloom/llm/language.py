@@ -31,7 +31,7 @@ from . import blocks as B
 PER_LANGUAGE = 3000
 CUT, LONGEST = 40, 16
 ADDED, UNKNOWN = 0.1, 1e-7
-KEPT_VALUES = 4_000_000  # log probabilities that a worker remembers
+KEPT_VALUES = 1_600_000  # log probabilities that a worker remembers
 MARK = "▁"
 GAP = np.ones(256, bool)
 GAP[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -158,14 +158,8 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    if model.key not in _scorers:
-        _scorers.clear()
-        _scorers[model.key] = Scorer(model)
-    return _scorers[model.key]
+    return B.remembered(("words", model.key), lambda: Scorer(model))
 
 
 def has_letter(text: bytes) -> bool:

@@ -11,9 +11,9 @@ import re
 
 import numpy as np
 
-from . import blocks as B  # noqa: F401  sets the tokenizers library to one thread
+from . import blocks as B
 
-WORDS, CORES = 300_000, 1_000_000  # entries that a worker remembers
+WORDS, CORES = 200_000, 800_000  # entries that a worker remembers
 
 
 def byte_letters() -> dict[int, str]:
@@ -33,8 +33,6 @@ def written(s: str) -> str:
 #: letters of Latin-1, whose lower case and composed form are the same by any library, between ASCII punctuation
 PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
-_loaded: dict = {}
-
 
 class LowerWordTokenizer:
     """For a vocabulary that lower-cases and drops white space: word (bytes without ASCII white space) -> ids."""
@@ -73,6 +71,4 @@ class LowerWordTokenizer:
 
 
 def lower_words(path: str) -> LowerWordTokenizer:
-    if path not in _loaded:
-        _loaded[path] = LowerWordTokenizer(path)
-    return _loaded[path]
+    return B.remembered(("lower words", path), lambda: LowerWordTokenizer(path))
