@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from . import similar
 from .components import components
 
 SHARE, WORK = 4096, 4_000_000  # distinct fingerprints a leading pattern; variants written out at once
@@ -155,12 +156,18 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.join(known.join(least, "root").select("fp", "component_id"), "fp")
 
 
-def survivors(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """One document of each group, that of the smallest doc_id; of rows that share it, one. All columns. Rows without a
-    doc_id cannot be told apart and stay."""
+def survivors(documents: DataFrame, shingle: int = 3, similar_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group, that of the smallest doc_id; of rows that share it, one. A group is joined by
+    fingerprints within the radius and, between what those leave, by shingle sets of the similarity. All columns. Rows
+    without a doc_id cannot be told apart and stay."""
+    spark = documents.sparkSession
     groups = near_duplicates(documents, shingle)
-    heads = groups.where("doc_id = component_id").groupBy("doc_id").count()
-    out = documents.join(heads.select("doc_id"), "doc_id", "left_semi")
-    if not heads.where("count > 1").isEmpty():
+    folder = B.scratch(spark, "heads")
+    groups.where("doc_id = component_id").groupBy("doc_id").count().write.parquet(folder)
+    heads = spark.read.parquet(folder)
+    alike = components(similar.links(documents, heads.select("doc_id"), similar_shingle, similarity))
+    kept = heads.join(alike.where("node != root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    out = documents.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if not kept.where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(documents.where("doc_id is null"))
