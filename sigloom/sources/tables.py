@@ -42,7 +42,7 @@ def comparisons(spark: SparkSession, path: str) -> DataFrame:
     bad = rows.where(F.size(parts) != 4).limit(1).collect()
     if bad:
         raise ValueError(f"{path}: not four columns: {bad[0]['value']!r}")
-    labels = lambda i: F.transform(F.split(parts[i], ","), F.trim)
+    labels = lambda i: F.transform(F.split(parts[i], ","), lambda x: F.trim(x))
     return rows.select(F.trim(parts[0]).alias("meta1"), labels(1).alias("labels1"), F.trim(parts[2]).alias("meta2"), labels(3).alias("labels2"))
 
 
