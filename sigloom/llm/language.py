@@ -32,7 +32,7 @@ PER_LANGUAGE = 3000
 CUT, LONGEST = 40, 16
 ADDED, UNKNOWN = 0.1, 1e-7
 KEPT_VALUES = 1_600_000  # log probabilities that a worker remembers
-MARK = "▁"
+MARK = "\u2581"  # stands before a word in the vocabulary
 GAP = np.ones(256, bool)
 GAP[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
