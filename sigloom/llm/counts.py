@@ -30,7 +30,7 @@ from .tokens import PLAIN, written
 
 HEAD, FLUSH, CORES = 300_000, 600_000, 1_000_000
 #: White space as the tokenizer's regular expressions have it.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 RUN = re.compile(f"[{WHITE}][{WHITE}]|\x01")
 
