@@ -165,7 +165,8 @@ def survivors(documents: DataFrame, shingle: int = 3, similar_shingle: int = 5,
     folder = B.scratch(spark, "heads")
     groups.where("doc_id = component_id").groupBy("doc_id").count().write.parquet(folder)
     heads = spark.read.parquet(folder)
-    alike = components(similar.links(documents, heads.select("doc_id"), similar_shingle, similarity))
+    none = spark.createDataFrame([], "a long, b long")
+    alike = similar.groups(documents.join(heads, "doc_id", "left_semi"), none, similar_shingle, similarity)
     kept = heads.join(alike.where("node != root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
     out = documents.join(kept.select("doc_id"), "doc_id", "left_semi")
     if not kept.where("count > 1").isEmpty():
