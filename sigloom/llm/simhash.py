@@ -157,17 +157,16 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def survivors(documents: DataFrame, shingle: int = 3, similar_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group, that of the smallest doc_id; of rows that share it, one. A group is joined by
-    fingerprints within the radius and, between what those leave, by shingle sets of the similarity. All columns. Rows
-    without a doc_id cannot be told apart and stay."""
+    """One document of each group, that of the smallest doc_id; of rows that share it, one. Groups are the components of
+    both kinds of links over all documents: fingerprints within the radius, and shingle sets of the similarity. All
+    columns. Rows without a doc_id cannot be told apart and stay."""
     spark = documents.sparkSession
-    groups = near_duplicates(documents, shingle)
-    folder = B.scratch(spark, "heads")
-    groups.where("doc_id = component_id").groupBy("doc_id").count().write.parquet(folder)
-    heads = spark.read.parquet(folder)
-    none = spark.createDataFrame([], "a long, b long")
-    alike = similar.groups(documents.join(heads, "doc_id", "left_semi"), none, similar_shingle, similarity)
-    kept = heads.join(alike.where("node != root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    folder = B.scratch(spark, "near")
+    near_duplicates(documents, shingle).select("doc_id", "component_id").where("doc_id is not null").write.parquet(folder)
+    near = spark.read.parquet(folder)
+    known = near.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    grouped = similar.groups(documents, known, similar_shingle, similarity)
+    kept = near.groupBy("doc_id").count().join(grouped.where("node != root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
     out = documents.join(kept.select("doc_id"), "doc_id", "left_semi")
     if not kept.where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sigloom.llm import similar
+from sigloom.llm import similar, simhash
 
 
 def text(words):
@@ -92,6 +92,13 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch, block):
     assert len(set(want.values())) < len(rows) - 60
 
 
+def test_survivors_of_a_star(spark):
+    texts = star(random.Random(3))
+    rows = list(enumerate(texts, 1))
+    assert set(smallest(rows, all_pairs(rows)).values()) == {1}
+    assert [r["doc_id"] for r in simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [1]
+
+
 def test_parities_bound_what_sets_do_not_share():
     rng = np.random.default_rng(1)
     x = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
