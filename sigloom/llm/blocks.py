@@ -6,9 +6,11 @@ bound makes a block of its own, so no text is ever cut.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +25,21 @@ BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
+KEPT_POWERS = 4 << 20  # a longer text's powers are not kept
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, b in (("up", BASE), ("down", BASE_INV)):
-            out = np.full(size, b, np.uint64)
-            out[0] = 1
-            _powers[name] = np.multiply.accumulate(out)
-    return _powers["up"][:n], _powers["down"][:n]
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    made = {}
+    for name, b in (("up", BASE), ("down", BASE_INV)):
+        out = np.full(max(n, 1 << 20), b, np.uint64)
+        out[0] = 1
+        made[name] = np.multiply.accumulate(out)
+    if n <= KEPT_POWERS:
+        _powers.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -57,7 +63,9 @@ class Block:
         return [raw[a:b] for a, b in zip(o, o[1:], strict=False)]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, owner: str = "") -> Iterator[Block]:
+    """owner: the operator whose remembered things a worker keeps meanwhile."""
+    serving(owner)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -72,6 +80,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
             yield Block(batch, text, lo, hi, offsets, data)
             lo = hi
+        del batch, text, where, raw, offsets, data
+    released()
 
 
 SPACE = np.zeros(256, bool)
@@ -119,29 +129,92 @@ def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> np.ndarray:
     return batch.column(column).cast(pa.int64()).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
 
 
-_kept: dict = {}
+_kept: dict[str, dict[str, tuple]] = {}
 
 
-def remembered(name: tuple, make):
-    """What a worker remembers between tasks: one thing at a time, so that a worker which serves one operator after
-    another doesn't add up their memories."""
-    if name not in _kept:
+def serving(owner: str) -> None:
+    """A worker serves one operator after another: it forgets what it remembers for any other than this one."""
+    if _kept and owner not in _kept:
         _kept.clear()
-        _kept[name] = make()
-    return _kept[name]
+        released()
+
+
+def remembered(owner: str, slot: str, key: object, make: Callable):
+    """What a worker remembers for an operator between tasks; a slot holds one thing."""
+    serving(owner)
+    held = _kept.setdefault(owner, {})
+    if slot not in held or held[slot][0] != key:
+        held.pop(slot, None)
+        held[slot] = (key, make())
+    return held[slot][1]
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def released() -> None:
+    """Gives unused memory back to the system: an idle worker is alive for a minute."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def trimmed(f: Callable) -> Callable:
+    """A function of groups that gives memory back after each."""
+    if f.__code__.co_argcount == 1:
+
+        def one(group: pa.Table) -> pa.Table:
+            serving("")
+            out = f(group)
+            del group
+            released()
+            return out
+
+        return one
+
+    def two(group: pa.Table, other: pa.Table) -> pa.Table:
+        serving("")
+        out = f(group, other)
+        del group, other
+        released()
+        return out
+
+    return two
+
+
+BATCH, USUAL, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4m"
+
+
+def small_batches(spark) -> None:
+    """Rows travel to Python in batches of some MB, unless the session has its own setting: texts and sets can be long."""
+    now = str(spark.conf.get(BATCH, str(USUAL))).lower()
+    if now in (str(USUAL), f"{USUAL}b", "64m", "64mb"):
+        spark.conf.set(BATCH, SMALL)
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir. Only where that is unset, as in tests, is it local."""
+    """A new folder that all executors share: below spark.checkpoint.dir. Where that is unset, a local master alone gets a
+    folder of its own, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
-        base = tempfile.mkdtemp(prefix="spark-")
+        if "folder" not in _local:
+            _local["folder"] = tempfile.mkdtemp(prefix="spark-")
+        base = _local["folder"]
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_local: dict = {}
+
+
 def documents(spark, sf_dir: str):
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -70,7 +70,7 @@ class PieceCounter:
 
 
 def counter(path: str) -> PieceCounter:
-    return B.remembered(("pieces", path), lambda: PieceCounter(path))
+    return B.remembered("counts", "pieces", path, lambda: PieceCounter(path))
 
 
 def form_of(unit: str) -> str:
@@ -110,7 +110,7 @@ def distinct_units(documents: DataFrame, path: str) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["form", "n"])
 
-        for block in B.blocks(batches):
+        for block in B.blocks(batches, owner="counts"):
             for text in block.texts():
                 seen.update(forms(text.decode("utf-8", "replace"), cut)[0])
             if len(seen) > FLUSH:
@@ -154,7 +154,7 @@ def token_counts(documents: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, known = counter(path).cut, sent.value
-        for block in B.blocks(batches):
+        for block in B.blocks(batches, owner="counts"):
             sums, rest_form, rest_n, rest_of = [], [], [], [0]
             for text in block.texts():
                 found, n = forms(text.decode("utf-8", "replace"), cut)

@@ -188,6 +188,7 @@ def item_parts(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
 
 def judged(documents: DataFrame, benchmark: DataFrame, carried: str, width: int, shingle: int, share: float) -> DataFrame:
     """(carried column, text) -> carried, n_words, n_hit, n_items, items_sha256, contaminated."""
+    B.small_batches(documents.sparkSession)
     kind = documents.schema[carried].dataType.simpleString()
     df = documents.select(carried, "text", F.lit(None).cast("array<long>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     parts = item_parts(benchmark)

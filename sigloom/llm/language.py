@@ -159,7 +159,7 @@ class Scorer:
 
 
 def scorer(model: Model) -> Scorer:
-    return B.remembered(("words", model.key), lambda: Scorer(model))
+    return B.remembered("language", "words", model.key, lambda: Scorer(model))
 
 
 def has_letter(text: bytes) -> bool:
@@ -167,6 +167,7 @@ def has_letter(text: bytes) -> bool:
 
 
 def train(documents: DataFrame, path: str, per_language: int = PER_LANGUAGE) -> Model:
+    B.small_batches(documents.sparkSession)
     labelled = documents.where(is_training() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("all"))
     # a hash threshold by language: no sort, no window over a language's rows

@@ -30,7 +30,7 @@ def pieces(batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: int
     """The vocabulary drops white space, so a text's ids are its words' ids one after another."""
     end = np.asarray([end_id], "<u4").tobytes()
     tokenizer = T.lower_words(path)
-    for block in B.blocks(batches):
+    for block in B.blocks(batches, owner="packing"):
         texts = [t.split() for t in block.texts()]
         known = tokenizer.learn({w for t in texts for w in t})
         ids = block.batch.column("doc_id").to_pylist()
@@ -150,6 +150,7 @@ def placed(rows: DataFrame, table: dict[int, np.ndarray]) -> DataFrame:
 def pack(documents: DataFrame, path: str, limit: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = documents.sparkSession
+    B.small_batches(spark)
     folder = B.scratch(spark, "pieces")
     tokenised(documents, path, limit, end_id).write.parquet(folder)
     rows = spark.read.parquet(folder)

@@ -143,12 +143,18 @@ def links(fps: DataFrame, count: int, radius: int = 3) -> DataFrame:
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp, component_id, one row per row."""
+def written(documents: DataFrame, shingle: int) -> DataFrame:
+    """The fingerprints in the shared folder: they are read more than once."""
     spark = documents.sparkSession
+    B.small_batches(spark)
     folder = B.scratch(spark, "fingerprints")
     fingerprints(documents, shingle).write.parquet(folder)
-    rows = spark.read.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, fp, component_id, one row per row."""
+    rows = written(documents, shingle)
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct, distinct.count()))
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -160,13 +166,14 @@ def survivors(documents: DataFrame, shingle: int = 3, similar_shingle: int = 5,
     """One document of each group, that of the smallest doc_id; of rows that share it, one. Groups are the components of
     both kinds of links over all documents: fingerprints within the radius, and shingle sets of the similarity. All
     columns. Rows without a doc_id cannot be told apart and stay."""
-    spark = documents.sparkSession
-    folder = B.scratch(spark, "near")
-    near_duplicates(documents, shingle).select("doc_id", "component_id").where("doc_id is not null").write.parquet(folder)
-    near = spark.read.parquet(folder)
-    known = near.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    rows = written(documents, shingle).where("doc_id is not null")
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    near = links(least, least.count())
+    a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"doc_{x}")) for x in "ab")
+    known = near.join(a, "a").join(b, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    known = known.unionByName(rows.join(least, "fp").where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     grouped = similar.groups(documents, known, similar_shingle, similarity)
-    kept = near.groupBy("doc_id").count().join(grouped.where("node != root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    kept = rows.groupBy("doc_id").count().join(grouped.where("node != root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
     out = documents.join(kept.select("doc_id"), "doc_id", "left_semi")
     if not kept.where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])

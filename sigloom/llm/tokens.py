@@ -71,4 +71,4 @@ class LowerWordTokenizer:
 
 
 def lower_words(path: str) -> LowerWordTokenizer:
-    return B.remembered(("lower words", path), lambda: LowerWordTokenizer(path))
+    return B.remembered("packing", "words", path, lambda: LowerWordTokenizer(path))
