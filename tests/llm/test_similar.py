@@ -104,4 +104,7 @@ def test_parities_bound_what_sets_do_not_share():
     x = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
     for n in (0, 1, 20, 300):
         y = np.unique(np.concatenate((x[n:], rng.integers(0, 2**63, n, dtype=np.uint64))))
-        assert np.bitwise_count((similar.parities(x) ^ similar.parities(y)).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+        assert similar.apart(similar.parities(x), similar.parities(y)) <= len(np.setxor1d(x, y))
+    longer = np.unique(np.concatenate((x, rng.integers(0, 2**63, 700, dtype=np.uint64))))
+    assert 256 / 4 < similar.apart(similar.parities(x), similar.parities(longer)) <= 700
+    assert similar.apart(similar.parities(longer), similar.parities(longer)) == 0
