@@ -297,8 +297,27 @@ def test_op9_forward_sums_all_segmentations():
 
     for word in ("the", "ation", "über", "日本"):
         assert np.allclose(s.score([[word.encode()]])[0], np.log(total("▁" + word)))
-    long = s.score([[b"abc" * 400]])
-    assert np.isfinite(long).all()
+    assert np.isfinite(s.score([[b"abc" * 400]])).all()
+
+
+def test_op9_long_words_are_summed_whole(monkeypatch):
+    import random
+
+    monkeypatch.setattr(language, "STRETCH", 37)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(5)
+    model = language.Model(path, [(("en", "fr")[i % 2], rng.randrange(300, 30_000), i) for i in range(2000)])
+    s = language.Scorer(model)
+    for n in (41, 64, 65, 160, 333):
+        word = "".join(rng.choice(["the", "ation", "é", "日本", "x", "ing"]) for _ in range(n))[:n]
+        assert np.allclose(s.forward_long("▁" + word), s.forward(["▁" + word])[0], rtol=1e-12)
+        assert np.allclose(s.score([[word.encode(), b"the"]])[0], s.forward(["▁" + word])[0] + s.forward(["▁the"])[0])
+
+
+def test_op9_a_megabyte_without_spaces():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    s = language.Scorer(language.Model(path, [("en", 300, 5), ("fr", 400, 7)]))
+    assert np.isfinite(s.score([[b"a" * 200_000]])).all()
 
 
 def test_op10_hits_are_those_of_every_window(spark, corpus):
