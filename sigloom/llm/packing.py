@@ -2,8 +2,9 @@
 
 1. Each text is tokenised once. A document's ids are cut into pieces of `limit` ids; only the last may be shorter.
 2. The pieces' lengths are counted: at most `limit` counts, whatever the number of documents.
-3. On that histogram, lengths are placed longest first, each count of pieces into the packs whose room fits it most
-   tightly, the packing patterns' counts being split as needed. The driver holds patterns, never pieces.
+3. On that histogram, lengths are placed longest first, each piece into the shortest pack there is, which has the most
+   room, and into a new one if it doesn't fit there. Packs of one pattern are counted, and counts are split as needed, so
+   a step places as many pieces as there are such packs. The driver holds patterns, never pieces.
 4. Pieces are joined back to patterns by their rank among the pieces of their length. Ranks come from counts per
    (bucket of doc_id, length) and a window inside each bucket, so a length that a third of all pieces share is ranked
    in as many tasks as there are buckets.
@@ -15,7 +16,7 @@ like any other. No rows: no pieces. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import tokens as T
 
+BUCKET = 200_000  # pieces that are ranked in one window, of all lengths
+
 def pieces(batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """The vocabulary drops white space, so a text's ids are its words' ids one after another."""
     end = np.asarray([end_id], "<u4").tobytes()
@@ -68,9 +71,8 @@ def packs(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...],
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
-                # no pack has room: as many of this length as fit side by side, then one pack with the rest
+            if not rooms or rooms[-1] < length:
+                # no pack has room: a new one is the shortest until it is full, so pieces of this length fill it
                 side = max(1, limit // length)
                 full, rest = divmod(left, side)
                 if full:
@@ -78,22 +80,15 @@ def packs(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...],
                 if rest:
                     put(limit - rest * length, (length,) * rest, 1)
                 break
-            room = rooms[at]
+            room = rooms[-1]
             pattern, count = open_packs[room].pop()
             if not open_packs[room]:
-                rooms.pop(at)
-            fit = room // length
-            full, rest = divmod(left, fit)
-            used = min(count, full)
-            if used:
-                put(room - fit * length, pattern + (length,) * fit, used)
-                left -= used * fit
-                count -= used
-            elif rest:
-                put(room - rest * length, pattern + (length,) * rest, 1)
-                left, count = 0, count - 1
-            if count:
-                put(room, pattern, count)
+                rooms.pop()
+            used = min(count, left)
+            left -= used
+            if count > used:
+                put(room, pattern, count - used)
+            put(room - length, (*pattern, length), used)
     done += [x for room in rooms for x in open_packs[room]]
     return done
 
@@ -157,4 +152,5 @@ def pack(documents: DataFrame, path: str, limit: int = 2048, end_id: int = 1) ->
     # at most `limit` rows reach the driver
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     table = slots(packs(histogram, limit))
-    return placed(ranked(rows, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))), table)
+    parts, n = int(spark.conf.get("spark.sql.shuffle.partitions")), sum(histogram.values())
+    return placed(ranked(rows, max(8 * parts, n // BUCKET)), table)

@@ -89,6 +89,41 @@ def test_op2_patterns_place_all_lengths():
         assert placed == Counter(histogram)
 
 
+def one_by_one(histogram, limit):
+    """The totals of shortest-pack-first, a piece at a time."""
+    packs = []
+    for length in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+        k = min(range(len(packs)), key=packs.__getitem__, default=None)
+        if k is None or packs[k] + length > limit:
+            packs.append(length)
+        else:
+            packs[k] += length
+    return sorted(packs)
+
+
+def test_op2_is_shortest_pack_first():
+    import random
+
+    assert sorted(packing.packs({10: 1, 8: 1, 2: 1}, 12)) == [((8, 2), 1), ((10,), 1)]
+    rng = random.Random(6)
+    for _ in range(150):
+        histogram = {rng.randint(1, 64): rng.randint(1, 30) for _ in range(rng.randint(1, 25))}
+        assert sorted(sum(p) for p, n in packing.packs(histogram, 64) for _ in range(n)) == one_by_one(histogram, 64)
+
+
+def test_op2_patterns_of_many_pieces_are_few():
+    import random
+    import time
+
+    rng = random.Random(7)
+    histogram = {k: rng.randint(1, 40_000_000 // k) for k in range(1, 2048)} | {2048: 10_000_000}
+    began = time.time()
+    found = packing.packs(histogram, 2048)
+    assert time.time() - began < 60 and len(found) < 200_000
+    total = sum(k * n for k, n in histogram.items())
+    assert sum(n for _, n in found) <= 1.02 * total / 2048 + 1
+
+
 def test_op4_components_are_those_of_all_pairs(spark, corpus):
     folder, rows = corpus
     fps = []
