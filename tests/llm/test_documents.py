@@ -249,6 +249,67 @@ def test_op8_emails_as_the_pattern_finds_them():
         assert list(pii.emails(s)) == [m.span() for m in pii.EMAIL.finditer(s)], s
 
 
+def test_op8_long_runs_are_linear_and_do_not_crash():
+    import time
+
+    began = time.time()
+    assert pii.rules("x " + "0" * 5000 + ".1.1.1 y") == [(1, 2, 5008)]
+    for text in ("0" * 1_000_000 + ".1.1.1 y", "1." * 500_000, "@" * 500_000, "1" * 1_000_000, "a@" * 500_000, "+1(" * 300_000, "a" * 1_000_000 + "@"):
+        pii.rules(text)
+    many = "a@b.cd " * 50_000
+    assert len(pii.merged(many, pii.rules(many), [(2, 7 * k, 7 * k + 3) for k in range(50_000)])) == 50_000
+    assert time.time() - began < 20
+
+
+def test_op8_ips_as_the_pattern_finds_them():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(20000):
+        s = "".join(rng.choice("12.. a") for _ in range(rng.randint(0, 20)))
+        assert [m.span() for m in pii.WHOLE_IP.finditer(s)] == [m.span() for m in pii.IP.finditer(s)], s
+
+
+def test_op8_tagger_adds_what_no_rule_matches(spark):
+    documents = blocks.documents(spark, "/root/testdata/sf0.01")
+    model = pii.train(documents)
+    texts = [r["text"] or "" for r in documents.collect()]
+    rng = np.random.default_rng(99)
+    entities = [[t[a:b] for t in texts for k, a, b in pii.rules(t) if k == kind] for kind in range(4)]
+    plain = [t for t in texts if len(t) > 300 and not pii.TRIGGER.search(t)]
+    made, spans = [], []
+    for _ in range(200):
+        kind = int(rng.integers(4))
+        body, entity = plain[rng.integers(len(plain))], entities[kind][rng.integers(len(entities[kind]))]
+        entity = pii.varied(kind, entity, rng)
+        cut = int(rng.integers(20, 200))
+        made.append(f"{body[:cut]} {entity} {body[cut:]}")
+        spans.append((kind, cut + 1, cut + 1 + len(entity)))
+    got = pii.all_spans(model, made)
+    found = sum(any(k == kind and c < b and a < d for k, c, d in every) for (kind, a, b), (_, every) in zip(spans, got, strict=True))
+    wrong = sum(not (c < b and a < d) for (_, a, b), (_, every) in zip(spans, got, strict=True) for _, c, d in every)
+    assert found >= 0.85 * len(made) and wrong <= 0.02 * len(made)
+    assert sum(len(base) for base, _ in got) < 0.2 * len(made)
+    assert all(set(base) <= set(every) for base, every in got)
+    assert not any(every for _, every in pii.all_spans(model, plain))
+
+
+def test_op8_posteriors_are_those_of_all_paths():
+    import itertools
+
+    from sigloom.llm.tagger import Tagger
+
+    m = Tagger(3, embed=4, hidden=3)
+    m.w["step"] = np.random.default_rng(4).normal(size=(3, 3)).astype(np.float32)
+    scores = np.random.default_rng(5).normal(size=(2, 5, 3))
+    best, sure = m.certain(scores)
+    for s, b, p in zip(scores, best, sure, strict=True):
+        paths = {t: np.exp(sum(s[i, x] for i, x in enumerate(t)) + sum(m.w["step"][x, y] for x, y in zip(t, t[1:]))) for t in itertools.product(range(3), repeat=5)}
+        total = sum(paths.values())
+        assert tuple(b) == max(paths, key=paths.get)
+        assert np.allclose(p, [sum(v for t, v in paths.items() if t[i] == b[i]) / total for i in range(5)], rtol=1e-5)
+
+
 def test_op8_tagger_learns_held_out_spans():
     import random
 
