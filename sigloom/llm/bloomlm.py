@@ -1,27 +1,34 @@
 """A smoothed bigram model in a log-frequency Bloom filter.
 
-Counting. Tokens are words (A-Z lower-cased) and one end a text; the end also stands before a text's first token. Each
-task counts its distinct (context, token) pairs and sends them to shards by context; a shard has all pairs of its
-contexts, so it also knows each context's own count.
+Tokens are words (A-Z lower-cased) and one end a text; the end also stands before a text's first token. So a token's count
+as a context is its count as a token, and the filter's events are tokens and (context, token) pairs.
 
-Filter. A count c of at least `least` has level 1 + floor(log(c / least) / log(base)); the filter holds the keys
-(event, 1) .. (event, level). A count is read back by probing levels 1, 2, ... until one is missing. Each shard writes
-its own segment, sized for its keys. Events: a context's count, what its rare pairs leave over, and its pairs' counts.
+Filter. A count c has the level of the largest of VALUES that is at most c (1, 2 ... 8, then steps of a quarter); the filter
+holds the keys (event, 1) .. (event, level). A count is read back by probing levels until one is missing. Every event of
+the training texts is held, however rare and however many there are, so the filter grows with the corpus and cannot be
+sent to all workers, as one of a fixed size could: it is cut into segments by the event's hash, each of bounded size, and
+probes go to the segments.
 
-`least` is RESOLUTION * N, N being the tokens trained on (1 at least): an event is held if its relative frequency is at
-least RESOLUTION, whatever the corpus's size. As 1 + log(x) / log(base) <= 2.1 x for the bases used and x >= 1, the keys
-are at most 2.1 * 3 / RESOLUTION: that bounds the filter that is broadcast, for any corpus. Counting covers all texts.
+1. Rows are dealt into blocks of some MB by a hash of the row. (This one exchange of the texts is read twice.)
+2. A block sends its distinct events to the segments, each with how often the block's training rows have it.
+3. A segment's task sums the counts, builds the segment and probes it once for each distinct event that was asked for; the
+   levels go back to the blocks, in the order of the request. Tokens also get their exact count, for the base score.
+4. A block scores its rows.
 
-Probability of w after h: (p(h, w) + (rest(h) + MU) * q(w)) / (count(h) + MU). p: the pair's count as read, less half of
-`least`; rest(h): what h's count has besides its held pairs; q: add-0.1 unigrams from the counts as read, the events that
-are not held sharing their mass equally. A context that is not held gives q(w).
+An event travels at most once a block, and segments are cut by the pair's hash, so a frequent context or token fills no
+segment.
 
-The base score (add-0.1 unigrams from exact counts) joins word counts to the documents: the HEAD most frequent words are
-sent to the workers, the rest is joined by a shuffle. Words are told apart by 64-bit hashes: among a billion distinct
-words, two share one with a chance of some 3 %, and those two would then be counted as one.
+Probability of w after h: (n(h, w) + MU * q(w)) / (n(h) + MU). n(h, w): the pair's count as read, the lower end of its level;
+n(h): the upper end of the context's; q: add-0.1 unigrams from counts as read. Over all w it sums to at most 1, but for
+false positives (some 0.8 % of the events that were never seen read as seen once). A context that was never seen gives q(w).
+
+The base score is add-0.1 unigrams from exact counts. Words are told apart by 64-bit hashes: among a billion distinct words,
+two share one with a chance of some 3 %, and those two would then be counted as one. Pairs are told apart by 40 bits beside
+their segment, whose size is bounded.
 
 Null or empty text: the end token alone. Null doc_id: scored, not learned from, not held out. Repeated rows keep their
-own rows and count as often as they are there. No training rows: counts of 0. Other columns are ignored.
+own rows and count as often as they are there. No training rows: counts of 0. A text of many MB is a block of its own.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,20 +38,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .counts import head_of
 
-RESOLUTION, MU, PROBES, ADDED = 2.0**-25, 4.0, 5, 0.1
-FINE, COARSE = 1.25, 1.5  # bases of the levels of contexts and of pairs
-FLUSH = 1_000_000  # tokens that a task counts at once
-SCORED = 3 << 20  # bytes scored at once: the more, the fewer words are looked up again
+MU, PROBES, ADDED = 64.0, 7, 0.1
+BLOCK, SEGMENT = 5 << 20, 16 << 20  # bytes of text in a block; for which there is a segment
+FLUSH = 4_000_000  # tokens that a task counts at once
 END = np.uint64(0x5851F42D4C957F2D)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-COUNT, REST, PAIR = (np.uint64(x) for x in (0x1111, 0x2222, 0x3333))
+PAIR = np.uint64(0x3333)
+
+
+def values(top: float = 2.0**62) -> np.ndarray:
+    """What levels 0, 1, 2 ... stand for."""
+    out = [0, 1]
+    while out[-1] < top:
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+    return np.array(out, np.int64)
+
+
+VALUES = values()
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    return np.searchsorted(VALUES, count, side="right") - 1
 
 
 def steps(block: B.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -57,184 +77,148 @@ def steps(block: B.Block) -> tuple[np.ndarray, np.ndarray]:
     return token, w.first[:-1] + np.arange(block.n)
 
 
-def numbered(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens, and the numbers of each place's context and token."""
-    words, at = np.unique(token, return_inverse=True)
-    return words, np.concatenate((at[-1:], at[:-1])), at  # the last token is an end
-
-
-def pair_key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return B.mixed(context * B.BASE + token + PAIR)
-
-
-def pair_counts(documents: DataFrame, shards: int) -> DataFrame:
-    """(shard, contexts, lengths, pairs, n): per task and shard, distinct contexts, how many pairs each has, the pairs' keys and counts."""
-
-    def packed(token: np.ndarray) -> Iterator[pa.RecordBatch]:
-        words, context, at = numbered(token)
-        size = np.int64(len(words))
-        codes, n = np.unique(context * size + at, return_counts=True)
-        h, w = words[codes // size], words[codes % size]
-        shard = (h % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((h, shard))
-        h, w, n, shard = h[order], w[order], n[order], shard[order]
-        edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
-        keys = pair_key(h, w)
-        rows = []
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            first = np.flatnonzero(np.concatenate(([True], h[a + 1 : b] != h[a : b - 1])))
-            lengths = np.diff(np.concatenate((first, [b - a]))).astype(np.uint32)
-            five = keys[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()  # 40 bits beside the context's 64
-            rows.append((int(shard[a]), h[a:b][first].tobytes(), lengths.tobytes(), five, n[a:b].astype(np.uint32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["shard", "contexts", "lengths", "pairs", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for block in B.blocks(batches):
-            held.append(steps(block)[0])
-            size += len(held[-1])
-            if size >= FLUSH:
-                yield from packed(np.concatenate(held))
-                held, size = [], 0
-        if size:
-            yield from packed(np.concatenate(held))
-
-    return documents.select("text").mapInArrow(run, "shard long, contexts binary, lengths binary, pairs binary, n binary")
+class Segment:
+    """A Bloom filter of the keys (event, level), for events known by 64 bits."""
 
-
-def level(count: np.ndarray, least: float, base: float) -> np.ndarray:
-    return np.where(count >= least, 1 + np.floor(np.log(np.maximum(count, least) / least) / math.log(base) + 1e-9), 0).astype(np.int64)
-
-
-def read_back(levels: np.ndarray, least: float, base: float, at: float) -> np.ndarray:
-    """The count that a level stands for; at: 0 for its lower end, 0.5 for its middle."""
-    return np.where(levels > 0, least * base ** (levels - 1 + at), 0.0)
-
-
-def place(keys: np.ndarray, probe: int, bits: np.ndarray) -> np.ndarray:
-    """The upper half of an odd multiple of the key, scaled to the bits: no division."""
-    return (((keys * np.uint64(2 * probe + 1) ^ keys >> np.uint64(7 + probe)) >> np.uint64(32)) * bits >> np.uint64(32)).astype(np.int64)
-
-
-def places(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """keys x PROBES places among the bits (fewer than 2**32) of each key's segment."""
-    return np.stack([place(keys, i, bits) for i in range(PROBES)], 1)
-
-
-def at_level(keys: np.ndarray, j: np.ndarray | int) -> np.ndarray:
-    return B.mixed(keys + np.asarray(j).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def segment(least: float):
-    """A shard's rows -> its segment of the filter and sums over its contexts."""
-
-    def run(group: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in group["contexts"].to_pylist()])
-        lengths = np.concatenate([np.frombuffer(x, np.uint32) for x in group["lengths"].to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in group["n"].to_pylist()]).astype(np.int64)
-        raw = np.zeros((len(n), 8), np.uint8)
-        raw[:, :5] = np.concatenate([np.frombuffer(x, np.uint8) for x in group["pairs"].to_pylist()]).reshape(-1, 5)
-        contexts, code = np.unique(h, return_inverse=True)
-        of = np.repeat(code, lengths)
-        order = np.lexsort((raw.view(np.uint64).ravel(), of))
-        pair, of, n = raw.view(np.uint64).ravel()[order], of[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (of[1:] != of[:-1]))))
-        n, pair, of = np.add.reduceat(n, first), pair[first], of[first]
-        total = np.bincount(of, n, len(contexts))
-        lp = level(n, least, COARSE)
-        used = np.where(lp > 0, read_back(lp, least, COARSE, 0) - least / 2, 0.0)
-        rest = np.maximum(total - np.bincount(of, used, len(contexts)), 0.0)
-        lc, lr = level(total, least, FINE), level(rest, least, FINE)
-        lr[lc == 0] = 0
-        keys, levels = [], []
-        for kind, lv, key in ((COUNT, lc, contexts), (REST, lr, contexts)):
-            keys.append(B.mixed(key + kind)[lv > 0])
-            levels.append(lv[lv > 0])
-        # a pair is known by its context and 40 bits
-        keys.append(B.mixed(contexts[of] * B.BASE + pair)[lp > 0])
-        levels.append(lp[lp > 0])
-        keys, levels = np.concatenate(keys), np.concatenate(levels)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        levels = level(counts)
         entries = int(levels.sum())
-        bits = max(64, int(entries * PROBES / math.log(2)))
-        table = np.zeros(bits, bool)
+        self.bits = np.uint64(max(64, int(entries * PROBES / math.log(2))))
+        table = np.zeros(int(self.bits), bool)
         ends = np.cumsum(levels)
         for lo in range(0, entries, 1_000_000):
             entry = np.arange(lo, min(entries, lo + 1_000_000))
             k = np.searchsorted(ends, entry, side="right")
-            table[places(at_level(keys[k], entry - ends[k] + levels[k] + 1), np.uint64(bits)).ravel()] = True
-        kept = lc > 0
-        out = {
-            "shard": [group["shard"][0].as_py()], "bits": [bits], "filter": [np.packbits(table, bitorder="little").tobytes()],
-            "held": [float(read_back(lc, least, FINE, 0.5).sum())], "rare": [float(total[~kept].sum())], "rare_types": [int((~kept).sum())], "types": [len(contexts)],
-        }
-        return pa.table(out)
+            at = self.at_level(keys[k], entry - ends[k] + levels[k] + 1)
+            for probe in range(PROBES):
+                table[self.place(at, probe)] = True
+        self.table = np.packbits(table, bitorder="little")
 
-    return run
+    @staticmethod
+    def at_level(keys: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        return B.mixed(keys + np.asarray(j).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
+    def place(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        """The upper half of an odd multiple of the key, scaled to the bits (fewer than 2**32): no division."""
+        return (((keys * np.uint64(2 * probe + 1) ^ keys >> np.uint64(7 + probe)) >> np.uint64(32)) * self.bits >> np.uint64(32)).astype(np.int64)
 
-SEGMENT = "shard long, bits long, filter binary, held double, rare double, rare_types long, types long"
-
-
-class Model:
-    """The filter's segments in one array of bytes, and the sums that smoothing needs."""
-
-    def __init__(self, rows: list, shards: int, least: float):
-        self.shards, self.least = shards, least
-        self.bits, self.start = np.full(shards, 64, np.uint64), np.zeros(shards, np.int64)
-        parts, at = [np.zeros(8, np.uint8)], 8  # a shard without rows has an empty segment
-        for r in rows:
-            self.bits[r["shard"]], self.start[r["shard"]] = r["bits"], at * 8
-            parts.append(np.frombuffer(r["filter"], np.uint8))
-            at += len(parts[-1])
-        self.table = np.concatenate(parts)
-        mass, types = sum(r["rare"] for r in rows), sum(r["rare_types"] for r in rows)
-        self.rare = mass / (types + 1)
-        self.total = sum(r["held"] for r in rows) + mass + ADDED * (sum(r["types"] for r in rows) + 1)
-
-    def present(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    def present(self, keys: np.ndarray) -> np.ndarray:
         """Places in keys whose every probe finds its bit set."""
-        bits, start = self.bits[shard], self.start[shard]
         still = np.arange(len(keys))
-        for i in range(PROBES):
-            at = place(keys, i, bits) + start
+        for probe in range(PROBES):
+            at = self.place(keys, probe)
             hit = np.flatnonzero((self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             if len(hit) < len(still):
-                still, keys, bits, start = still[hit], keys[hit], bits[hit], start[hit]
+                still, keys = still[hit], keys[hit]
         return still
 
-    def levels(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level of each key. As all lower ones are there too, levels 1, 2, 4, 8 ... are probed until one is
         missing, then the gap is halved."""
         low, high = np.zeros(len(keys), np.int64), np.ones(len(keys), np.int64)
         left, j = np.arange(len(keys)), 1
         while len(left):
-            left = left[self.present(at_level(keys[left], j), shard[left])]
+            left = left[self.present(self.at_level(keys[left], j))]
             low[left], high[left] = j, 2 * j
             j *= 2
         left = np.flatnonzero(high - low > 1)
         while len(left):
             middle = (low[left] + high[left]) // 2
             there = np.zeros(len(left), bool)
-            there[self.present(at_level(keys[left], middle), shard[left])] = True
+            there[self.present(self.at_level(keys[left], middle))] = True
             low[left[there]], high[left[~there]] = middle[there], middle[~there]
             left = left[high[left] - low[left] > 1]
         return low
 
-    def log10(self, words: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Of each place, given the distinct tokens and the numbers of the places' contexts and tokens."""
-        shard = (words % np.uint64(self.shards)).astype(np.int64)
-        lc = self.levels(B.mixed(words + COUNT), shard)
-        count = np.where(lc > 0, read_back(lc, self.least, FINE, 0.5), self.rare)
-        q = (count + ADDED) / self.total
-        rest = np.where(lc > 0, read_back(self.levels(B.mixed(words + REST), shard), self.least, FINE, 0.5), 0.0)
-        held = np.flatnonzero(lc[h] > 0)
-        p = q[w]
-        h, w = h[held], w[held]
-        low = pair_key(words[h], words[w]) & np.uint64((1 << 40) - 1)
-        lp = self.levels(B.mixed(words[h] * B.BASE + low), shard[h])
-        pair = np.where(lp > 0, read_back(lp, self.least, COARSE, 0) - self.least / 2, 0.0)
-        p[held] = (pair + (rest[h] + MU) * p[held]) / (count[h] + MU)
-        return np.log10(p)
+
+class Events:
+    """A block's rows as events, the same whenever they are computed: distinct tokens and pairs in the order in which they
+    are sent to the segments, and of each place in the texts the numbers of its token, context and pair."""
+
+    def __init__(self, table: pa.Table, segments: int):
+        whole = table.combine_chunks().to_batches()[0]
+        whole = whole.set_column(whole.schema.get_field_index("text"), "text", whole.column("text").fill_null("").cast(pa.large_string()))
+        block = next(B.blocks(iter([whole]), limit=1 << 62))
+        token, self.first = steps(block)
+        self.lengths = np.diff(np.append(self.first, len(token)))
+        learned = np.repeat(whole.column("learned").to_numpy(zero_copy_only=False), self.lengths).astype(np.int64)
+        words, at = np.unique(token, return_inverse=True)
+        context = np.concatenate((at[-1:], at[:-1]))  # the last token is an end
+        size = np.int64(len(words))
+        codes, pair = np.unique(context * size + at, return_inverse=True)
+        keys = B.mixed(words[codes // size] * B.BASE + words[codes % size] + PAIR)
+        self.words, self.word_n, self.word_to, place = self.dealt(words, np.bincount(at, learned, len(words)), segments)
+        self.token, self.context = place[at], place[context]
+        self.pairs, self.pair_n, self.pair_to, place = self.dealt(keys, np.bincount(pair, learned, len(keys)), segments)
+        self.pair = place[pair]
+
+    @staticmethod
+    def dealt(keys: np.ndarray, n: np.ndarray, segments: int) -> tuple[np.ndarray, ...]:
+        to = (keys % np.uint64(segments)).astype(np.int64)
+        order = np.lexsort((keys, to))
+        place = np.zeros(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        return keys[order], n[order].astype(np.int64), to[order], place
+
+    def requests(self, number: int) -> pa.Table:
+        rows = []
+        for to in np.union1d(self.word_to, self.pair_to).tolist():
+            a, b = np.searchsorted(self.word_to, (to, to + 1))
+            c, d = np.searchsorted(self.pair_to, (to, to + 1))
+            five = self.pairs[c:d].view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+            rows.append((to, number, self.words[a:b].tobytes(), self.word_n[a:b].tobytes(), five, self.pair_n[c:d].astype(np.uint32).tobytes()))
+        names = ("segment", "block", "words", "word_n", "pairs", "pair_n")
+        return pa.table([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+
+
+REQUEST = "segment long, block long, words binary, word_n binary, pairs binary, pair_n binary"
+ANSWER = "segment long, block long, word_level binary, word_n binary, pair_level binary"
+
+
+def answers(group: pa.Table) -> pa.Table:
+    """A segment's requests -> levels of their tokens and pairs, and the tokens' exact counts."""
+
+    def column(name: str, kind: type) -> list[np.ndarray]:
+        return [np.frombuffer(x, kind) for x in group[name].to_pylist()]
+
+    def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        distinct, at = np.unique(keys, return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, at, n)
+        return distinct, at, total
+
+    words, pairs = column("words", np.uint64), column("pairs", np.uint8)
+    word, word_at, word_n = summed(np.concatenate(words), np.concatenate(column("word_n", np.int64)))
+    five = np.concatenate(pairs).reshape(-1, 5)
+    raw = np.zeros((len(five), 8), np.uint8)
+    raw[:, 3:] = five
+    pair, pair_at, pair_n = summed(raw.view(np.uint64).ravel(), np.concatenate(column("pair_n", np.uint32)))
+    events = np.concatenate((B.mixed(word), B.mixed(pair + PAIR)))
+    segment = Segment(events, np.concatenate((word_n, pair_n)))
+    levels = segment.levels(events).astype(np.uint8)
+    word_level, pair_level = levels[: len(word)][word_at], levels[len(word) :][pair_at]
+    word_n = word_n[word_at]
+    w, p = np.cumsum([0, *map(len, words)]), np.cumsum([0, *(len(x) // 5 for x in pairs)])
+    cut = lambda x, ends: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    return pa.table({"segment": group["segment"], "block": group["block"], "word_level": cut(word_level, w), "word_n": cut(word_n, w), "pair_level": cut(pair_level, p)})
+
+
+def probabilities(pair: np.ndarray, context: np.ndarray, token: np.ndarray, mass: float) -> np.ndarray:
+    """From levels; mass: of the unigrams as read."""
+    q = (VALUES[token] + ADDED) / mass
+    n = np.where(context > 0, VALUES[np.minimum(context + 1, len(VALUES) - 1)] - 1, 0)
+    return (np.where(context > 0, VALUES[pair], 0) + MU * q) / (n + MU)
+
+
+def scored(group: pa.Table, found: pa.Table, segments: int, total: int, types: int, mass: float) -> pa.Table:
+    e = Events(group, segments)
+    order = np.argsort(found["segment"].to_numpy())
+    column = lambda name, kind: np.frombuffer(b"".join(found[name].take(pa.array(order)).to_pylist()), kind)
+    word_level, pair_level, n = column("word_level", np.uint8), column("pair_level", np.uint8), column("word_n", np.int64)
+    p = probabilities(pair_level[e.pair], word_level[e.context], word_level[e.token], mass)
+    base = np.log10((n + ADDED) / (total + ADDED * (types + 1)))
+    sums = lambda x: pa.array(np.add.reduceat(x, e.first))
+    return pa.table({"doc_id": group["doc_id"], "n_tokens": pa.array(e.lengths), "n_known": sums((n > 0).astype(np.int64)[e.token]), "base_score": sums(base[e.token]), "score": sums(np.log10(p))})
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -250,7 +234,7 @@ def word_counts(training: DataFrame) -> DataFrame:
         for block in B.blocks(batches):
             held.append(steps(block)[0])
             size += len(held[-1])
-            if size >= 4 * FLUSH:
+            if size >= FLUSH:
                 yield out()
                 held, size = [], 0
         if size:
@@ -259,69 +243,36 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "form long, n long").groupBy("form").agg(F.sum("n").alias("n"))
 
 
-def rest_of(words: np.ndarray, at: np.ndarray, row: np.ndarray, rows: int, left: np.ndarray) -> pa.ListArray:
-    """Each row's distinct tokens among those left, with their frequencies."""
-    some = np.flatnonzero(left[at])
-    codes, n = np.unique(row[some] * np.int64(len(words)) + at[some], return_counts=True)
-    ends = np.searchsorted(codes, np.arange(rows + 1) * np.int64(len(words)))
-    items = pa.StructArray.from_arrays([pa.array(words[codes % len(words)].view(np.int64)), pa.array(n.astype(np.int32))], ["form", "n"])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), items)
+def as_read(n: Column) -> Column:
+    """What a count is read back as: VALUES by a lookup in the JVM."""
+    table = F.array(*[F.lit(int(v)) for v in VALUES])
+    return F.array_max(F.filter(table, lambda v: v <= n))
 
 
 def score(documents: DataFrame, held: int = 0, of: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row."""
     spark = documents.sparkSession
+    B.small_batches(spark)
     part = F.crc32(F.col("doc_id").cast("string")) % of
-    training = documents.where(part != held)
-    folder = B.scratch(spark, "words")
-    word_counts(training).write.parquet(folder)
-    words = spark.read.parquet(folder)
-    total, types = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
-    _, head = head_of(words, value="n")
-
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    least = max(1.0, math.ceil(RESOLUTION * total))
-    folder = B.scratch(spark, "segments")
-    pair_counts(training, shards).groupBy("shard").applyInArrow(segment(least), SEGMENT).write.parquet(folder)
-    rows = sorted(spark.read.parquet(folder).collect(), key=lambda r: r["shard"])  # bounded as the module's text says
-    forms = np.fromiter(head, np.int64, len(head)).view(np.uint64)
-    order = np.argsort(forms)
-    sent = spark.sparkContext.broadcast((Model(rows, shards, least), forms[order], np.fromiter(head.values(), np.int64, len(head))[order]))
-    whole = total + ADDED * (types + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, forms, counts = sent.value
-        for block in B.blocks(batches, limit=SCORED):
-            token, first = steps(block)
-            words, context, at = numbered(token)
-            scores = np.add.reduceat(model.log10(words, context, at), first)
-            k = np.minimum(np.searchsorted(forms, words), max(0, len(forms) - 1))
-            known = forms[k] == words if len(forms) else np.zeros(len(words), bool)
-            n = np.where(known, counts[k] if len(forms) else 0, 0)
-            logs = np.where(known, np.log10((n + ADDED) / whole), 0.0)
-            lengths = np.diff(np.append(first, len(token)))
-            row = np.repeat(np.arange(block.n), lengths)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    block.batch.column("row"), block.batch.column("doc_id"), pa.array(lengths), pa.array(np.add.reduceat((n > 0).astype(np.int64)[at], first)),
-                    pa.array(np.add.reduceat(logs[at], first)), pa.array(scores), rest_of(words, at, row, block.n, ~known),
-                ],
-                names=["row", "doc_id", "n_tokens", "known", "base", "score", "rest"],
-            )
-
-    keyed = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    folder = B.scratch(spark, "scored")
-    keyed.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double, rest array<struct<form: long, n: int>>").write.parquet(folder)
-    docs = spark.read.parquet(folder)
-    rest = docs.select("row", F.explode("rest").alias("u")).select("row", "u.form", F.col("u.n").alias("k"))
-    c = F.coalesce("n", F.lit(0))
-    sums = rest.join(words, "form", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10((c + ADDED) / whole)).alias("logs"))
-    return docs.join(sums, "row", "left").select(
-        "doc_id",
-        F.coalesce(part == held, F.lit(False)).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    learned = F.coalesce(part != held, F.lit(False))
+    # few counts are distinct: a row each
+    sums = word_counts(documents.where(learned)).groupBy("n").agg(F.count("*").alias("types"))
+    sums = sums.agg(F.sum(F.col("n") * F.col("types")), F.sum("types"), F.sum(as_read(F.col("n")) * F.col("types"))).first()
+    total, types, read = (int(x or 0) for x in sums)
+    mass = read + ADDED * (types + 1)
+
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, segments = max(2 * parts, size // BLOCK), max(parts, size // SEGMENT)
+    row = F.xxhash64(F.monotonically_increasing_id())
+    dealt = documents.select("doc_id", "text", learned.alias("learned"), F.pmod(row, F.lit(blocks)).alias("block")).repartition(max(parts, blocks // 4), "block")
+
+    def ask(group: pa.Table) -> pa.Table:
+        return Events(group, segments).requests(group["block"][0].as_py())
+
+    def finish(group: pa.Table, found: pa.Table) -> pa.Table:
+        return scored(group, found, segments, total, types, mass)
+
+    found = dealt.groupBy("block").applyInArrow(B.trimmed(ask), REQUEST).groupBy("segment").applyInArrow(B.trimmed(answers), ANSWER)
+    out = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(B.trimmed(finish), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", F.coalesce(part == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 
-from sigloom.llm import blocks, counts, language, packing, pii, queries, simhash, tokens
+from sigloom.llm import blocks, bloomlm, counts, language, packing, pii, queries, simhash, tokens
 
 BIG = 2**63 - 1
 
@@ -222,6 +223,81 @@ def test_op7_base_is_exact_and_the_model_is_a_distribution_that_beats_it(spark,
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
+def quantised(c, upper=False):
+    """The lower end of a count's level, or the upper one, by steps."""
+    low = high = 0
+    while high <= c:
+        low, high = high, max(high + 1, high * 5 // 4)
+    return high - 1 if upper else low
+
+
+def model_scores(rows):
+    """(score, whether every pair was seen) of each row, by dictionaries."""
+    token, pair = Counter(), Counter()
+    for r in rows:
+        if r["doc_id"] is not None and crc(r["doc_id"]) % 10:
+            w = [b"", *ascii_words(r["text"], True), b""]
+            token.update(w[1:])
+            pair.update(zip(w, w[1:], strict=False))
+    mass = sum(quantised(c) for c in token.values()) + 0.1 * (len(token) + 1)
+    out = []
+    for r in rows:
+        w, total = [b"", *ascii_words(r["text"], True), b""], 0.0
+        for h, x in zip(w, w[1:], strict=False):
+            q = (quantised(token[x]) + 0.1) / mass
+            n = quantised(token[h], upper=True) if token[h] else 0
+            total += math.log10((quantised(pair[h, x]) + bloomlm.MU * q) / (n + bloomlm.MU))
+        out.append(total)
+    return out
+
+
+def test_op7_score_is_that_of_dictionaries(corpus, monkeypatch):
+    import pyarrow as pa
+
+    _, rows = corpus
+    monkeypatch.setattr(bloomlm, "PROBES", 40)  # no false positives
+    parts = []
+    for k in range(3):
+        some = rows[k::3]
+        learned = [r["doc_id"] is not None and crc(r["doc_id"]) % 10 > 0 for r in some]
+        parts.append((some, pa.table({"doc_id": pa.array([r["doc_id"] for r in some], pa.int64()), "text": [r["text"] for r in some], "learned": learned})))
+    sent = pa.concat_tables([bloomlm.Events(t, 4).requests(k) for k, (_, t) in enumerate(parts)])
+    found = pa.concat_tables([bloomlm.answers(sent.filter(pa.compute.equal(sent["segment"], s))) for s in range(4)])
+    counts = Counter()
+    for r in rows:
+        if r["doc_id"] is not None and crc(r["doc_id"]) % 10:
+            counts.update([*ascii_words(r["text"], True), b""])
+    mass = sum(quantised(c) for c in counts.values()) + 0.1 * (len(counts) + 1)
+    want = {id(r): s for r, s in zip(rows, model_scores(rows), strict=True)}
+    for k, (some, t) in enumerate(parts):
+        got = bloomlm.scored(t, found.filter(pa.compute.equal(found["block"], k)), 4, sum(counts.values()), len(counts), mass)
+        assert np.allclose(got["score"].to_numpy(), [want[id(r)] for r in some], rtol=1e-9)
+
+
+def test_op7_query_is_that_model_but_for_false_positives(spark, corpus):
+    folder, rows = corpus
+    want = sorted(zip(([r["doc_id"], r["text"]] for r in rows), model_scores(rows), strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[1]))
+    got = sorted(((r["doc_id"], r["score"]) for r in queries.op7_language_model(spark, folder).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert [g[0] for g in got] == [w[0][0] for w in want]
+    near = [abs(g - w) <= 1e-6 * abs(w) for (_, g), (_, w) in zip(got, want, strict=True)]
+    assert sum(near) >= 0.6 * len(near)
+    assert sum(g for _, g in got) == pytest.approx(sum(w for _, w in want), rel=0.02)
+
+
+def test_op7_every_event_is_held_however_many_there_are():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**63, 300_000, dtype=np.uint64))
+    counts = rng.zipf(1.5, len(keys)).astype(np.int64)
+    counts[:5] = 0, 1, 2**40, 7, 8
+    s = bloomlm.Segment(keys, counts)
+    got = s.levels(keys)
+    want = bloomlm.level(counts)
+    assert (got >= want).all() and (got == want).mean() > 0.97
+    other = rng.integers(0, 2**63, 100_000, dtype=np.uint64)
+    assert (s.levels(other) > 0).mean() < 0.012
+    assert [quantised(c) for c in (0, 1, 8, 9, 11, 100, 10**9)] == bloomlm.VALUES[bloomlm.level(np.array([0, 1, 8, 9, 11, 100, 10**9]))].tolist()
+
+
 def test_op8_rules_are_the_patterns_and_the_tagger_adds(spark, corpus):
     folder, rows = corpus
     got = {r["doc_id"]: r for r in queries.op8_pii(spark, folder).collect()}
