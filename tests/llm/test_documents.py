@@ -279,8 +279,8 @@ def test_op7_query_is_that_model_but_for_false_positives(spark, corpus):
     want = sorted(zip(([r["doc_id"], r["text"]] for r in rows), model_scores(rows), strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[1]))
     got = sorted(((r["doc_id"], r["score"]) for r in queries.op7_language_model(spark, folder).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     assert [g[0] for g in got] == [w[0][0] for w in want]
-    near = [abs(g - w) <= 1e-6 * abs(w) for (_, g), (_, w) in zip(got, want, strict=True)]
-    assert sum(near) >= 0.6 * len(near)
+    near = [abs(g - w) <= 0.05 * abs(w) for (_, g), (_, w) in zip(got, want, strict=True)]
+    assert sum(near) >= 0.9 * len(near)
     assert sum(g for _, g in got) == pytest.approx(sum(w for _, w in want), rel=0.02)
 
 
