@@ -31,16 +31,32 @@ def platt(rows: DataFrame, logit: str = "logit", label: str = "label", steps: in
     return a, b
 
 
-def temperature(rows: DataFrame, logits: str = "logits", label: str = "label", low: float = 0.05, high: float = 20.0, points: int = 61) -> DataFrame:
-    """temperature, nll: the least mean negative log likelihood over a logarithmic grid, all of it in one pass."""
-    ratio = (high / low) ** (1 / (points - 1))
-    grid = F.array(*[F.lit(low * ratio**i) for i in range(points)])
-    t = F.col("t")
-    z = F.transform(F.col(logits), lambda x: x / t)
-    each = rows.select(logits, label, F.posexplode(grid).alias("i", "t"))
-    nll = F.array_max(z) + F.log(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(z)))) - F.get(z, F.col(label))
-    means = each.groupBy("i", "t").agg(F.round(F.avg(nll), 9).alias("nll"))
-    return means.agg(F.min(F.struct("nll", "i", "t")).alias("x")).select(F.round("x.t", 6).alias("temperature"), F.round("x.nll", 6).alias("nll"))
+def temperature(rows: DataFrame, logits: str = "logits", label: str = "label", low: float = 0.1, high: float = 10.0, steps: int = 40) -> DataFrame:
+    """temperature, nll: the temperature of the least mean negative log likelihood, kept in low..high. The loss is convex in
+    the inverse temperature b, so Newton's method in a bracket of its slope finds it; a step is one aggregate."""
+    spark, data = rows.sparkSession, rows.select(F.col(logits).cast("array<double>").alias("z"), F.col(label).alias("y"))
+    top, truth = F.array_max("z"), F.get("z", F.col("y"))
+
+    def at(b: float) -> tuple[float, float, float]:
+        e = F.transform("z", lambda x: F.struct(x.alias("x"), F.exp((x - top) * b).alias("e")))
+        sums = F.aggregate("e", F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, v: F.struct((a["n"] + v["e"]).alias("n"), (a["s"] + v["e"] * v["x"]).alias("s"), (a["q"] + v["e"] * v["x"] * v["x"]).alias("q")))
+        each = data.select(top.alias("top"), truth.alias("truth"), e.alias("e")).select("top", "truth", sums.alias("a"))
+        mean = F.col("a.s") / F.col("a.n")
+        found = each.agg(F.avg(F.col("top") * b + F.ln("a.n") - F.col("truth") * b), F.avg(mean - F.col("truth")), F.avg(F.col("a.q") / F.col("a.n") - mean * mean)).first()
+        if found[0] is None:
+            raise ValueError("no rows to fit")
+        return found[0], found[1], found[2]
+
+    lo, hi, b = 1 / high, 1 / low, 1 / 1.5
+    for _ in range(steps):
+        _, slope, curve = at(b)
+        lo, hi = (b, hi) if slope < 0 else (lo, b)
+        new = b - slope / curve if curve > 0 else (lo + hi) / 2
+        new = new if lo < new < hi else (lo + hi) / 2
+        done, b = abs(new - b) < 1e-12 * b, new
+        if done:
+            break
+    return spark.createDataFrame([(round(1 / b, 6), round(at(b)[0], 6))], "temperature double, nll double")
 
 
 def linear_map(rows: DataFrame, kind: str, logits: str = "logits", label: str = "label", penalty: float = 0.01, steps: int = 40, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
@@ -91,11 +107,20 @@ def applied(logits: Column, params: dict) -> Column:
     raise ValueError(f"no calibration {params['method']!r}")
 
 
-def noisy_bce(logit: Column, label: Column, rate: Column) -> Column:
-    """Cross entropy of a probability that label noise of the given rate (below 1) has moved: p (1 - r) + (1 - p) r / 2."""
-    p = 1 / (1 + F.exp(-logit))
-    q = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p * (1 - rate) + (1 - p) * rate / 2))
-    return -(label * F.ln(q) + (1 - label) * F.ln(1 - q))
+def log_add(a: Column, b: Column) -> Column:
+    """ln(e^a + e^b); a null is the logarithm of 0."""
+    high, low = F.greatest(a, b), F.least(a, b)
+    return F.when(a.isNull() | b.isNull(), F.coalesce(a, b)).otherwise(high + F.log1p(F.exp(low - high)))
+
+
+def noisy_bce(logit: Column, label: Column, rate: Column, positive: float = 1.0) -> Column:
+    """Cross entropy of an observed label that is flipped at the given rate: P(1) = (1 - r) p + r (1 - p). A missing rate
+    is 0. positive: the weight of the ones."""
+    logit, rate = logit.cast("double"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(rate.cast("double"), F.lit(0.0))))
+    soft = F.log1p(F.exp(-F.abs(logit)))
+    one, zero = F.least(logit, F.lit(0.0)) - soft, F.least(-logit, F.lit(0.0)) - soft
+    keep, flip = F.when(rate < 1, F.log1p(-rate)), F.when(rate > 0, F.ln(rate))
+    return -(label * positive * log_add(keep + one, flip + zero) + (1 - label) * log_add(keep + zero, flip + one))
 
 
 def focal(logit: Column, label: Column, gamma_one: float = 2.0, gamma_zero: float | None = None) -> Column:

@@ -72,11 +72,30 @@ def loss(scores: np.ndarray, targets: list[np.ndarray], n_base: int, state_len:
     return np.array([(z[i] - log_target(scores[i], t, n_base, state_len)) / max(1, len(t) - state_len) for i, t in enumerate(targets)])
 
 
-def best_moves(scores: np.ndarray, n_base: int, state_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best path of each read: the state after every step, and whether the step was a move."""
+FLOOR = 1e-8  # a fixed value: posteriors are raised by it before their logarithm
+
+
+def posteriors(scores: np.ndarray, n_base: int, state_len: int) -> np.ndarray:
+    """reads x steps x states x edges: the probability of each edge at each step, over all paths."""
     n = checked(scores.shape[2], n_base, state_len)
     before, s = predecessors(n_base, state_len), scores.reshape(*scores.shape[:2], n, n_base + 1)
+    after = np.argsort(before.ravel(), kind="stable").reshape(n, n_base + 1)  # of each state, the edges that leave it
     reads, steps = scores.shape[:2]
+    alpha, beta = np.zeros((reads, steps + 1, n)), np.zeros((reads, steps + 1, n))
+    for t in range(steps):
+        alpha[:, t + 1] = _add(alpha[:, t][:, before] + s[:, t], 2)
+    for t in range(steps - 1, -1, -1):
+        joint = s[:, t] + beta[:, t + 1, :, None]
+        beta[:, t] = _add(joint.reshape(reads, -1)[:, after], 2)
+    total = _add(alpha[:, -1], 1)
+    return np.exp(alpha[:, :-1][:, :, before] + s + beta[:, 1:, :, None] - total[:, None, None, None])
+
+
+def best_moves(scores: np.ndarray, n_base: int, state_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """The path of each read whose edges have the largest sum of log posteriors: the state after every step, and whether
+    the step was a move."""
+    before, s = predecessors(n_base, state_len), np.log(posteriors(scores, n_base, state_len) + FLOOR)
+    n, (reads, steps) = len(before), scores.shape[:2]
     best, back = np.zeros((reads, n)), np.zeros((reads, steps, n), np.int64)
     for t in range(steps):
         way = best[:, before] + s[:, t]

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKETS = 4096
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.when(b != 0, a.cast("double") / b).otherwise(F.lit(0.0))
@@ -23,12 +26,18 @@ def confusion(rows: DataFrame, label: str = "label", prob: str = "prob", thresho
 
 
 def curve(rows: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
-    """One row a distinct score, highest first: tp and fp at or above it, and the totals. Only distinct scores meet in
-    the running sum; they are counted before."""
+    """One row a distinct score, highest first: tp and fp at or above it, and the totals. Scores are counted, then summed up
+    in buckets of the score: what lies above a bucket is a running sum over buckets, the rest one inside it."""
     scores = rows.groupBy(F.col(prob).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("q"))
-    high = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return scores.select("score", F.sum("p").over(high).alias("tp"), F.sum("q").over(high).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("q").over(every).alias("neg"), "p", "q")
+    bucket = F.greatest(F.lit(-1), F.least(F.lit(BUCKETS), F.floor(F.col("score") * BUCKETS)))
+    scores = scores.withColumn("b", bucket)
+    sizes = scores.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("q").alias("bq"))  # BUCKETS + 2 rows at most
+    above, every = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    bases = sizes.select("b", before("bp").alias("p0"), before("bq").alias("q0"), F.sum("bp").over(every).alias("pos"), F.sum("bq").over(every).alias("neg"))
+    inside = Window.partitionBy("b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    ran = scores.withColumn("tp", F.sum("p").over(inside)).withColumn("fp", F.sum("q").over(inside)).join(F.broadcast(bases), "b")
+    return ran.select("score", (F.col("p0") + F.col("tp")).alias("tp"), (F.col("q0") + F.col("fp")).alias("fp"), "pos", "neg", "p", "q")
 
 
 def auroc_auprc(rows: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:

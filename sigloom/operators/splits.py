@@ -12,21 +12,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 2  # hexadecimal digits: 256 ranges of keys that are ranked side by side
+RANGE = 100_000  # keys, about, that are ranked in one window
 
 
 def shuffled(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def digits(rows: int) -> int:
+    """Hexadecimal digits of a prefix that cuts shuffled keys into ranges of about RANGE."""
+    n = 2
+    while 16**n * RANGE < rows:
+        n += 1
+    return n
+
+
+def numbered(rows: DataFrame, within: list[str], part: Column, order: list[str], name: str) -> DataFrame:
+    """With `name`: 0.. in each group of `within`, in the order of `part` and then of `order`. Ranks come from counts by part
+    and windows inside one, so a group of any size is ranked in as many tasks as it has parts."""
+    rows = rows.withColumn("part_", part)
+    before = Window.partitionBy(*within).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(*within, "part_").agg(F.count("*").alias("size_")).withColumn("base_", F.coalesce(F.sum("size_").over(before), F.lit(0))).drop("size_")
+    inside = Window.partitionBy(*within, "part_").orderBy(*order)
+    return rows.withColumn("place_", F.row_number().over(inside) - 1).join(bases, [*within, "part_"]).withColumn(name, F.col("base_") + F.col("place_")).drop("part_", "base_", "place_")
+
+
 def ranked(keys: DataFrame, key: str, seed: int) -> DataFrame:
     """Distinct keys with rank (from 0, in shuffled order) and n, their number."""
-    rows = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("h", shuffled(key, seed)).withColumn("p", F.substring("h", 1, PREFIX))
-    sizes = rows.groupBy("p").count()  # 256 rows at most
+    prefix = digits(keys.count())
+    rows = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("h", shuffled(key, seed)).withColumn("p", F.substring("h", 1, prefix))
+    sizes = rows.groupBy("p").count()  # one row a RANGE of keys
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"), F.sum("count").over(Window.partitionBy()).alias("n"))
     inside = Window.partitionBy("p").orderBy("h", key)
-    return rows.join(F.broadcast(starts), "p").select(key, (F.col("base") + F.row_number().over(inside) - 1).alias("rank"), "n")
+    return rows.join(starts, "p").select(key, (F.col("base") + F.row_number().over(inside) - 1).alias("rank"), "n")
 
 
 def checked(train: float, val: float) -> None:
@@ -55,16 +74,16 @@ def folds(rows: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def by_group(rows: DataFrame, group: str, label: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """group -> split, inside each label: one group trains; of two the second tests; of three or more at least one
-    each validates and tests. A group that labels share goes where the last label puts it."""
+    """group -> split, inside each label: one group trains; of two the second tests; of three or more the fractions train
+    and validate, one group each at least, and where these take all, validation shrinks, but not below one group. So of
+    three groups at 0.8 none tests. A group that labels share goes where the last label puts it."""
     checked(train, val)
-    pairs = rows.select(group, label).where(F.col(group).isNotNull() & F.col(label).isNotNull()).distinct()
-    n = F.count("*").over(Window.partitionBy(label))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(shuffled(group, seed), group)) - 1
-    placed = pairs.withColumn("n", n).withColumn("rank", rank)
-    n_val = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(val))))
-    n_train = F.least(F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(train)))), F.greatest(F.lit(1), F.col("n") - n_val - 1))
-    many = F.when(F.col("rank") < n_train, "train").when((F.col("rank") < n_train + n_val) & (F.col("rank") < F.col("n") - 1), "val").otherwise("test")
+    pairs = rows.select(group, label).where(F.col(group).isNotNull() & F.col(label).isNotNull()).distinct().withColumn("h", shuffled(group, seed))
+    sizes = pairs.groupBy(label).agg(F.count("*").alias("n"))
+    placed = numbered(pairs, [label], F.substring("h", 1, 3), ["h", group], "rank").join(sizes, label)
+    n_train, share = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(train)))), F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(val))))
+    n_val = F.when(n_train + share >= F.col("n"), F.greatest(F.lit(1), F.col("n") - n_train - 1)).otherwise(share)
+    many = F.when(F.col("rank") < n_train, "train").when(F.col("rank") < n_train + n_val, "val").otherwise("test")
     split = F.when(F.col("n") == 1, "train").when(F.col("n") == 2, F.when(F.col("rank") == 0, "train").otherwise("test")).otherwise(many)
     last = placed.withColumn("split", split).groupBy(group).agg(F.max(F.struct(label, "split")).alias("x"))
     return last.select(group, F.col("x.split").alias("split"))
@@ -139,18 +158,25 @@ def resolved(rows: DataFrame, key: str, batch: str, holdout: str | None, corpus_
 
 
 def planned(manifest: DataFrame, chunk: int, test: float, per_group: int | None = None, seed: int = 42, shard: list[str] | None = None) -> DataFrame:
-    """A balanced corpus plan: long enough reads; batches take turns in each group; the first share of a group tests,
-    then at most `per_group` (default: what the smallest group has) train. A shard of batches is cut out afterwards, so
-    it never changes the plan. Columns read_id, anchor_end, batch, group -> the same, rank and split."""
-    long = manifest.where(F.col("anchor_end") > chunk + 200)
-    turn = F.row_number().over(Window.partitionBy("group", "batch").orderBy(shuffled("read_id", seed), "read_id"))
-    rank = F.row_number().over(Window.partitionBy("group").orderBy("turn", "batch", "read_id")) - 1
-    rows = long.withColumn("turn", turn).withColumn("rank", rank)
+    """A balanced corpus plan: long enough reads; shuffled batches take turns, and a group's reads are ranked in the order
+    of the turns; the first share of a group tests, then at most `per_group` (default: what the smallest group has) train.
+    A shard of batches is cut out afterwards, so it never changes the plan. No read that is long enough, or a batch of the
+    shard without reads in the plan, is an error. Columns read_id, anchor_end, batch, group -> the same, rank and split."""
+    long = manifest.where(F.col("anchor_end") > chunk + 200).withColumn("h", shuffled("read_id", seed))
+    n = long.count()
+    if not n:
+        raise ValueError(f"no read has an anchor_end above {chunk + 200}")
+    turns = numbered(long, ["batch"], F.substring("h", 1, digits(n)), ["h", "read_id"], "turn").drop("h")
+    rows = numbered(turns, ["group"], F.floor(F.col("turn") / 5_000), ["turn", "batch", "read_id"], "rank")
     sizes = long.groupBy("group").agg(F.count("*").alias("n"))
     if per_group is None:
         per_group = sizes.agg(F.min(F.floor(F.col("n") * F.lit(float(1 - test))))).first()[0] or 0
     n_test = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(test))))
-    rows = rows.join(sizes, "group")
     split = F.when(F.col("rank") < n_test, "test").when(F.col("rank") - n_test < per_group, "train")
-    out = rows.withColumn("split", split).where("split is not null").drop("turn", "n")
-    return out.where(F.col("batch").isin(shard)) if shard else out
+    out = rows.join(sizes, "group").withColumn("split", split).where("split is not null").drop("turn", "n")
+    if not shard:
+        return out
+    out = out.where(F.col("batch").isin(shard))
+    if missing := set(shard) - {r["batch"] for r in out.select("batch").distinct().collect()}:
+        raise ValueError(f"batches without reads in the plan: {sorted(missing)}")
+    return out

@@ -41,13 +41,16 @@ def pairwise(votes: DataFrame, pairs: DataFrame, weighted: bool = False) -> Data
 
 
 def tournament(votes: DataFrame, pairs: DataFrame, top: int = 5) -> DataFrame:
-    """A second round among the first round's top classes, with the pairs that are wholly among them."""
+    """A second round among the first round's top classes, with the pairs that are wholly among them. Equal votes go to
+    the class that ranked higher in the first; without such a pair that is the call, with a confidence of 0."""
     rank = F.row_number().over(Window.partitionBy("read_id").orderBy(F.desc("votes"), "place"))
-    stay = tallied(cast(votes, pairs)).withColumn("rank", rank).where(F.col("rank") <= top).select("read_id", "class")
+    stay = tallied(cast(votes, pairs)).withColumn("rank", rank).where(F.col("rank") <= top).select("read_id", "class", "rank")
     sides = pairs.select("pair", F.explode(F.array("neg", "pos")).alias("class"))
     # a pair stays for a read if both its classes do
     left = stay.join(F.broadcast(sides), "class").groupBy("read_id", "pair").count().where("count = 2").select("read_id", "pair")
-    return called(tallied(cast(votes.join(left, ["read_id", "pair"], "left_semi"), pairs)))
+    again = cast(votes.join(left, ["read_id", "pair"], "left_semi"), pairs).select("read_id", "class", "vote")
+    tally = stay.join(again, ["read_id", "class"], "left").groupBy("read_id", "class").agg(F.round(F.coalesce(F.sum("vote"), F.lit(0.0)), 9).alias("votes"), F.min("rank").alias("place"))
+    return called(tally)
 
 
 def one_vs_all(votes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -64,27 +64,24 @@ def prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = I.table(spark, sf_dir, "lineitem")
+    l = I.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     return l.groupBy(F.col("l_orderkey").alias("read_id"), F.col("l_linenumber").alias("base_idx")).agg(F.round(F.max("l_discount") * 9, 6).alias("prob"))
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All alignments with the tags of those that have predictions."""
-    first = votes.tags(chunk_scores(spark, sf_dir).where("read_id % 3 > 0"), "first")
-    last = votes.tags(chunk_scores(spark, sf_dir).where("read_id % 3 > 0"), "last").select("read_id", F.col("prob").alias("last_prob"))
+    first = votes.tags(chunk_scores(spark, sf_dir), "first")
+    last = votes.tags(chunk_scores(spark, sf_dir), "last").select("read_id", F.col("prob").alias("last_prob"))
     reads = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"))
     return reads.join(first, "read_id", "left").join(last, "read_id", "left")
 
 
-FOLD = "regexp_replace({}, '[^\\x00-\\x7F]', '?')"
-
-
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest and next nearest of the reference panel by edit distance."""
-    fold = lambda c: F.regexp_replace(F.substring(c, 1, 24), r"[^\x00-\x7F]", "?")
-    decodes = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), fold("text").alias("s"))
-    panel = I.table(spark, sf_dir, "benchmark").where("item_id < 40").select("item_id", fold("text").alias("sequence"))
-    return matching.nearest(decodes, "s", panel, "item_id", "sequence").drop("s")
+    """The nearest and next nearest of the reference panel by edit distance: parts against the distinct names."""
+    p = I.table(spark, sf_dir, "part")
+    decodes = p.select(F.col("p_partkey").alias("read_id"), F.concat_ws(" ", "p_name", "p_type").alias("s"))
+    panel = p.select(F.col("p_name").alias("name"), F.col("p_name").alias("sequence")).distinct()
+    return matching.nearest(decodes, "s", panel, "name", "sequence").drop("s")
 
 
 def temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,14 +113,14 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = I.table(spark, sf_dir, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("step"))
-    return rounded(steps.select("step", calibration.warmup_cosine(F.col("step"), 150, 20, 0.1).alias("factor")))
+    steps = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step"))
+    return rounded(steps.select("step", calibration.warmup_cosine(F.col("step"), 15_000, 2_000, 0.1).alias("factor")))
 
 
 def confounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of a confounder by lookup; -1 where it is missing."""
     docs = I.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 6 > 0, F.col("source")).alias("value"))
-    return docs.join(F.broadcast(calibration.codes(docs, "value")), "value", "left").select("doc_id", F.coalesce("code", F.lit(-1)).alias("code"))
+    return docs.join(calibration.codes(docs, "value"), "value", "left").select("doc_id", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
 def context_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,12 +155,20 @@ Z = {
     "dirichlet": "list_transform(range(10), lambda i: ln(probs[i + 1]) * (0.5::DOUBLE + 0.05::DOUBLE * i))",
 }
 
+# The slope of the mean loss over the inverse temperature b ascends; STEPS halvings of 0.1..10 find where it is 0.
+STEPS = 44
+SLOPE = "(SELECT avg(list_sum(list_transform(e, lambda y: y[1] * y[2])) / list_sum(list_transform(e, lambda y: y[2])) - truth) FROM (SELECT list_transform(logits, lambda x: [x, exp((x - list_max(logits)) * (lo + hi) / 2)]) AS e, logits[label + 1] AS truth FROM logits))"
+BISECTED = "s0 AS (SELECT 0.1::DOUBLE AS lo, 10.0::DOUBLE AS hi), " + ", ".join(
+    f"s{k + 1} AS MATERIALIZED (SELECT CASE WHEN slope < 0 THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN slope < 0 THEN hi ELSE (lo + hi) / 2 END AS hi FROM (SELECT lo, hi, {SLOPE} AS slope FROM s{k}))" for k in range(STEPS)
+)
+
 ORACLE = {
     "a13_pairwise_votes": f"WITH {I.VOTES}, {TALLY.format('vote', '')} " + CALL.format("tally"),
     "a14_weighted_votes": f"WITH {I.VOTES}, {TALLY.format('vote * weight', '')} " + CALL.format("tally"),
     "a15_tournament": f"""
-WITH {I.VOTES}, {TALLY.format('vote', '')}, stay AS (SELECT read_id, class FROM tally QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY votes DESC, place) <= 3),
-again AS (SELECT read_id, class, round(sum(vote), 9) AS votes, min(place) AS place FROM cast_votes c JOIN (SELECT v.read_id, v.pair FROM votes v JOIN stay a ON a.read_id = v.read_id AND a.class = v.neg JOIN stay b ON b.read_id = v.read_id AND b.class = v.pos) k USING (read_id, pair) GROUP BY 1, 2)
+WITH {I.VOTES}, {TALLY.format('vote', '')}, stay AS (SELECT read_id, class, row_number() OVER (PARTITION BY read_id ORDER BY votes DESC, place) AS rank FROM tally QUALIFY rank <= 3),
+kept AS (SELECT c.read_id, c.class, c.vote FROM cast_votes c JOIN (SELECT v.read_id, v.pair FROM votes v JOIN stay a ON a.read_id = v.read_id AND a.class = v.neg JOIN stay b ON b.read_id = v.read_id AND b.class = v.pos) k USING (read_id, pair)),
+again AS (SELECT s.read_id, s.class, round(coalesce(sum(vote), 0), 9) AS votes, min(s.rank) AS place FROM stay s LEFT JOIN kept k ON k.read_id = s.read_id AND k.class = s.class GROUP BY 1, 2)
 """ + CALL.format("again"),
     "a16_one_vs_all": f"WITH {I.VOTES} SELECT read_id, neg AS call, round(round(1 - prob, 9), 6) AS confidence FROM votes WHERE place IN {FIRSTS} QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY round(1 - prob, 9) DESC, place) = 1",
     "a17_pair_labels": "WITH n AS (SELECT DISTINCT replace(p_type, ' ', '_') AS pair FROM part) SELECT pair, split_part(pair, '_', 1) AS neg, substring(pair, len(split_part(pair, '_', 1)) + 2) AS pos FROM n",
@@ -174,27 +179,24 @@ SELECT read_id, CASE WHEN ac >= 90 AND (am >= 30 OR (abstain AND NOT disrupted))
 WITH {PREDICTIONS}, b AS (SELECT *, {BYTE.format('p2')} AS am, NOT junction_mapped OR coalesce(junction_indel != 0, false) AS disrupted FROM predictions)
 SELECT read_id AS read_name, format('{{:.6f}}', probs[1]) AS prob_0, CASE WHEN am >= 40 OR NOT disrupted THEN call ELSE 'unc' END AS predicted_aa, format('{{:.6f}}', p1) AS confidence, coalesce(CAST(junction_indel AS VARCHAR), '') AS junction_indel, CAST(junction_mapped AS INT) AS junction_mapped FROM b""",
     "k5_tagged_alignments": """
-WITH c AS (SELECT l_orderkey AS read_id, l_linenumber AS base_idx, round(max(l_discount) * 9, 6) AS prob FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1, 2),
+WITH c AS (SELECT l_orderkey AS read_id, l_linenumber AS base_idx, round(max(l_discount) * 9, 6) AS prob FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
 t AS (SELECT read_id, arg_min(prob, base_idx) AS prob, arg_max(prob, base_idx) AS last_prob, string_agg(CAST(CAST(floor(prob * 255) AS INT) AS VARCHAR), ',' ORDER BY base_idx) AS ml FROM c GROUP BY 1)
 SELECT o_orderkey AS read_id, prob, ml, last_prob FROM orders LEFT JOIN t ON read_id = o_orderkey""",
     "j13_nearest_reference": f"""
-WITH d AS (SELECT doc_id AS read_id, regexp_replace(substring(text, 1, 24), '[^\\x00-\\x7F]', '?', 'g') AS s FROM documents), p AS (SELECT item_id, regexp_replace(substring(text, 1, 24), '[^\\x00-\\x7F]', '?', 'g') AS q FROM benchmark WHERE item_id < 40),
-m AS (SELECT read_id, item_id, levenshtein(s, q) AS d FROM d, p), r AS (SELECT *, row_number() OVER w AS r, lead(d) OVER w AS next FROM m WINDOW w AS (PARTITION BY read_id ORDER BY d, item_id))
-SELECT read_id, item_id AS call, CAST(d AS INT) AS distance, CAST(coalesce(next - d, 0) AS INT) AS margin FROM r WHERE r = 1""",
-    "l2_temperature": f"""
-WITH {I.LOGITS}, g AS (SELECT i, 0.05::DOUBLE * pow(pow(20.0::DOUBLE / 0.05::DOUBLE, 1.0::DOUBLE / 60), i) AS t FROM range(61) x(i)),
-m AS (SELECT i, t, round(avg(list_max(logits) / t + ln(list_sum(list_transform(logits, lambda x: exp((x - list_max(logits)) / t)))) - logits[label + 1] / t), 9) AS nll FROM logits, g GROUP BY 1, 2)
-SELECT round(t, 6) AS temperature, round(nll, 6) AS nll FROM m ORDER BY m.nll, i LIMIT 1""",
+WITH d AS (SELECT p_partkey AS read_id, concat(p_name, ' ', p_type) AS s FROM part), p AS (SELECT DISTINCT p_name AS name FROM part),
+m AS (SELECT read_id, name, levenshtein(s, name) AS d FROM d, p), r AS (SELECT *, row_number() OVER w AS r, lead(d) OVER w AS next FROM m WINDOW w AS (PARTITION BY read_id ORDER BY d, name))
+SELECT read_id, name AS call, CAST(d AS INT) AS distance, CAST(coalesce(next - d, 0) AS INT) AS margin FROM r WHERE r = 1""",
+    "l2_temperature": f"WITH {I.LOGITS}, {BISECTED} SELECT round(1 / b, 6) AS temperature, round(avg(list_max(logits) * b + ln(list_sum(list_transform(logits, lambda x: exp((x - list_max(logits)) * b)))) - logits[label + 1] * b), 6) AS nll FROM logits, (SELECT (lo + hi) / 2 AS b FROM s{STEPS}) GROUP BY b",
     "l5_calibrated": f"WITH {I.LOGITS}, {I.PROBS}, b AS (SELECT id, label, logits, probs FROM logits JOIN probs USING (id, label)), z AS ("
     + " UNION ALL ".join(f"SELECT label, '{k}' AS method, {v} AS z FROM b" for k, v in Z.items())
     + "), s AS (SELECT label, method, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z)"
     " SELECT method, round(avg(CAST(list_position(e, list_max(e)) - 1 = label AS INT)), 6) AS accuracy, round(avg(list_max(e) / list_sum(e)), 6) AS confidence FROM s GROUP BY 1",
     "l8_losses": f"""
 WITH {I.SCORES}, x AS (SELECT grp, label, 1 / (1 + exp(-ln((prob + 1e-3) / (1 - prob + 1e-3)))) AS p, CASE grp WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS r FROM scores),
-y AS (SELECT *, greatest(1e-7, least(1 - 1e-7, p * (1 - r) + (1 - p) * r / 2)) AS q, greatest(1e-7, CASE WHEN label = 1 THEN p ELSE 1 - p END) AS hit FROM x)
+y AS (SELECT *, greatest(1e-7, least(1 - 1e-7, p * (1 - r) + (1 - p) * r)) AS q, greatest(1e-7, CASE WHEN label = 1 THEN p ELSE 1 - p END) AS hit FROM x)
 SELECT grp, round(avg(-(label * ln(q) + (1 - label) * ln(1 - q))), 6) AS noisy, round(avg(-pow(1 - hit, CASE WHEN label = 1 THEN 2.0 ELSE 1.0 END) * ln(hit)), 6) AS focal FROM y GROUP BY 1""",
     "w9_schedule": """
-SELECT o_orderkey AS step, round(CASE WHEN o_orderkey < 20 THEN (o_orderkey + 1) / 20.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (o_orderkey - 20) / 130.0::DOUBLE))) END, 6) AS factor FROM orders WHERE o_orderkey < 200""",
+SELECT o_orderkey AS step, round(CASE WHEN o_orderkey < 2000 THEN (o_orderkey + 1) / 2000.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (o_orderkey - 2000) / 13000.0::DOUBLE))) END, 6) AS factor FROM orders""",
     "l10_confound_codes": """
 WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 > 0 THEN source END AS value FROM documents), c AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INT) AS code FROM (SELECT DISTINCT value FROM d WHERE coalesce(value, '') != ''))
 SELECT doc_id, coalesce(code, -1) AS code FROM d LEFT JOIN c USING (value)""",

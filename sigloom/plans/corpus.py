@@ -31,14 +31,15 @@ def split_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Three overlapping parts of the documents, as the files of a corpus."""
+    """Two overlapping groups of languages and all documents, as the files of a corpus."""
     docs = I.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"), F.col("source").alias("source_group"), "n_chars")
-    return [docs.where(docs.doc_id % 4 == r) for r in (0, 1)] + [docs.where(docs.doc_id % 2 == 0).withColumn("label", F.lit("mixed"))]
+    return [docs.where(docs.label.isin("de", "en")), docs.where(docs.label.isin("en", "fr")), docs.withColumn("label", F.lit("mixed"))]
 
 
 FILES = (
-    "files AS (SELECT doc_id % 4 AS file, doc_id, lang AS label, source AS source_group, n_chars FROM documents WHERE doc_id % 4 IN (0, 1)"
-    " UNION ALL SELECT 2, doc_id, 'mixed', source, n_chars FROM documents WHERE doc_id % 2 = 0)"
+    "files AS (SELECT 0 AS file, doc_id, lang AS label, source AS source_group, n_chars FROM documents WHERE lang IN ('de', 'en')"
+    " UNION ALL SELECT 1, doc_id, lang, source, n_chars FROM documents WHERE lang IN ('en', 'fr')"
+    " UNION ALL SELECT 2, doc_id, 'mixed', source, n_chars FROM documents)"
 )
 
 
@@ -55,7 +56,7 @@ def merge_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_multiclass_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = I.table(spark, sf_dir, "documents")
-    rows = docs.join(F.broadcast(splits.label_codes(docs, "lang")), "lang").join(splits.folds(docs, "doc_id", 5), "doc_id")
+    rows = docs.join(splits.label_codes(docs, "lang"), "lang").join(splits.folds(docs, "doc_id", 5), "doc_id")
     return rows.groupBy("fold", "split", "code").agg(F.count("*").alias("n"))
 
 
@@ -103,7 +104,7 @@ def corpus_plan_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLAN = (
-    "long AS (SELECT *, row_number() OVER (PARTITION BY grp, batch ORDER BY md5(concat('42:', read_id)), read_id) AS turn, count(*) OVER (PARTITION BY grp) AS n FROM manifest WHERE anchor_end > 300 + 200),"
+    "long AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY md5(concat('42:', read_id)), read_id) AS turn, count(*) OVER (PARTITION BY grp) AS n FROM manifest WHERE anchor_end > 300 + 200),"
     " placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY turn, batch, read_id) - 1 AS rank, greatest(1, floor(n * 0.1::DOUBLE)) AS n_test FROM long)"
 )
 
@@ -149,8 +150,9 @@ ORACLE = {
     "r5_split_by_group": """
 WITH p AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('42:', source)), source) - 1 AS rank FROM (SELECT DISTINCT source, lang FROM documents)),
 q AS (SELECT *, greatest(1, floor(n * 0.1::DOUBLE)) AS nv FROM p),
-t AS (SELECT *, least(greatest(1, floor(n * 0.8::DOUBLE)), greatest(1, n - nv - 1)) AS nt FROM q),
-s AS (SELECT source, lang, CASE WHEN n = 1 THEN 'train' WHEN n = 2 THEN CASE WHEN rank = 0 THEN 'train' ELSE 'test' END WHEN rank < nt THEN 'train' WHEN rank < nt + nv AND rank < n - 1 THEN 'val' ELSE 'test' END AS split FROM t)
+t AS (SELECT *, greatest(1, floor(n * 0.8::DOUBLE)) AS nt FROM q),
+v AS (SELECT * REPLACE (CASE WHEN nt + nv >= n THEN greatest(1, n - nt - 1) ELSE nv END AS nv) FROM t),
+s AS (SELECT source, lang, CASE WHEN n = 1 THEN 'train' WHEN n = 2 THEN CASE WHEN rank = 0 THEN 'train' ELSE 'test' END WHEN rank < nt THEN 'train' WHEN rank < nt + nv THEN 'val' ELSE 'test' END AS split FROM v)
 SELECT source, split FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY lang DESC) = 1""",
     "r6_last_label": f"WITH {FILES} SELECT doc_id, label FROM files QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY file DESC, label DESC) = 1",
     "r14_merge_relabelled": f"""

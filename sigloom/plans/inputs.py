@@ -98,10 +98,14 @@ MANIFEST = (
 )
 
 
-def bases(text: Column, n: int) -> Column:
-    """The first letters of a text as bases; what is no ASCII letter stays as it is."""
-    return F.translate(F.lower(F.substring(text, 1, n)), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 2 * "ACGTACGTACGTACGTACGTACGTAC"
 
 
-def bases_sql(text: str, n: int) -> str:
-    return f"translate(lower(substring({text}, 1, {n})), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+def bases(text: Column) -> Column:
+    """A text's letters as bases; what is no ASCII letter stays as it is."""
+    return F.translate(text, LETTERS, AS_BASES)
+
+
+def bases_sql(text: str) -> str:
+    """The same as a list of letters."""
+    return f"string_split(translate({text}, '{LETTERS}', '{AS_BASES}'), '')"

@@ -80,7 +80,7 @@ def best_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = I.table(spark, sf_dir, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("epoch"), F.col("p_retailprice").alias("loss"))
+    history = I.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("epoch"), F.col("p_retailprice").alias("loss"))
     return sinks.best_checkpoint(history)
 
 
@@ -111,7 +111,7 @@ SELECT user_id, round(avg(d * 1.25::DOUBLE), 4) AS dwell, round(avg(ln(d + 1e-6)
 WITH f AS (SELECT o_orderpriority AS fold, CASE WHEN starts_with(o_orderpriority, '1') THEN NULL ELSE round(avg(o_totalprice), 4) END AS loss, round(max(o_totalprice), 4) AS f1 FROM orders GROUP BY 1)
 SELECT fold FROM f ORDER BY coalesce(loss, 'inf'::DOUBLE), f1 DESC, fold LIMIT 1""",
     "a34_checkpoint": """
-WITH h AS (SELECT p_partkey AS epoch, p_retailprice AS loss FROM part WHERE p_partkey <= 50), l AS (SELECT * FROM h ORDER BY epoch DESC LIMIT 1), b AS (SELECT * FROM h ORDER BY loss, epoch LIMIT 1)
-SELECT CASE WHEN l.loss > b.loss * 1.05::DOUBLE THEN b.epoch ELSE l.epoch END AS epoch FROM l, b""",
+WITH h AS (SELECT p_partkey AS epoch, p_retailprice AS loss FROM part), l AS (SELECT * FROM h ORDER BY epoch DESC LIMIT 1), b AS (SELECT * FROM h ORDER BY loss, epoch LIMIT 1)
+SELECT CASE WHEN l.loss > b.loss * 1.25::DOUBLE THEN b.epoch ELSE l.epoch END AS epoch FROM l, b""",
     "k8_score_histogram": f"WITH {I.SCORES} SELECT label, CAST(least(floor(prob * 10), 9) AS BIGINT) AS tenth, count(*) AS n FROM scores GROUP BY 1, 2",
 }

@@ -76,9 +76,9 @@ LEVELS = "levels AS (SELECT concat(substring('ACGT', ((i >> 4) % 4) + 1, 1), sub
 
 
 def expected_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected level of every base of a document's first bases: that of the k-mer around it, 0 at edges and unknown."""
-    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), I.bases(F.col("text"), 120).alias("s"))
-    return chunks.expected_levels(docs, "read_id", "s", kmer_levels(spark), 3).where("level != 0")
+    """Expected level of every base of a document: that of the k-mer around it, 0 for unknown ones."""
+    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), I.bases(F.col("text")).alias("s"))
+    return chunks.expected_levels(docs, "read_id", "s", kmer_levels(spark), 3)
 
 
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,13 +140,13 @@ def motif_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def focus_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), I.bases(F.col("text"), 200).alias("s"))
+    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), I.bases(F.col("text")).alias("s"))
     return chunks.focus_bases(docs, "read_id", "s", "ATC", 1)
 
 
 def kmer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters around every focus base, with N outside the read and with one side masked."""
-    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), I.bases(F.col("text"), 200).alias("s"))
+    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), I.bases(F.col("text")).alias("s"))
     rows = chunks.focus_bases(docs, "read_id", "s", "ATC", 1, keep=("s",))
     k = sequence.context(F.col("s"), F.col("base_idx"), 5, 5)
     return rows.select("read_id", "base_idx", k.alias("kmer"), sequence.one_side_masked(k, F.lit(5), "left").alias("left"), sequence.one_side_masked(k, F.lit(5), "right").alias("right"))
@@ -165,16 +165,16 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchored_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base of a focus sample: the last that starts at or before it, at least 5 bases from either end."""
     reads = with_moves(I.line_reads(spark, sf_dir))
-    focus = I.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") % 90).cast("int").alias("anchor"))
+    focus = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") % 90).cast("int").alias("anchor"))
     rows = reads.join(focus, "read_id")
     n = F.size("map") - 1
     return rows.where(n >= 2).select("read_id", "anchor", F.greatest(F.lit(0), F.least(n - 2, signal.base_of_sample(F.col("map"), F.col("anchor")))).alias("base_idx"))
 
 
 def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the one-hot encoding: how many ones each has, by document."""
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", sequence.one_hot(I.bases(F.col("text"), 200)).alias("x"))
-    return docs.select("doc_id", F.posexplode("x").alias("base", "row")).select("doc_id", "base", F.aggregate("row", F.lit(0), lambda a, v: a + v).alias("ones"))
+    """Rows of the one-hot encoding: how many ones each has, and a digest of the row, by document."""
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", sequence.one_hot(I.bases(F.col("text"))).alias("x"))
+    return docs.select("doc_id", F.posexplode("x").alias("base", "row")).select("doc_id", "base", F.aggregate("row", F.lit(0), lambda a, v: a + v).alias("ones"), F.md5(F.array_join(F.col("row").cast("array<string>"), "")).alias("digest"))
 
 
 def signal_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,11 +184,11 @@ def signal_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples by the base that they lie in, as a join of samples with the bases' spans."""
+    """Samples by the base that they lie in. A read's map is at hand, so no join is needed."""
     reads = with_moves(I.line_reads(spark, sf_dir))
-    spans = reads.select("read_id", F.posexplode("map").alias("base_idx", "start")).join(reads.select("read_id", "map"), "read_id").select("read_id", "base_idx", "start", arrays.at(F.col("map"), F.col("base_idx") + 1).alias("stop")).where("stop is not null")
-    samples = reads.where("read_id % 10 = 0").select("read_id", F.explode(F.filter(arrays.indices(F.col("samples")), lambda i: i % 4 == 0)).alias("sample"))
-    return samples.join(spans, "read_id").where("sample >= start and sample < stop").groupBy("read_id", "base_idx").agg(F.count("*").alias("n"))
+    base = signal.base_of_sample(F.col("map"), F.col("sample"))
+    samples = reads.select("read_id", "map", F.explode(arrays.indices(F.col("samples"))).alias("sample")).select("read_id", base.alias("base_idx"))
+    return samples.where("base_idx >= 0").groupBy("read_id", "base_idx").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -199,6 +199,7 @@ QUERIES = {
     "p17_signal_kmers": signal_kmers, "j14_sample_bases": sample_bases,
 }
 
+HITS = "list_filter(range(greatest(len(s) - 2, 0)), lambda p: s[p + 1] = 'A' AND s[p + 2] = 'T' AND s[p + 3] = 'C')"
 AROUND = "list_transform(range(-2, 3), lambda j: CAST(d[greatest(1, least(len(d), i + j + 1))] AS DOUBLE))"
 
 ORACLE = {
@@ -223,9 +224,9 @@ y AS (SELECT read_id, 'median_mad' AS method, CASE WHEN mad > 0 THEN (x - med) /
   UNION ALL SELECT read_id, 'pa_scaling', ((x + 10.0::DOUBLE) * 0.2::DOUBLE - 90.0::DOUBLE) / 12.0::DOUBLE FROM e)
 SELECT read_id, method, round(avg(y), 6) + 0 AS mean, round(min(y), 6) AS low, round(max(y), 6) AS high FROM y GROUP BY 1, 2""",
     "p11_expected_levels": f"""
-WITH {LEVELS}, d AS (SELECT doc_id AS read_id, upper({I.bases_sql('text', 120)}) AS s FROM documents),
-k AS (SELECT read_id, i, substring(s, i + 1, 3) AS kmer FROM d, LATERAL unnest(range(greatest(len(s) - 2, 0))) u(i))
-SELECT read_id, CAST(i + 1 AS INT) AS base_idx, level FROM k JOIN levels USING (kmer)""",
+WITH {LEVELS}, d AS (SELECT doc_id AS read_id, {I.bases_sql('text')} AS s FROM documents WHERE text IS NOT NULL AND text != ''),
+k AS (SELECT read_id, unnest(range(greatest(len(s) - 2, 0))) AS i, unnest(list_transform(range(greatest(len(s) - 2, 0)), lambda i: concat(s[i + 1], s[i + 2], s[i + 3]))) AS kmer FROM d)
+SELECT read_id, CAST(i + 1 AS INT) AS base_idx, coalesce(level, 0) AS level FROM k LEFT JOIN levels USING (kmer)""",
     "p12_residual_features": f"""
 WITH {I.EVENT_SIGNALS}, {SPANS}, x AS (SELECT read_id, i, coalesce(list_avg(v[map[i + 1] + 1:map[i + 2]]), 0) AS m, CASE WHEN i % 3 = 0 OR i >= len(map) - 2 THEN 0 ELSE CAST(i AS DOUBLE) END AS e FROM spans, LATERAL unnest(range(len(map) - 1)) u(i))
 SELECT read_id, CAST(i AS INT) AS base_idx, round(e, 6) AS kmer_expected, round(m - e, 6) AS kmer_residual, round(abs(m - e), 6) AS kmer_abs_residual FROM x""",
@@ -253,11 +254,12 @@ WITH d AS (SELECT doc_id, lower(translate(text, 'éèêàùç', 'eeeauc')) AS s
 h AS (SELECT doc_id, motif, list_filter(range(greatest(len(s) - len(motif) + 1, 0)), lambda p: substring(s, p + 1, len(motif)) = motif) AS p FROM d, m)
 SELECT doc_id, motif, len(p) AS n, p[1] AS first, p[len(p)] AS last FROM h WHERE len(p) > 0""",
     "c6_focus_bases": f"""
-WITH d AS (SELECT doc_id AS read_id, {I.bases_sql('text', 200)} AS s FROM documents)
-SELECT read_id, CAST(p + 1 AS INT) AS base_idx FROM d, LATERAL unnest(list_filter(range(greatest(len(s) - 2, 0)), lambda p: substring(upper(s), p + 1, 3) = 'ATC')) u(p)""",
+WITH d AS (SELECT doc_id AS read_id, {I.bases_sql('text')} AS s FROM documents)
+SELECT read_id, CAST(p + 1 AS INT) AS base_idx FROM (SELECT read_id, unnest({HITS}) AS p FROM d)""",
     "c12_kmer_contexts": f"""
-WITH d AS (SELECT doc_id AS read_id, {I.bases_sql('text', 200)} AS s FROM documents),
-f AS (SELECT read_id, p + 1 AS b, concat('NNNNN', s, 'NNNNN')[p + 2:p + 12] AS k FROM d, LATERAL unnest(list_filter(range(greatest(len(s) - 2, 0)), lambda p: substring(upper(s), p + 1, 3) = 'ATC')) u(p))
+WITH d AS (SELECT doc_id AS read_id, {I.bases_sql('text')} AS s FROM documents),
+h AS (SELECT read_id, unnest({HITS}) AS p, unnest(list_transform({HITS}, lambda p: list_transform(range(-4, 7), lambda j: CASE WHEN p + j >= 0 AND p + j < len(s) THEN s[p + j + 1] ELSE 'N' END))) AS l FROM d),
+f AS (SELECT read_id, p + 1 AS b, array_to_string(l, '') AS k FROM h)
 SELECT read_id, CAST(b AS INT) AS base_idx, k AS kmer, concat('NNNNN', k[6:11]) AS "left", concat(k[1:6], 'NNNNN') AS "right" FROM f""",
     "c11_chunks": f"""
 WITH {I.LINE_READS}, {MOVES}, f AS (SELECT read_id, map, i AS b, (map[i + 1] + map[i + 2]) // 2 AS s, map[len(map)] AS n FROM mapped, LATERAL unnest(range(0, len(map) - 1, 3)) u(i))
@@ -266,15 +268,16 @@ SELECT read_id, CAST(b AS INT) AS base_idx, CAST(s AS INT) AS focus_sample, 45 A
   round(CAST(list_sum(list_transform(range(6), lambda j: (j + 1) * CASE WHEN b - 2 + j >= 0 AND b - 2 + j < len(map) - 1 THEN map[b + j] - map[b - 1 + j] ELSE 0 END)) AS DOUBLE), 6) AS dwells FROM f""",
     "c13_anchored_bases": f"""
 WITH {I.LINE_READS}, {MOVES}
-SELECT read_id, CAST(o_custkey % 90 AS INT) AS anchor, CAST(greatest(0, least(len(map) - 3, len(list_filter(map, lambda x: x <= o_custkey % 90)) - 1)) AS INT) AS base_idx FROM mapped JOIN orders ON o_orderkey = read_id WHERE read_id % 3 = 0 AND len(map) - 1 >= 2""",
+SELECT read_id, CAST(o_custkey % 90 AS INT) AS anchor, CAST(greatest(0, least(len(map) - 3, len(list_filter(map, lambda x: x <= o_custkey % 90)) - 1)) AS INT) AS base_idx FROM mapped JOIN orders ON o_orderkey = read_id WHERE len(map) - 1 >= 2""",
     "p20_one_hot": f"""
-WITH d AS (SELECT doc_id, {I.bases_sql('text', 200)} AS s FROM documents)
-SELECT doc_id, CAST(b AS INT) AS base, CAST(len(list_filter(range(len(s)), lambda i: substring(s, i + 1, 1) = substring('ACGT', b + 1, 1))) AS INT) AS ones FROM d, range(4) t(b)""",
+WITH d AS (SELECT doc_id, {I.bases_sql('text')} AS s FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, b, list_transform(s, lambda x: CASE WHEN x = substring('ACGT', b + 1, 1) THEN '1' ELSE '0' END) AS r FROM d, range(4) t(b))
+SELECT doc_id, CAST(b AS INT) AS base, CAST(len(list_filter(r, lambda x: x = '1')) AS INT) AS ones, md5(array_to_string(r, '')) AS digest FROM r""",
     "p17_signal_kmers": f"""
 WITH {I.LINE_READS}, {MOVES}, s AS (SELECT read_id, p, i, CAST(v[i + p] AS BIGINT) % 5 - 1 AS c, map[i + 1] AS a, map[i + 2] AS z FROM mapped, LATERAL unnest(range(len(map) - 1)) u(i), range(3) t(p) WHERE i + p >= 1 AND i + p <= len(v))
 SELECT read_id, CAST(4 * p + c AS INT) AS "row", CAST(a AS INT) AS start, CAST(z AS INT) AS stop FROM s WHERE c >= 0 AND z > a""",
     "j14_sample_bases": f"""
-WITH {I.LINE_READS}, {MOVES}, b AS (SELECT read_id, i, map[i + 1] AS a, map[i + 2] AS z FROM mapped, LATERAL unnest(range(len(map) - 1)) u(i) WHERE read_id % 10 = 0),
-x AS (SELECT read_id, i, len(list_filter(range(a, z), lambda t: t % 4 = 0)) AS n FROM b)
-SELECT read_id, CAST(i AS INT) AS base_idx, n FROM x WHERE n > 0""",
+WITH {I.LINE_READS}, {MOVES}, b AS (SELECT read_id, i, map[i + 1] AS a, map[i + 2] AS z FROM mapped, LATERAL unnest(range(len(map) - 1)) u(i)),
+x AS (SELECT read_id, i, z - a AS n FROM b)
+SELECT read_id, CAST(i AS INT) AS base_idx, CAST(n AS BIGINT) AS n FROM x WHERE n > 0""",
 }

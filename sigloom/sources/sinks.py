@@ -46,7 +46,12 @@ def best_fold(folds: DataFrame) -> DataFrame:
     return folds.orderBy(F.coalesce("final_val_loss", F.lit(float("inf"))), F.desc("best_val_f1"), "fold").limit(1)
 
 
-def best_checkpoint(history: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """The last epoch, unless its loss is above the best by more than the tolerance: then the best epoch."""
+def best_checkpoint(history: DataFrame, tolerance: float = 0.25, always_final: bool = False) -> DataFrame:
+    """The last epoch, unless its loss is above the best by more than the tolerance: then the best epoch. No epoch is an
+    error."""
+    if history.isEmpty():
+        raise ValueError("there are no epochs")
+    if always_final:
+        return history.agg(F.max("epoch").alias("epoch"))
     ends = history.agg(F.max(F.struct("epoch", "loss")).alias("last"), F.min(F.struct("loss", "epoch")).alias("best"))
     return ends.select(F.when(F.col("last.loss") > F.col("best.loss") * (1 + tolerance), F.col("best.epoch")).otherwise(F.col("last.epoch")).alias("epoch"))

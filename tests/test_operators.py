@@ -38,6 +38,8 @@ def test_groups_never_cross(spark):
     assert got["z"] == "train" and {got["x"], got["y"]} == {"train", "test"}
     assert got["g1"] == "train"  # alone in the last label
     assert {"val", "test", "train"} <= set(got.values())
+    three = splits.by_group(spark.createDataFrame([(f"g{i}", "a") for i in range(3)], "g string, l string"), "g", "l").collect()
+    assert sorted(r["split"] for r in three) == ["train", "train", "val"]
 
 
 def test_merge_needs_equal_columns(spark):
@@ -54,6 +56,8 @@ def test_votes_break_ties_by_first_appearance(spark):
     assert votes.pairwise(rows, pairs).first()["call"] == "a"
     weighted = votes.pairwise(rows, pairs, weighted=True).first()
     assert weighted["call"] == "a" and weighted["confidence"] == 0.0
+    alone = votes.tournament(rows, pairs, top=1).first()
+    assert (alone["call"], alone["confidence"]) == ("a", 0.0)
     x = spark.range(1).select(votes.pair_labels(F.lit("a_b_c")).alias("x")).first()["x"]
     assert (x["neg"], x["pos"]) == ("a", "b_c")
 
@@ -102,6 +106,14 @@ def test_platt_and_linear_maps_lower_the_loss(spark):
         calibration.noise_rates("a=1.0")
     with pytest.raises(ValueError):
         calibration.focal(F.lit(0.0), F.lit(1), -1.0)
+    for logit, y, r, w in ((0.3, 1, 0.2, 1.0), (-40.0, 1, 0.0, 2.0), (40.0, 0, 0.1, 1.0), (0.0, 1, 1.0, 1.0), (2.0, 0, None, 3.0)):
+        p, rate = 1 / (1 + math.exp(-logit)), r or 0.0
+        q = (1 - rate) * p + rate * (1 - p)
+        want = -(w * y * math.log(q) + (1 - y) * math.log(1 - q)) if 0 < q < 1 else 0.0
+        got = spark.range(1).select(calibration.noisy_bce(F.lit(logit), F.lit(y), F.lit(r).cast("double"), w).alias("x")).first()["x"]
+        assert got == pytest.approx(want, rel=1e-6)
+    hot = calibration.temperature(spark.createDataFrame([([1.0, 0.0], 0)], "logits array<double>, label int")).first()
+    assert hot["temperature"] == pytest.approx(0.1, abs=1e-5)
 
 
 def test_nearest_reference_in_parts(spark, monkeypatch):
@@ -136,8 +148,16 @@ def test_crf_sums_and_best_paths(spark):
     scores = rng.normal(size=(1, 3, 6))
     every = list(paths(scores[0], 2, 1))
     assert crf.log_partition(scores, 2, 1)[0] == pytest.approx(math.log(sum(math.exp(v) for v, _, _ in every)))
-    best = max(every)
-    assert crf.decoded(scores, 2, 1, "AC")[0] == "".join("AC"[b] for b in best[1])
+    before, s = crf.predecessors(2, 1), scores.reshape(3, 2, 3)
+    steps = [(to, e) for to in range(2) for e in range(3)]
+    whole = [p for p in itertools.product(steps, repeat=3) if all(before[b[0], b[1]] == a[0] for a, b in zip(p, p[1:], strict=False))]
+    weight = {p: math.exp(sum(s[t, to, e] for t, (to, e) in enumerate(p))) for p in whole}
+    total = sum(weight.values())
+    posterior = crf.posteriors(scores, 2, 1)[0]
+    for t, (to, e) in itertools.product(range(3), steps):
+        assert posterior[t, to, e] == pytest.approx(sum(w for p, w in weight.items() if p[t] == (to, e)) / total)
+    best = max(whole, key=lambda p: sum(math.log(posterior[t, to, e] + 1e-8) for t, (to, e) in enumerate(p)))
+    assert crf.decoded(scores, 2, 1, "AC")[0] == "".join("AC"[to % 2] for to, e in best if e)
     target = np.array([1, 0, 1])
     want = math.log(sum(math.exp(v) for v, o, first in every if first == 1 and o == (0, 1)))
     assert crf.log_target(scores[0], target, 2, 1) == pytest.approx(want)
@@ -160,3 +180,33 @@ def test_a_shard_does_not_change_the_plan(spark):
     shard = {r["read_id"]: (r["rank"], r["split"]) for r in splits.planned(m, 500, 0.2, shard=["b1"]).collect()}
     assert shard and all(whole[k] == v for k, v in shard.items())
     assert 0 not in whole  # 700 is not above 500 + 200
+    with pytest.raises(ValueError):
+        splits.planned(m, 500, 0.2, shard=["b1", "none"])
+    with pytest.raises(ValueError):
+        splits.planned(m, 5000, 0.2)
+
+
+def test_batches_take_turns_across_groups(spark):
+    rows = [(i, 10_000, "g" if i % 5 else "h", "big" if i < 90 else "small") for i in range(100)]
+    m = spark.createDataFrame(rows, "read_id int, anchor_end int, group string, batch string")
+    import hashlib
+
+    turn = {}
+    for b in ("big", "small"):
+        for k, i in enumerate(sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i, _, _, x in rows if x == b)):
+            turn[i[1]] = (k, b, i[1])
+    for g in "gh":
+        want = sorted(turn[i] for i, _, x, _ in rows if x == g)
+        got = {r["rank"]: r["read_id"] for r in splits.planned(m, 500, 0.2, per_group=1000).collect() if r["group"] == g}
+        assert [got[k] for k in range(len(want))] == [w[2] for w in want]
+
+
+def test_checkpoints(spark):
+    from sigloom.sources import sinks
+
+    h = spark.createDataFrame([(1, 1.0), (2, 1.2)], "epoch int, loss double")
+    assert sinks.best_checkpoint(h).first()["epoch"] == 2
+    assert sinks.best_checkpoint(h, 0.05).first()["epoch"] == 1
+    assert sinks.best_checkpoint(h, 0.05, always_final=True).first()["epoch"] == 2
+    with pytest.raises(ValueError):
+        sinks.best_checkpoint(h.where("epoch > 5"))
