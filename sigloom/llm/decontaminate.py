@@ -3,19 +3,18 @@
 A benchmark window is `width` consecutive words of an item, or all words of a shorter item. It is the set of its word
 shingles; a document contains it only if it has them all, so the necessary prefix is one shingle. The shingles of the
 windows are counted over the whole corpus and the rarest of each window is its join key (rarity order). A document's
-shingles that are keys give candidates; the key's place in the window bounds where the window must start and end
-(positional and length bound); what is left is compared word by word over a stretch as long as the window.
+shingles that are keys give candidates, each with the words around it; they are joined to the windows. The key's place in
+the window bounds where the window must start and end (positional and length bound); what is left is compared word by word.
 
-The benchmark is cut into parts of at most PART words. A part's keys and windows are sent to the workers, and documents
-stream past all parts in one pass without a shuffle, so no document, source or copy group can weigh on one task.
+Windows, counts, keys and candidates are tables, and no item passes through the driver. What is sent to all workers is a
+sieve of B.BITS bits, the same for any benchmark: it passes every wanted shingle and some others, which the join drops.
 
 Null text: no words. Null item_id, or an item without words: no window. Repeated rows keep their own rows; items that
-share an item_id count once. Other columns are ignored.
+share an item_id count once. A text of many MB is a block of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-PART = 2_000_000
 GAP = np.ones(256, bool)
 GAP[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -36,176 +34,135 @@ def words_of(block: B.Block) -> B.Words:
     return B.Words(LOWER[block.data], block.offsets, GAP)
 
 
-class Windows:
-    """The distinct windows of some items; item lists by window."""
-
-    def __init__(self, items: list[tuple[str, str]], width: int, shingle: int):
-        seen: dict[tuple[bytes, ...], set[str]] = {}
-        for name, text in items:
-            raw = LOWER[np.frombuffer(text.encode(), np.uint8)]
-            w = B.Words(raw, np.array([0, len(raw)]), GAP)
-            data = raw.tobytes()
-            words = [data[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-            for k in range(max(1, len(words) - width + 1)) if words else ():
-                seen.setdefault(tuple(words[k : k + width]), set()).add(name)
-        self.windows, self.items = list(seen), [sorted(x) for x in seen.values()]
-        self.size = np.array([len(w) for w in self.windows], np.int64)
-        vocabulary = sorted({x for w in self.windows for x in w})
-        raw = np.frombuffer(b" ".join(vocabulary), np.uint8)
-        hashes = dict(zip(vocabulary, B.Words(raw, np.array([0, len(raw)]), GAP).hashes(), strict=True)) if vocabulary else {}
-        self.words = np.zeros((len(self.windows), width), np.uint64)
-        self.grams: list[tuple[int, np.ndarray]] = []  # of each window: shingle size, hashes
-        for i, w in enumerate(self.windows):
-            h = np.array([hashes[x] for x in w], np.uint64)
-            self.words[i, : len(w)] = h
-            k = min(shingle, len(w))
-            self.grams.append((k, B.gram_hashes(h, k)))
-
-    def shingles(self) -> dict[int, np.ndarray]:
-        sizes = sorted({k for k, _ in self.grams})
-        return {k: np.unique(np.concatenate([g for s, g in self.grams if s == k])) for k in sizes}
-
-    def order(self, counts: dict[int, int]) -> None:
-        """Chooses each window's rarest shingle and keeps the windows by it."""
-        keys: dict[int, list[tuple[int, int, int]]] = {}
-        for i, (k, g) in enumerate(self.grams):
-            at = min(range(len(g)), key=lambda j: (counts.get(int(g[j]), 0), int(g[j]), j))
-            keys.setdefault(k, []).append((int(g[at]), i, at))
-        self.index = {}
-        for k, rows in keys.items():
-            rows.sort()
-            key = np.array([r[0] for r in rows], np.uint64)
-            unique, first = np.unique(key, return_index=True)
-            self.index[k] = (unique, np.append(first, len(key)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), sieve(unique))
-        self.grams = []
-
-
-def sieve(keys: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << 20, bool)
-    table[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return table
-
-
-def found(grams: np.ndarray, keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in grams that hold a key, and which key."""
-    at = np.flatnonzero(table[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
-    k = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
-    same = keys[k] == grams[at]
-    return at[same], k[same]
-
-
-def shingle_counts(documents: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int, int]:
-    """How often the whole corpus has each of these shingles."""
+def windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """item, window (its words joined by a space), size: the distinct windows of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros(len(v), np.int64) for k, v in wanted.items()}
-        tables = {k: sieve(v) for k, v in wanted.items()}
         for block in B.blocks(batches):
             w = words_of(block)
-            h = w.hashes()
-            of = np.repeat(np.arange(block.n), np.diff(w.first))
-            for k, keys in wanted.items():
-                at, key = found(B.gram_hashes(h, k), keys, tables[k])
-                total[k] += np.bincount(key[of[at] == of[at + k - 1]], minlength=len(keys))
-        for k, keys in wanted.items():
-            some = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[k][some])], names=["shingle", "n"])
+            raw, out = w.data.tobytes(), []
+            for item, a, b in zip(block.batch.column("item").to_pylist(), w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                n = min(width, b - a)
+                words = [raw[x:y].decode("utf-8", "replace") for x, y in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True)]
+                out += [(item, " ".join(words[k : k + n]), n) for k in range(b - a - n + 1)] if n else []
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)], names=["item", "window", "size"])
 
-    counted = documents.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    # as many rows as a part has shingles, at most
-    return {int(np.int64(r["shingle"]).view(np.uint64)): r["n"] for r in counted.collect()}
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    return items.mapInArrow(run, "item string, window string, size int").distinct()
 
 
-def scan(part: Windows, width: int, last: bool, carried: str):
-    """Adds to `hits` the words (first, end) that windows of this part cover, and to `items` their items. The last part
-    sums them up and drops the text."""
+def shingles(rows: DataFrame, shingle: int) -> DataFrame:
+    """window -> window, size, k, place, gram: its shingles of k words, by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in B.blocks(batches, column="window"):
+            w = words_of(block)
+            h, of, ks, places, grams = w.hashes(), [], [], [], []
+            for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                k = min(shingle, b - a)
+                g = B.gram_hashes(h[a:b], k)
+                of.append(np.full(len(g), i))
+                ks.append(np.full(len(g), k, np.int32))
+                places.append(np.arange(len(g), dtype=np.int32))
+                grams.append(g)
+            of = pa.array(np.concatenate(of))
+            yield pa.RecordBatch.from_arrays(
+                [block.batch.column("window").take(of), block.batch.column("size").take(of), pa.array(np.concatenate(ks)), pa.array(np.concatenate(places)), pa.array(np.concatenate(grams).view(np.int64))],
+                names=["window", "size", "k", "place", "gram"],
+            )
+
+    return rows.mapInArrow(run, "window string, size int, k int, place int, gram long")
+
+
+def sieved(w: B.Words, rows: int, shingle: int, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """k, and of the shingles of k words that pass the sieve: row, first word and hash."""
+    h, of = w.hashes(), np.repeat(np.arange(rows), np.diff(w.first))
+    for k in range(1, shingle + 1):
+        g = B.gram_hashes(h, k).view(np.int64)
+        at = np.flatnonzero(B.may_want(bits, g))
+        at = at[of[at] == of[at + k - 1]]
+        if len(at):
+            yield k, of[at], at, g[at]
+
+
+def shingle_counts(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """k, gram, n: how often the whole corpus has each of these shingles, and some others."""
+    sent = documents.sparkSession.sparkContext.broadcast(B.marked(wanted, "gram"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in B.blocks(batches):
+            for k, _, _, g in sieved(words_of(block), block.n, shingle, sent.value):
+                gram, n = np.unique(g, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), pa.array(gram), pa.array(n)], names=["k", "gram", "n"])
+
+    return documents.select("text").mapInArrow(run, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+
+
+def scanned(documents: DataFrame, keys: DataFrame, width: int, shingle: int) -> DataFrame:
+    """row, doc_id, n_words, found: of each row its shingles that may be keys, with the words around them."""
+    sent = documents.sparkSession.sparkContext.broadcast(B.marked(keys, "gram"))
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("gram", pa.int64()), ("at", pa.int64()), ("left", pa.int32()), ("around", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.blocks(batches):
             w = words_of(block)
-            h = w.hashes()
-            first = w.first
-            hits: dict[int, list[int]] = {}
-            items: dict[int, set[str]] = {}
-            raw = w.data.tobytes()
-            for k, (keys, lists, window, place, table) in part.index.items():
-                at, key = found(B.gram_hashes(h, k), keys, table)
-                n = lists[key + 1] - lists[key]
-                entry = np.repeat(lists[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                win, start = window[entry], np.repeat(at, n) - place[entry]
-                doc = np.searchsorted(first, np.repeat(at, n), side="right") - 1
-                size = part.size[win]
-                inside = (start >= first[doc]) & (start + size <= first[doc + 1])
-                win, start, doc, size = win[inside], start[inside], doc[inside], size[inside]
-                for lo in range(0, len(win), 50_000):
-                    s = slice(lo, lo + 50_000)
-                    step = np.arange(width)
-                    real = step[None, :] < size[s][:, None]
-                    same = (h[np.minimum(start[s][:, None] + step, len(h) - 1)] == part.words[win[s]]) | ~real
-                    for j in (np.flatnonzero(same.all(1)) + lo).tolist():
-                        a, m, d = int(start[j]), int(size[j]), int(doc[j])
-                        if all(raw[x:y] == t for x, y, t in zip(w.starts[a : a + m].tolist(), w.ends[a : a + m].tolist(), part.windows[win[j]], strict=True)):
-                            hits.setdefault(d, []).extend((a - int(first[d]), a - int(first[d]) + m))
-                            items.setdefault(d, set()).update(part.items[win[j]])
-            b = block.batch
-            old, names = b.column("hits").to_pylist(), b.column("items").to_pylist()
-            hits_of = [(x or []) + hits.get(i, []) for i, x in enumerate(old)]
-            items_of = [sorted({*(x or []), *items.get(i, ())}) for i, x in enumerate(names)]
-            out = {carried: b.column(carried), "n_words": pa.array(np.diff(first), pa.int64())}
-            if last:
-                out["n_hit"] = pa.array([covered(x) for x in hits_of], pa.int64())
-                out["n_items"] = pa.array([len(x) for x in items_of], pa.int64())
-                out["items_sha256"] = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items_of], pa.string())
-            else:
-                out |= {"text": b.column("text"), "hits": pa.array(hits_of, pa.list_(pa.int64())), "items": pa.array(items_of, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
-
-    return run
-
-
-def covered(hits: list[int]) -> int:
-    """Words inside any of the ranges first, end, first, end ..."""
-    end = total = 0
-    for a, b in sorted(zip(hits[::2], hits[1::2], strict=True)):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
-
-
-def item_parts(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """Items in runs of at most PART words or so; read by the driver one after another."""
-    parts, size = [[]], 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    for r in rows.toLocalIterator():
-        n = len(r["text"].split())
-        if size and size + n > PART:
-            parts.append([])
-            size = 0
-        parts[-1].append((r["item_id"], r["text"]))
-        size += n
-    return parts
-
-
-def judged(documents: DataFrame, benchmark: DataFrame, carried: str, width: int, shingle: int, share: float) -> DataFrame:
-    """(carried column, text) -> carried, n_words, n_hit, n_items, items_sha256, contaminated."""
-    B.small_batches(documents.sparkSession)
-    kind = documents.schema[carried].dataType.simpleString()
-    df = documents.select(carried, "text", F.lit(None).cast("array<long>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    parts = item_parts(benchmark)
-    for k, items in enumerate(parts, 1):
-        part = Windows(items, width, shingle)
-        part.order(shingle_counts(documents, part.shingles()))
-        more = "n_hit long, n_items long, items_sha256 string" if k == len(parts) else "text string, hits array<long>, items array<string>"
-        df = df.mapInArrow(scan(part, width, k == len(parts), carried), f"{carried} {kind}, n_words long, {more}")
-    return df.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / share) >= F.col("n_words")))
+            raw, found = w.data.tobytes(), [[] for _ in range(block.n)]
+            for k, of, at, g in sieved(w, block.n, shingle, sent.value):
+                low, high = np.maximum(w.first[of], at - (width - k)), np.minimum(w.first[of + 1], at + width)
+                for i, p, gram, a, b in zip(of.tolist(), at.tolist(), g.tolist(), low.tolist(), high.tolist(), strict=True):
+                    around = b" ".join([raw[x:y] for x, y in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True)])
+                    found[i].append({"k": k, "gram": gram, "at": p - int(w.first[i]), "left": p - a, "around": around.decode("utf-8", "replace")})
+            yield pa.RecordBatch.from_arrays([block.batch.column("row"), block.batch.column("doc_id"), pa.array(np.diff(w.first), pa.int64()), pa.array(found, kind)], names=["row", "doc_id", "n_words", "found"])
+
+    return documents.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_words long, found array<struct<k: int, gram: long, at: long, left: int, around: string>>")
+
+
+def judged(documents: DataFrame, benchmark: DataFrame, width: int, shingle: int, share: float) -> DataFrame:
+    """(row, doc_id, text) -> row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    spark = documents.sparkSession
+    B.small_batches(spark)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        folder = B.scratch(spark, name)
+        df.write.parquet(folder)
+        return spark.read.parquet(folder)
+
+    items = kept(windows(benchmark, width), "windows")
+    grams = kept(shingles(items.select("window", "size").distinct(), shingle), "shingles")
+    rare = grams.join(shingle_counts(documents, grams, shingle), ["k", "gram"], "left")
+    first = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "place", "k")).alias("x")
+    keys = kept(rare.groupBy("window", "size").agg(first).select("window", "size", "x.k", "x.gram", "x.place"), "keys")
+
+    rows = kept(scanned(documents, keys, width, shingle), "candidates")
+    met = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").join(keys, ["k", "gram"])
+    start = F.col("left") - F.col("place")
+    there = F.array_join(F.slice(F.split("around", " "), F.greatest(start, F.lit(0)) + 1, F.col("size")), " ")
+    hits = kept(met.where((start >= 0) & (there == F.col("window"))).select("row", (F.col("at") - F.col("place")).alias("first"), "size", "window").distinct(), "hits")
+
+    span = F.struct("first", (F.col("first") + F.col("size")).alias("end"))
+    union = F.aggregate(
+        F.sort_array(F.collect_list(span)), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
+        lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["first"], s["end"]))).alias("n"), F.greatest(s["end"], x["end"]).alias("end")), lambda s: s["n"],
+    )
+    covered = hits.select("row", "first", "size").distinct().groupBy("row").agg(union.alias("hit"))
+    names = hits.select("row", "window").distinct().join(items.select("window", "item"), "window").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("names"))
+    n_hit, some = F.coalesce("hit", F.lit(0)), F.coalesce("names", F.array().cast("array<string>"))
+    out = rows.select("row", "doc_id", "n_words").join(covered.join(names, "row"), "row", "left")
+    out = out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(some).cast("long").alias("n_items"), F.sha2(F.array_join(some, ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / share) >= F.col("n_words")))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, share: float = 0.05) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row per row."""
-    return judged(documents.select("doc_id", "text"), benchmark, "doc_id", width, shingle, share)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    return judged(rows, benchmark, width, shingle, share).drop("row")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, share: float = 0.05) -> DataFrame:
-    """The documents that are not contaminated, all their columns; no shuffle."""
-    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "text")
-    return judged(whole, benchmark, "row", width, shingle, share).where(~F.col("contaminated")).select("row.*")
+    """The documents that are not contaminated, all their columns. They are read again and known by their places, so
+    `documents` must be a table or another source that gives the same partitions each time."""
+    row = F.monotonically_increasing_id().alias("row")
+    found = judged(documents.select(F.lit(None).cast("long").alias("doc_id"), "text", row), benchmark, width, shingle, share)
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole"), row)
+    return whole.join(found.where("contaminated").select("row"), "row", "left_anti").select("whole.*")

@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sigloom.llm import blocks, bloomlm, counts, language, packing, pii, queries, simhash, tokens
 
@@ -520,14 +521,26 @@ def test_op10_hits_are_those_of_every_window(spark, corpus):
     assert any(x[5] for x in want)
 
 
-def test_op10_parts_add_up(spark, corpus, monkeypatch):
+def test_op10_clean_keeps_rows_and_columns(spark, corpus):
     from sigloom.llm import decontaminate
 
     folder, _ = corpus
-    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    whole = result(spark, "op10_decontamination", folder, *columns)
-    monkeypatch.setattr(decontaminate, "PART", 3)
-    assert result(spark, "op10_decontamination", folder, *columns) == whole
+    docs, benchmark = blocks.documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")
+    judged = {(r["doc_id"], r["n_words"]): r["contaminated"] for r in queries.op10_decontamination(spark, folder).collect()}
+    left = decontaminate.clean(docs, benchmark)
+    assert left.columns == docs.columns
+    assert left.count() == docs.count() - sum(queries.op10_decontamination(spark, folder).select(F.col("contaminated").cast("int").alias("c")).toPandas()["c"])
+    assert not any(judged[r["doc_id"], len(re.findall(rb"[0-9a-z\x80-\xff]+", (r["text"] or "").encode().lower()))] for r in left.collect())
+
+
+def test_op10_a_long_text_of_one_item(spark):
+    from sigloom.llm import decontaminate
+
+    item = " ".join(f"w{k % 7}" for k in range(60))
+    docs = spark.createDataFrame([(1, item * 3_000), (2, "nothing here"), (3, f"x {item} y")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.contamination(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    assert got[2] == (2, 0) and got[3] == (62, 60)
+    assert got[1][0] == 59 * 3_000 + 1 and got[1][1] > 0
 
 
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES])
