@@ -1,12 +1,11 @@
 """Token counts of texts without token ids.
 
-1. Every text is cut where a byte-level BPE file's pre-tokens can't cross: before each single space and line feed, and
-   by the file's white-space rule wherever white space comes in runs. The distinct units and their frequencies over the
+1. Every text is cut into the pre-tokens of a byte-level BPE file. The distinct pre-tokens and their frequencies over the
    whole corpus are one group-by.
-2. The pieces of each distinct unit are counted once, by the file's own merges.
-3. The counts are joined to each document's unit frequencies and summed. Units frequent enough to be among the HEAD
-   most frequent are sent to the workers (a bound by construction) and summed as the texts stream by; the rest is
-   joined by a shuffle. A frequent unit thus never meets its documents in one task.
+2. The pieces of each distinct pre-token are counted once, by the file's own merges.
+3. The counts are joined to each document's pre-token frequencies and summed. The most frequent pre-tokens, of HEAD entries,
+   HEAD_BYTES bytes and LONG bytes each at most, are sent to the workers and summed as the texts stream by; the rest is
+   joined by a shuffle. A frequent pre-token thus never meets its documents in one task.
 
 Special strings (added tokens) count one each, as the library does by default, and cut the text.
 
@@ -22,97 +21,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .tokens import PLAIN, written
+from .tokens import written
 
-HEAD, FLUSH, CORES = 300_000, 600_000, 1_000_000
+HEAD, HEAD_BYTES, LONG = 300_000, 8 << 20, 64
+FLUSH = 600_000
 #: White space as the tokenizer's regular expressions have it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-RUN = re.compile(f"[{WHITE}][{WHITE}]|\x01")
+#: Pre-tokens as byte-level files cut them: endings after an apostrophe, runs of letters, of numbers and of other signs, each
+#: with the space before it, and white space.
+ENDINGS = "'(?:[stmd]|re|ve|ll)"
+GAPS = f"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+CUT = re.compile(f"{ENDINGS}| ?[^\\W\\d_]+| ?\\d+| ?(?:[^\\w{WHITE}]|_)+|{GAPS}")
+#: The same where there are numbers that are no decimal digits, which the standard library takes for letters.
+OTHER_NUMBERS = regex.compile(r"[\p{Nl}\p{No}]")
+CUT_ANY = regex.compile(f"{ENDINGS}| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{WHITE}\\p{{L}}\\p{{N}}]+|{GAPS}")
+
+
+def cut(text: str) -> list[str]:
+    return CUT.findall(text) if text.isascii() or not OTHER_NUMBERS.search(text) else CUT_ANY.findall(text)
 
 
 class PieceCounter:
-    """Pieces of units, as the file gives them."""
+    """Pieces of pre-tokens, as the file gives them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True  # units hold no added token
-        self.model = self.full.model
-        self.special = sorted((t.content for t in self.full.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.known: dict[str, int] = {}
-
-    def merged(self, s: str) -> int:
-        """Pieces of one pre-token."""
-        n = self.known.get(s)
-        if n is None:
-            if len(self.known) >= CORES:
-                self.known.clear()
-            n = self.known[s] = len(self.model.tokenize(s if s.isascii() and s.isalpha() else written(s)))
-        return n
+        full = Tokenizer.from_file(path)
+        self.model = full.model
+        special = sorted((t.content for t in full.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
     def pieces(self, form: str) -> int:
-        unit = unit_of(form)
-        body, n = unit, 0
-        if unit[:1] == "\n" and unit[1:] and not unit[1].isspace():
-            n, body = self.merged("\n"), unit[1:]
-        lead = body[:1] == " "
-        m = PLAIN.fullmatch(body, 1 if lead else 0)
-        if not m or m.group(1):
-            return n + len(self.full.encode(body, add_special_tokens=False).ids) if body else n
-        return n + self.merged(" " * lead + m.group(2)) + (self.merged(m.group(3)) if m.group(3) else 0)
+        return len(self.model.tokenize(written(form)))
+
+    def forms(self, text: str) -> tuple[list[str], int]:
+        """The pre-tokens of a text, and how many special strings it has."""
+        if not self.special or not self.special.search(text):
+            return cut(text), 0
+        parts = self.special.split(text)
+        return [f for part in parts for f in cut(part)], len(parts) - 1
 
 
 def counter(path: str) -> PieceCounter:
     return B.remembered("counts", "pieces", path, lambda: PieceCounter(path))
 
 
-def form_of(unit: str) -> str:
-    """Units are kept without their leading space; those without one are marked."""
-    if unit[:1] == " " and unit[1:2] not in ("\n", "\x01"):
-        return unit[1:]
-    return unit if unit[:1] == "\n" else "\x01" + unit
-
-
-def unit_of(form: str) -> str:
-    return form[1:] if form[:1] == "\x01" else form if form[:1] == "\n" else " " + form
-
-
-def forms(text: str, cut: re.Pattern | None) -> tuple[list[str], int]:
-    """The units of a text, and how many special strings it has."""
-    if cut and cut.search(text):
-        parts = cut.split(text)
-        return [f for p in parts for f in forms(p, None)[0]], len(parts) - 1
-    if not text:
-        return [], 0
-    if RUN.search(text):
-        return [form_of(u) for u in UNITS.findall(text)], 0
-    out = text.replace("\n", " \n").split(" ")
-    if out[0]:
-        out[0] = "\x01" + out[0]
-    else:
-        del out[0]
-    return out, 0
-
-
 def distinct_units(documents: DataFrame, path: str) -> DataFrame:
     """form, n (occurrences in the corpus), pieces."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = counter(path).cut, Counter()
+        c, seen = counter(path), Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["form", "n"])
 
         for block in B.blocks(batches, owner="counts"):
             for text in block.texts():
-                seen.update(forms(text.decode("utf-8", "replace"), cut)[0])
+                seen.update(c.forms(text.decode("utf-8", "replace"))[0])
             if len(seen) > FLUSH:
                 yield out()
                 seen.clear()
@@ -128,19 +99,23 @@ def distinct_units(documents: DataFrame, path: str) -> DataFrame:
     return units.mapInArrow(count, "form string, n long, pieces long")
 
 
-def head_of(units: DataFrame, most: int = HEAD, value: str = "pieces") -> tuple[int, dict[str, int]]:
-    """The units of the highest counts n, as many whole counts as make `most` units at most: how many, and unit -> value."""
+def head_of(units: DataFrame, most: int = HEAD, size: int = HEAD_BYTES) -> dict[str, int]:
+    """form -> pieces of the pre-tokens of the highest counts n that are not long: as many whole counts as make `most`
+    entries and `size` bytes at most."""
     # counts below 1024 one by one, then in eighths of a power of two: some hundred rows
     step = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 8) + 1024.0 - 80)
-    steps = {r["step"]: r["count"] for r in units.groupBy(step.alias("step")).count().collect()}
-    total, least = 0, float("inf")
+    short = units.where(F.octet_length("form") <= LONG)
+    steps = {r["step"]: (r["k"], r["size"]) for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.sum(F.octet_length("form")).alias("size")).collect()}
+    entries, held, least = 0, 0, float("inf")
     for s in sorted(steps, reverse=True):
-        if total + steps[s] > most:
+        entries, held = entries + steps[s][0], held + steps[s][1]
+        if entries > most or held > size:
             break
-        total, least = total + steps[s], s
-    rows = units.where(step >= least).select("form", value)
-    table = rows.toArrow() if total else None
-    return total, dict(zip(table["form"].to_pylist(), table[value].to_pylist(), strict=True)) if table else {}
+        least = s
+    if least == float("inf"):
+        return {}
+    table = short.where(step >= least).select("form", "pieces").toArrow()
+    return dict(zip(table["form"].to_pylist(), table["pieces"].to_pylist(), strict=True))
 
 
 def token_counts(documents: DataFrame, path: str) -> DataFrame:
@@ -149,15 +124,14 @@ def token_counts(documents: DataFrame, path: str) -> DataFrame:
     folder = B.scratch(spark, "units")
     distinct_units(documents, path).write.parquet(folder)
     units = spark.read.parquet(folder)
-    _, head = head_of(units)
-    sent = spark.sparkContext.broadcast(head)  # HEAD entries at most
+    sent = spark.sparkContext.broadcast(head_of(units))  # bounded as the module's text says
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = counter(path).cut, sent.value
+        c, known = counter(path), sent.value
         for block in B.blocks(batches, owner="counts"):
             sums, rest_form, rest_n, rest_of = [], [], [], [0]
             for text in block.texts():
-                found, n = forms(text.decode("utf-8", "replace"), cut)
+                found, n = c.forms(text.decode("utf-8", "replace"))
                 pieces = [known.get(f, -1) for f in found]
                 n += sum(pieces)
                 if -1 in pieces:
