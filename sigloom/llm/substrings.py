@@ -7,13 +7,19 @@ seed make a segment; it holds width to 2 * width - SEED words and stands for all
 
 1. Rows are dealt into blocks of some MB by a hash of the row, so no document, source or copy group fills a block.
    (This one exchange of the texts is read three times.)
-2. Each block sends its distinct seeds to buckets; a bucket tells the blocks which of them other blocks have too.
+2. Each block sends its distinct seeds to buckets, with the number of distinct segments of each; a bucket tells the blocks
+   which of them other blocks have too, and which are hot: a stock phrase in many surroundings would bring them all to one
+   shard. The windows of a hot seed are dealt one by one, by the hash of all their words, which equal windows share too.
 3. Each block sends its distinct segments of shared seeds to the seeds' shards, with the smallest doc_id of each: a
    passage that a block holds a thousand times travels once.
 4. A shard indexes its distinct segments and streams them through the index: backward search gives the matching
    statistic of every window end; ends at or above `width` are reported with the smallest doc_id of their interval.
 5. Those come back to the blocks, which mark the words and join the kept ones.
 
+Words are told apart by 64-bit hashes inside a shard, and segments by a 64-bit hash of their words: two different ones of
+a shard or block are taken for equal with a chance of some n * n / 2**65 for n of them. A text of many MB makes a block of
+its own.
+
 Null or empty text: no words. A null doc_id is larger than any other: its words go where another document has them, and
 nothing goes for its sake. Repeated rows share their doc_id, so neither removes words of the other. Other columns are
 ignored. No rows: no result.
@@ -32,13 +38,14 @@ from . import blocks as B
 from .fmindex import DEPTH, FMIndex
 
 SEED = 5
+HOT = 4096  # distinct segments of a seed
 BLOCK, BUCKET = 4 << 20, 16 << 20
 
 
 class Segments:
     """A block's words, windows and segments, the same whenever they are computed."""
 
-    def __init__(self, table: pa.Table, width: int):
+    def __init__(self, table: pa.Table, width: int, hot: np.ndarray | None = None):
         batch = table.combine_chunks().to_batches()[0] if table.num_rows else None
         self.batch = batch
         text = batch.column("text").fill_null("").cast(pa.large_string()).cast(pa.large_binary())
@@ -53,8 +60,8 @@ class Segments:
         self.windows = np.flatnonzero(np.arange(len(w)) <= last)
         self.row = row[self.windows]
         if not len(self.windows):
-            self.seed = self.start = self.stop = np.zeros(0, np.int64)
-            self.key = np.zeros(0, np.uint64)
+            self.start = self.stop = np.zeros(0, np.int64)
+            self.seed = self.deal = self.key = np.zeros(0, np.uint64)
             return
         grams = B.gram_hashes(h, SEED)
         best, where = grams[self.windows], self.windows.copy()
@@ -62,7 +69,8 @@ class Segments:
             other = grams[self.windows + j]
             less = other < best
             best[less], where[less] = other[less], (self.windows + j)[less]
-        new = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (self.row[1:] != self.row[:-1]))))
+        alone = np.isin(best, hot) if hot is not None and len(hot) else np.zeros(len(best), bool)
+        new = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (self.row[1:] != self.row[:-1]) | alone[1:])))
         self.first = new  # of each segment: its first window's number
         self.count = np.diff(np.append(new, len(self.windows)))
         self.seed = best[new]
@@ -72,7 +80,15 @@ class Segments:
         up, down = B.powers(len(h) + 1)
         run = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * up[: len(h)], out=run[1:])
-        self.key = B.mixed((run[self.stop] - run[self.start]) * down[self.start] + (self.stop - self.start).astype(np.uint64))
+        words = (run[self.stop] - run[self.start]) * down[self.start]
+        self.key = B.mixed(words + (self.stop - self.start).astype(np.uint64))
+        self.deal = np.where(alone[new], B.mixed(words), self.seed)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct seeds, and how many distinct segments each has, 255 at most."""
+        _, example = np.unique(self.key, return_index=True)
+        seeds, n = np.unique(self.seed[example], return_counts=True)
+        return seeds, np.minimum(n, 255).astype(np.uint8)
 
     def shared(self, seeds: np.ndarray) -> np.ndarray:
         """Segments whose seed other blocks have, or two documents of this one."""
@@ -85,7 +101,7 @@ class Segments:
     def sent(self, seeds: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Shared segments; of each, the number of its distinct segment; those by shard: example and shard."""
         some = self.shared(seeds)
-        shard = (self.seed[some] % np.uint64(shards)).astype(np.int64)
+        shard = (self.deal[some] % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((self.key[some], shard))
         k, s = self.key[some][order], shard[order]
         new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]))) if len(order) else np.zeros(0, bool)
@@ -94,16 +110,17 @@ class Segments:
         return some, number, some[order[new]], s[new]
 
 
-def seeds_of(rows: pa.Table) -> np.ndarray:
-    got = [np.frombuffer(x, np.uint64) for x in rows.column("seeds").to_pylist()] if rows.num_rows else []
+def seeds_of(rows: pa.Table, column: str) -> np.ndarray:
+    got = [np.frombuffer(x, np.uint64) for x in rows.column(column).to_pylist() if x] if rows.num_rows else []
     return np.concatenate(got) if got else np.zeros(0, np.uint64)
 
 
-def removal(documents: DataFrame, width: int = 13, texts: bool = True) -> DataFrame:
+def removal(documents: DataFrame, width: int = 13, texts: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row per row; with texts also kept: the words that stay, joined by a space."""
     if not SEED <= width <= DEPTH:
         raise ValueError(f"a window has {SEED} to {DEPTH} words")
     spark = documents.sparkSession
+    B.small_batches(spark)
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_blocks, buckets = max(2 * parts, size // BLOCK), max(parts, size // BUCKET)
@@ -111,28 +128,29 @@ def removal(documents: DataFrame, width: int = 13, texts: bool = True) -> DataFr
     dealt = documents.select("doc_id", "text", F.pmod(row, F.lit(n_blocks)).alias("block")).repartition(max(parts, size // (4 * BLOCK)), "block")
 
     def seeds(group: pa.Table) -> pa.Table:
-        s = np.unique(Segments(group, width).seed.view(np.uint64))
+        s, n = Segments(group, width).counted()
         to = s % np.uint64(buckets)
         order = np.argsort(to, kind="stable")
-        s, to = s[order], to[order].astype(np.int64)
+        s, n, to = s[order], n[order], to[order].astype(np.int64)
         edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(s) else np.zeros(1, np.int64)
-        n = len(edge) - 1
-        return pa.table({"bucket": pa.array(to[edge[:-1]] if n else [], pa.int64()), "block": pa.array([group["block"][0].as_py()] * n, pa.int64()), "seeds": pa.array([s[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
+        cuts = list(zip(edge[:-1], edge[1:], strict=True))
+        return pa.table({"bucket": pa.array(to[edge[:-1]] if cuts else [], pa.int64()), "block": pa.array([group["block"][0].as_py()] * len(cuts), pa.int64()), "seeds": pa.array([s[a:b].tobytes() for a, b in cuts], pa.binary()), "sizes": pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())})
 
     def common(group: pa.Table) -> pa.Table:
         rows = [np.frombuffer(x, np.uint64) for x in group["seeds"].to_pylist()]
         u, at, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        more = (n > 1)[at]
+        size = np.bincount(at, np.concatenate([np.frombuffer(x, np.uint8) for x in group["sizes"].to_pylist()]), len(u))
+        more, large = (n > 1)[at], ((n > 1) & (size > hot))[at]
         ends = np.cumsum([len(r) for r in rows])
-        kept = [r[more[e - len(r) : e]] for r, e in zip(rows, ends, strict=True)]
-        some = [i for i, k in enumerate(kept) if len(k)]
-        return pa.table({"block": group["block"].take(pa.array(some, pa.int64())), "seeds": pa.array([kept[i].tobytes() for i in some], pa.binary())})
+        both = [(r[more[e - len(r) : e]], r[large[e - len(r) : e]]) for r, e in zip(rows, ends, strict=True)]
+        some = [i for i, (k, _) in enumerate(both) if len(k)]
+        return pa.table({"block": group["block"].take(pa.array(some, pa.int64())), "seeds": pa.array([both[i][0].tobytes() for i in some], pa.binary()), "hot": pa.array([both[i][1].tobytes() for i in some], pa.binary())})
 
     def send(group: pa.Table, rows: pa.Table) -> pa.Table:
         out: dict[str, list] = {"shard": [], "block": [], "texts": [], "sizes": [], "docs": []}
         if group.num_rows:
-            s = Segments(group, width)
-            some, number, example, shard = s.sent(seeds_of(rows), buckets)
+            s = Segments(group, width, seeds_of(rows, "hot"))
+            some, number, example, shard = s.sent(seeds_of(rows, "seeds"), buckets)
             docs = np.full(len(example), B.NULL_ID)
             np.minimum.at(docs, number, s.doc[some])
             raw = s.words.data.tobytes()
@@ -152,11 +170,11 @@ def removal(documents: DataFrame, width: int = 13, texts: bool = True) -> DataFr
     def finish(group: pa.Table, found: pa.Table) -> pa.Table:
         return kept(group, found, width, buckets, texts)
 
-    marks = dealt.groupBy("block").applyInArrow(seeds, "bucket long, block long, seeds binary").groupBy("bucket").applyInArrow(common, "block long, seeds binary")
-    segments = dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(send, "shard long, block long, texts binary, sizes binary, docs binary")
-    found = segments.groupBy("shard").applyInArrow(search, "block long, shard long, least binary")
-    both = found.select("block", F.col("shard"), F.col("least").alias("payload")).unionByName(marks.select("block", F.lit(-1).cast("long").alias("shard"), F.col("seeds").alias("payload")))
-    return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    marks = dealt.groupBy("block").applyInArrow(B.trimmed(seeds), "bucket long, block long, seeds binary, sizes binary").groupBy("bucket").applyInArrow(B.trimmed(common), "block long, seeds binary, hot binary")
+    segments = dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(B.trimmed(send), "shard long, block long, texts binary, sizes binary, docs binary")
+    found = segments.groupBy("shard").applyInArrow(B.trimmed(search), "block long, shard long, least binary")
+    both = found.select("block", F.col("shard"), F.col("least").alias("payload"), F.lit(None).cast("binary").alias("hot")).unionByName(marks.select("block", F.lit(-1).cast("long").alias("shard"), F.col("seeds").alias("payload"), "hot"))
+    return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(B.trimmed(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
 
 
 def shard_minima(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, width: int) -> list[np.ndarray]:
@@ -202,7 +220,7 @@ def kept(group: pa.Table, found: pa.Table, width: int, shards: int, texts: bool)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + texts]
     if not group.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
-    s = Segments(group, width)
+    s = Segments(group, width, seeds_of(found, "hot"))
     gone = np.zeros(len(s.words) + 1, np.int64)
     if found.num_rows:
         to, payload = found["shard"].to_numpy(), found["payload"].to_pylist()

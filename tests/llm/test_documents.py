@@ -91,6 +91,20 @@ def test_op2_patterns_place_all_lengths():
         assert placed == Counter(histogram)
 
 
+def test_op1_hot_seeds_give_the_same(spark, corpus):
+    from sigloom.llm import substrings
+
+    folder, _ = corpus
+    docs = blocks.documents(spark, folder)
+    rng = np.random.default_rng(2)
+    stock = "a stock phrase of the whole house".split()
+    more = [(1000 + i, " ".join([*(f"w{x}" for x in rng.integers(0, 9, 14)), *stock, *(f"w{x}" for x in rng.integers(0, 3, 9))]), None, None, None, *(None,) * 9) for i in range(400)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    want = sorted(map(repr, substrings.removal(docs).collect()))
+    assert sorted(map(repr, substrings.removal(docs, hot=1).collect())) == want
+    assert sum("n_removed=0" not in r for r in want) > 50
+
+
 def one_by_one(histogram, limit):
     """The totals of shortest-pack-first, a piece at a time."""
     packs = []
