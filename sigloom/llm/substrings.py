@@ -39,7 +39,7 @@ from .fmindex import DEPTH, FMIndex
 
 SEED = 5
 HOT = 4096  # distinct segments of a seed
-BLOCK, BUCKET = 4 << 20, 16 << 20
+BLOCK, BUCKET = 3 << 20, 8 << 20
 
 
 class Segments:
