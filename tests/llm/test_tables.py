@@ -49,7 +49,7 @@ def exact(ids, x, every, k):
     out = {}
     for q in sorted({i for i in ids if i % every == 0}):
         at = ids.index(q)
-        d = sorted({(math.dist(x[at], v), i) for i, v in zip(ids, x, strict=True) if i != q})[:k]
+        d = sorted((math.dist(x[at], v), i) for i, v in zip(ids, x, strict=True) if i != q)[:k]
         out[q] = d
     return out
 
@@ -76,6 +76,13 @@ def test_op6_awkward_rows(spark, tmp_path):
     assert [i for _, _, i in got[100]] == list(range(1000, 1010))
 
 
+def test_op6_rows_that_share_an_id_all_take_part(spark, tmp_path):
+    rows = [(0, [1.0, 1.0]), (0, [5.0, 5.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [4.0, 1.0]), (2, [9.0, 9.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["rank"], r["vec_id"], round(r["score"], 6)) for r in queries.op6_nearest_neighbours(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 1.0), (2, 1, 1.0), (3, 1, 3.0), (4, 2, round(math.dist((1, 1), (9, 9)), 6))]
+
+
 def test_op6_few_rows(spark, tmp_path):
     spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 4.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in queries.op6_nearest_neighbours(spark, str(tmp_path)).collect()]
@@ -94,7 +101,7 @@ def test_op6_recall(spark):
 def test_op6_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 64))
-    codes = rotatedbits.Codes(x, x.mean(0), rotatedbits.rotation(64))
+    codes = rotatedbits.Codes.of(x, x.mean(0), rotatedbits.rotation(64))
     for q in rng.normal(size=(5, 64)):
         low, high = codes.bounds(q, x.mean(0), rotatedbits.rotation(64))
         d = ((x - q) ** 2).sum(1)
