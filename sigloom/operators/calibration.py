@@ -144,6 +144,17 @@ def noise_rates(text: str) -> dict[str, float]:
     return out
 
 
+def with_rates(rows: DataFrame, field: str, rates: dict[str, float]) -> DataFrame:
+    """The rows with noise_rate by their group: 0 for a group without one; null and empty groups are `unknown`."""
+    from .splits import group_name
+
+    named = rows.withColumn(field, group_name(field))
+    if not rates:
+        return named.withColumn("noise_rate", F.lit(0.0))
+    table = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
+    return named.withColumn("noise_rate", F.coalesce(F.try_element_at(table, F.col(field)), F.lit(0.0)))
+
+
 def warmup_cosine(step: Column, steps: int, warmup: int, end: float) -> Column:
     """Learning-rate factor: linear to 1 over the warm-up, then half a cosine to `end`."""
     part = (step - warmup) / F.lit(float(max(1, steps - warmup)))

@@ -127,6 +127,32 @@ def averages(classes: DataFrame) -> DataFrame:
     return classes.agg(F.avg("f1").alias("macro_f1"), ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"), F.sum("support").alias("n"))
 
 
+def by_stratum(rows: DataFrame, label: str, call: str, stratum: str) -> DataFrame:
+    """stratum, n, accuracy, macro_f1: over the classes that are a label or a call in the stratum."""
+    truth = rows.groupBy(stratum, F.col(label).alias("class")).agg(F.count("*").alias("support"), F.sum((F.col(label) == F.col(call)).cast("long")).alias("tp"))
+    calls = rows.groupBy(stratum, F.col(call).alias("class")).agg(F.count("*").alias("called"))
+    both = truth.join(calls, [stratum, "class"], "full").na.fill(0, ["support", "tp", "called"])
+    f1 = ratio(2 * F.col("tp"), F.col("support") + F.col("called"))
+    return both.groupBy(stratum).agg(F.sum("support").alias("n"), ratio(F.sum("tp"), F.sum("support")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
+
+
+def parametric(rows: DataFrame, kind: str, value: float, key: str, label: str = "label", prob: str = "prob") -> float:
+    """A metric with a parameter, by its name."""
+    if kind == "tpr_at_fpr":
+        return tpr_at_fpr(sweep(rows, label, prob), value).first()["tpr"]
+    if kind == "callable_at_precision":
+        return callable_at_precision(rows, value, key, label, prob).first()["share"]
+    raise ValueError(f"no metric {kind!r}")
+
+
+def compared(rows: DataFrame, model: str, figures: list[str]) -> DataFrame:
+    """A row a model: mean and sample deviation of every figure to four places, and its place by the first figure's mean,
+    the smaller name first among equal ones."""
+    each = [x for c in figures for x in (F.round(F.avg(c), 4).alias(f"{c}_mean"), F.round(F.stddev_samp(c), 4).alias(f"{c}_std"))]
+    place = F.row_number().over(Window.orderBy(F.desc(f"{figures[0]}_mean"), model))  # one row a model
+    return rows.groupBy(model).agg(*each).withColumn("place", place)
+
+
 def balanced_recall(rows: DataFrame, group: str, truth: str, call: str) -> DataFrame:
     """Per group the mean of its classes' recalls, and over all groups (group null) the mean of those."""
     recalls = rows.groupBy(group, truth).agg(F.avg((F.col(truth) == F.col(call)).cast("double")).alias("recall"))

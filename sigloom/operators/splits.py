@@ -121,6 +121,12 @@ def label_codes(rows: DataFrame, label: str) -> DataFrame:
     return rows.select(label).where(F.col(label).isNotNull()).distinct().select(label, (F.row_number().over(Window.orderBy(label)) - 1).alias("code"))
 
 
+def first_codes(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """value -> code, in the order of first appearance; one row a value."""
+    firsts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("first"))
+    return firsts.select(value, (F.row_number().over(Window.orderBy("first")) - 1).alias("code"))
+
+
 def routed(rows: DataFrame, assignment: DataFrame, key: str) -> DataFrame:
     """Rows with their split; rows without one are kept with a null. Write with partitionBy('split')."""
     return rows.join(assignment, key, "left")

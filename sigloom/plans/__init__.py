@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import calling, corpus, evaluation, preparing, reads
+from . import calling, corpus, evaluation, preparation, preparing, reads
 
-MODULES = (reads, corpus, evaluation, calling, preparing)
+MODULES = (reads, corpus, evaluation, calling, preparing, preparation)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -210,3 +210,48 @@ def test_checkpoints(spark):
     assert sinks.best_checkpoint(h, 0.05, always_final=True).first()["epoch"] == 2
     with pytest.raises(ValueError):
         sinks.best_checkpoint(h.where("epoch > 5"))
+
+
+def test_motifs_on_the_reference(spark):
+    from sigloom.operators import preparing
+
+    refs = spark.createDataFrame([("r", "AACCAACCAA"), ("none", "TTTT")], "reference_name string, sequence string")
+    block = "array<struct<op: int, len: int>>"
+    reads = spark.createDataFrame(
+        [(1, "r", 0, [(0, 10)]), (2, "r", 0, [(0, 3), (1, 1), (2, 1), (0, 6)]), (3, "r", 2, [(4, 5), (0, 2)]), (4, "x", 0, [(0, 10)]), (5, "r", 0, [(0, 2), (2, 8)])],
+        f"read_id int, reference_name string, reference_start int, cigar {block}",
+    )
+
+    def found(**options):
+        return sorted(tuple(r) for r in preparing.reference_motifs(reads, refs, "CC", **options).collect())
+
+    assert found() == [(1, 2, 0, True), (1, 6, 0, True), (2, 6, 0, True), (3, 5, 0, True)]
+    assert found(anchor="reference", require_mapping=False) == [(1, 2, 0, True), (1, 6, 0, True), (2, 2, 0, False), (2, 6, 0, True), (3, 0, 0, True), (5, 2, 0, False), (5, 6, 0, False)]
+    paired = reads.where("read_id = 2").withColumn("cigar", F.expr(f"cast(array(struct(0, 3), struct(1, 1), struct(0, 1), struct(2, 1), struct(0, 5)) as {block})"))
+    assert [tuple(r) for r in preparing.reference_motifs(paired, refs, "ACC").collect()] == [(2, 1, 1, True), (2, 5, 0, True)]
+    assert [tuple(r) for r in preparing.reference_motifs(paired, refs, "ACC", skip_indels=True).collect()] == [(2, 5, 0, True)]
+    for wrong in ({"anchor": "other"}, {"require_mapping": False}):
+        with pytest.raises(ValueError):
+            preparing.reference_motifs(reads, refs, "CC", **wrong)
+
+
+def test_move_tables_and_missing_signals(spark):
+    from sigloom.operators import preparing
+
+    rows = spark.createDataFrame([(1, "5,1,0,1", 20, 2), (2, None, 20, None), (3, "5,x", 20, 0), (4, "5,1", None, 0), (5, "2,1,1", 6, None)], "read_id int, mv string, ns int, ts int")
+    t = {r["read_id"]: r["t"] for r in rows.select("read_id", preparing.move_table(preparing.parsed_moves(F.col("mv")), F.col("ns"), F.col("ts")).alias("t")).collect()}
+    assert (t[1]["stride"], t[1]["moves"], t[1]["trim"]) == (5, [1, 0, 1], 2) and t[5]["trim"] == 0
+    assert t[2] is None and t[3] is None and t[4] is None
+    joined = preparing.with_signals(rows, spark.createDataFrame([(1, [1.0])], "read_id int, v array<double>")).collect()
+    assert sorted(r["read_id"] for r in joined if r["missing"]) == [2, 3, 4, 5]
+
+
+def test_parametric_metrics_and_codes(spark):
+    rows = spark.createDataFrame([(i, i % 2, (i % 7) / 7) for i in range(40)], "id int, label int, prob double")
+    assert 0 <= metrics.parametric(rows, "tpr_at_fpr", 0.1, "id") <= 1 and 0 <= metrics.parametric(rows, "callable_at_precision", 0.5, "id") <= 1
+    with pytest.raises(ValueError):
+        metrics.parametric(rows, "none", 0.1, "id")
+    got = {r["v"]: r["code"] for r in splits.first_codes(spark.createDataFrame([(3, "a"), (1, "b"), (2, "a"), (0, None)], "id int, v string"), "v", "id").collect()}
+    assert got == {"b": 0, "a": 1}
+    rated = calibration.with_rates(spark.createDataFrame([("a",), ("",), (None,), ("z",)], "g string"), "g", {"a": 0.1, "unknown": 0.3}).collect()
+    assert sorted((r["g"], r["noise_rate"]) for r in rated) == [("a", 0.1), ("unknown", 0.3), ("unknown", 0.3), ("z", 0.0)]
