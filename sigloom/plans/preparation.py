@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calibration, metrics, preparing, splits
+from ..functions import arrays
+from ..operators import calibration, metrics, preparing, refine, splits
 from . import inputs as I
 from .calling import predictions
 from .corpus import FILES, FOLDS, files
 from .evaluation import MULTI, multiclass, rounded
-from .reads import OPS, alignments, with_moves
+from .reads import OPS, alignments, with_moves, with_spans
 
 
 def move_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,14 @@ def prepared_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("read_id", "missing", F.when(~F.col("missing"), F.size("signal")).alias("n"), weighted.alias("weighted"), F.array_join(F.col("map").cast("array<string>"), ",").alias("map")), 4)
 
 
+def refined_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of three samples moved to fit levels that repeat every five bases; every seventh base has none."""
+    rows = with_spans(I.event_signals(spark, sf_dir)).withColumn("map", F.slice("map", F.lit(1), F.size("map") - 1))
+    levels = F.transform(arrays.indices(F.size("map") - 1), lambda i: F.when(i % 7 > 0, (i % 5).cast("double")))
+    out = refine.refine(rows.withColumn("levels", levels), "read_id", "v")
+    return out.select("read_id", F.array_join(F.col("map").cast("array<string>"), ",").alias("map"))
+
+
 def named_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments(spark, sf_dir).withColumn("reference_name", F.col("read_id") % 6)
 
@@ -112,7 +121,7 @@ def config_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_move_tables": move_tables, "j1_prepared_reads": prepared_reads, "c4_reference_motifs": reference_motifs, "a12_stratified_multiclass": stratified, "a23_first_codes": first_codes,
-    "j8_noise_rates": noise_rates, "r15_merged_folds": merged_folds, "r16_merged_groups": merged_groups, "a30_comparison": comparison, "j10_prediction_table": prediction_table, "a35_config_keys": config_keys,
+    "j8_noise_rates": noise_rates, "r15_merged_folds": merged_folds, "r16_merged_groups": merged_groups, "a30_comparison": comparison, "j10_prediction_table": prediction_table, "a35_config_keys": config_keys, "p25_refined_maps": refined_maps,
 }
 
 ORDER = ", ".join(I.LINE_ORDER)
