@@ -62,6 +62,26 @@ def padded(values: Column, start: Column, stop: Column, fill: float = 0.0) -> Co
     return let(values, start, stop, lambda v, a, b: F.transform(indices(b - a), lambda i: F.coalesce(F.when(a + i >= 0, at(v, a + i)), F.lit(fill))))
 
 
+RUN = 512  # elements that are summed up in one array; a longer one is copied for every element
+
+
+def running(values: Column) -> Column:
+    """The sum of the elements before each, of integers."""
+
+    def sums(x: Column) -> Column:
+        empty = F.struct(F.array().cast("array<int>").alias("before"), F.lit(0).alias("all"))
+        return F.aggregate(x, empty, lambda s, v: F.struct(F.array_append(s["before"], s["all"]).alias("before"), (s["all"] + v).alias("all")))
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(indices(F.ceil(F.size(v) / RUN)), lambda b: sums(F.slice(v, b * RUN + 1, F.lit(RUN))))
+        return let(blocks, lambda bs: joined(bs, sums(F.transform(bs, lambda x: x["all"]))["before"]))
+
+    def joined(blocks: Column, starts: Column) -> Column:
+        return let(blocks, starts, lambda bs, first: F.flatten(F.transform(bs, lambda x, i: F.transform(x["before"], lambda p: p + at(first, i)))))
+
+    return let(values, of)
+
+
 def first_where(values: Column, test: Callable[[Column], Column]) -> Column:
     """Index from 0 of the first element that passes; null if none does."""
     return F.array_position(F.transform(values, test), F.lit(True)) - 1

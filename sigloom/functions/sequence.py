@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import at, indices, let
+from .arrays import at, indices, let, running
 
 MATCH, INSERT, DELETE, SKIP, SOFT, HARD, PAD, EQUAL, DIFFER = range(9)  # CIGAR operation codes
 MATCHING, ON_REFERENCE, ON_QUERY = (MATCH, EQUAL, DIFFER), (MATCH, DELETE, SKIP, EQUAL, DIFFER), (MATCH, INSERT, SOFT, EQUAL, DIFFER)
@@ -20,18 +18,19 @@ def capital(sequence: Column) -> Column:
 
 def motif_hits(sequence: Column, motif: str, start: Column | None = None, stop: Column | None = None) -> Column:
     """All places, overlapping ones too, where the motif stands in upper or lower case, inside [start, stop)."""
-    first = F.greatest(F.lit(0), start) if start is not None else F.lit(0)
-
-    def of(letters: Column) -> Column:
-        last = F.least(F.size(letters), stop) if stop is not None else F.size(letters)
-
-        def hit(p: Column) -> Column:
-            return reduce(Column.__and__, [at(letters, p + j) == c for j, c in enumerate(motif.upper())], p >= first)
-
-        return F.filter(indices(last - len(motif) + 1), hit)
-
-    # letters in an array: looking one up is the same work anywhere, whereas substring() counts from the start
-    return let(F.split(capital(sequence), ""), of)
+    if not motif:
+        raise ValueError("a motif has a letter at least")
+    wanted = motif.upper()
+
+    def of(text: Column) -> Column:
+        # cut before every hit, so the work goes by hits; a hit at the very start leaves no piece before it
+        pieces = F.split(text, "(?=\\Q" + wanted + "\\E)")
+        return F.filter(running(F.transform(pieces, F.length)), lambda p, i: (i > 0) | text.startswith(wanted))
+
+    hits = let(capital(sequence), of)
+    if start is not None:
+        hits = F.filter(hits, lambda p: p >= start)
+    return hits if stop is None else F.filter(hits, lambda p: p + len(motif) <= stop)
 
 
 def base_codes(sequence: Column) -> Column:

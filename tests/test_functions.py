@@ -82,3 +82,28 @@ def test_cigar_coordinates(spark):
 def test_stretching_by_one_changes_nothing(spark):
     assert value(spark, signal.stretched(F.col("v"), F.lit(1.0), F.lit(2)), v=[1.0, 5.0, 2.0]) == [1, 5, 2]
     assert value(spark, signal.stretched_map(F.col("m"), F.lit(1.0), F.lit(2), 9), m=[0, 3, 9]) == [0, 3, 9]
+
+
+def test_motif_hits_are_those_of_every_place(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sigloom.functions import arrays, sequence
+
+    rng = random.Random(9)
+    texts = ["", None, "a", "ana", "ananana", "xéana", "日ana日ANA", "an" * 2000, "na" * 1500 + "é" + "ana" * 900]
+    texts += ["".join(rng.choice("anAN.é") for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+
+    def upper(s):
+        return "".join(c.upper() if c.isascii() else c for c in s)
+
+    for motif in ("ana", "a", "nan", "."):
+        got = {r["i"]: (r["every"], r["some"]) for r in rows.select("i", sequence.motif_hits(F.col("s"), motif).alias("every"), sequence.motif_hits(F.col("s"), motif, F.lit(2), F.lit(9)).alias("some")).collect()}
+        for i, t in enumerate(texts):
+            want = [p for p in range(len(t) - len(motif) + 1) if upper(t)[p : p + len(motif)] == motif.upper()] if t else []  # a null text has no hit
+            assert got[i][0] == want, (motif, t)
+            assert got[i][1] == [p for p in want if p >= 2 and p + len(motif) <= 9]
+    long = spark.range(1).select(arrays.running(F.sequence(F.lit(1), F.lit(2000))).alias("x")).first()["x"]
+    assert long == [k * (k + 1) // 2 for k in range(2000)]
