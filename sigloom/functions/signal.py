@@ -70,6 +70,16 @@ def residual_features(means: Column, expected: Column) -> Column:
     return let(expected, lambda e: F.transform(means, lambda m, i: F.struct(at(e, i).alias("kmer_expected"), (m - at(e, i)).alias("kmer_residual"), F.abs(m - at(e, i)).alias("kmer_abs_residual"))))
 
 
+def merged_channels(dwell: Column, level: Column, residual: Column) -> Column:
+    """One struct of CHANNELS a base, in that order, from the three groups' structs; as many bases as the first has."""
+
+    def of(d: Column, v: Column, r: Column) -> Column:
+        parts = ((d, DWELL_CHANNELS), (v, LEVEL_CHANNELS), (r, RESIDUAL_CHANNELS))
+        return F.transform(indices(F.size(d)), lambda i: F.struct(*[at(x, i)[c].alias(c) for x, names in parts for c in names]))
+
+    return let(dwell, level, residual, of)
+
+
 def base_of_sample(base_map: Column, sample: Column) -> Column:
     """The last base that starts at or before a sample; -1 before the first."""
     return F.size(F.filter(base_map, lambda x: x <= sample)) - 1

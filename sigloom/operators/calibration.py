@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import softmax
+from .metrics import argmax, calibration_error, softmax
 
 
 def platt(rows: DataFrame, logit: str = "logit", label: str = "label", steps: int = 25) -> tuple[float, float]:
@@ -107,6 +107,24 @@ def applied(logits: Column, params: dict) -> Column:
     raise ValueError(f"no calibration {params['method']!r}")
 
 
+def calibrate(rows: DataFrame, method: str = "temperature", logits: str = "logits", label: str = "label") -> dict:
+    """A fit with what it does: its parameters, the expected calibration error before and after, whether it improved, the
+    number of rows and of classes."""
+    if method == "temperature":
+        params = {"method": method, "t": temperature(rows, logits, label).first()["temperature"]}
+    else:
+        w, b = linear_map(rows, method, logits, label)
+        params = {"method": method, "w": w.tolist(), "b": b.tolist()}
+
+    def error(z: Column) -> float:
+        sure = rows.select(softmax(z).alias("p"), label).select(F.array_max("p").alias("c"), (argmax(F.col("p")) == F.col(label)).alias("right"))
+        return calibration_error(sure, "c", "right").first()["ece"]
+
+    before, after = error(F.col(logits)), error(applied(F.col(logits), params))
+    n, classes = rows.agg(F.count("*"), F.max(F.size(logits))).first()
+    return params | {"ece_before": before, "ece_after": after, "improved": after < before, "n": n, "classes": classes}
+
+
 def log_add(a: Column, b: Column) -> Column:
     """ln(e^a + e^b); a null is the logarithm of 0."""
     high, low = F.greatest(a, b), F.least(a, b)

@@ -32,6 +32,14 @@ def expected_levels(rows: DataFrame, key: str, text: str, levels: DataFrame, k:
     return each.join(table, "kmer", "left").select(key, (F.col("i") + centre).alias("base_idx"), F.coalesce("level", F.lit(0.0)).alias("level"))
 
 
+def anchored(reads: DataFrame, focus: DataFrame, key: str, base_map: str) -> DataFrame:
+    """The reads of the focus table (key, label_int, anchor) with base_idx: the last base that starts at or before the
+    anchor sample, moved to EDGE bases from either end. A read too short for that has no row."""
+    bases = F.size(base_map) - 1
+    base = F.least(bases - EDGE - 1, F.greatest(F.lit(EDGE), signal.base_of_sample(F.col(base_map), F.col("anchor"))))
+    return reads.join(focus, key).withColumn("base_idx", base).where("base_idx >= 0")
+
+
 def focus_sample(base_map: Column, base: Column, justify: str = "center") -> Column:
     start, stop = arrays.at(base_map, base), arrays.at(base_map, base + 1)
     return {"start": start, "end": stop, "center": F.floor((start + stop) / 2).cast("int")}[justify]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays
+from ..functions import arrays, signal
 from ..operators import calibration, metrics, preparing, refine, splits
 from . import inputs as I
-from .calling import predictions
+from .calling import BISECTED, STEPS, predictions
 from .corpus import FILES, FOLDS, files
-from .evaluation import MULTI, multiclass, rounded
-from .reads import OPS, alignments, with_moves, with_spans
+from .evaluation import ECE, MULTI, multiclass, rounded
+from .reads import AROUND, OPS, SPANS, alignments, with_moves, with_spans
 
 
 def move_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,21 @@ def refined_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("read_id", F.array_join(F.col("map").cast("array<string>"), ",").alias("map"))
 
 
+def feature_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All channels of every base, in their order."""
+    rows = with_spans(I.event_signals(spark, sf_dir)).withColumn("levels", signal.level_features(F.col("v"), F.col("map")))
+    expected = F.transform("levels", lambda _, i: (i % 4).cast("double"))
+    residual = signal.residual_features(F.transform("levels", lambda t: t["level_mean"]), expected)
+    merged = signal.merged_channels(signal.dwell_features(signal.dwells(F.col("map"))), F.col("levels"), residual)
+    return rounded(rows.select("read_id", F.posexplode(merged).alias("base_idx", "f")).select("read_id", "base_idx", "f.*"))
+
+
+def calibration_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = calibration.calibrate(I.logits(spark, sf_dir))
+    row = (found["method"], found["t"], round(found["ece_before"], 5), round(found["ece_after"], 5), found["improved"], found["n"], found["classes"])
+    return spark.createDataFrame([row], "method string, temperature double, ece_before double, ece_after double, improved boolean, n long, classes int")
+
+
 def named_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments(spark, sf_dir).withColumn("reference_name", F.col("read_id") % 6)
 
@@ -122,6 +137,7 @@ def config_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_move_tables": move_tables, "j1_prepared_reads": prepared_reads, "c4_reference_motifs": reference_motifs, "a12_stratified_multiclass": stratified, "a23_first_codes": first_codes,
     "j8_noise_rates": noise_rates, "r15_merged_folds": merged_folds, "r16_merged_groups": merged_groups, "a30_comparison": comparison, "j10_prediction_table": prediction_table, "a35_config_keys": config_keys, "p25_refined_maps": refined_maps,
+    "p23_feature_channels": feature_channels, "l7_calibration_run": calibration_run,
 }
 
 ORDER = ", ".join(I.LINE_ORDER)
@@ -157,6 +173,19 @@ WITH {MULTI}, x AS (SELECT CASE WHEN id % 3 = 0 THEN 'disrupted' ELSE 'exact' EN
 t AS (SELECT stratum, label AS class, count(*) AS support, sum(CAST(label = call AS INT)) AS tp FROM x GROUP BY 1, 2), c AS (SELECT stratum, call AS class, count(*) AS called FROM x GROUP BY 1, 2),
 r AS (SELECT stratum, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(called, 0) AS called FROM t FULL JOIN c USING (stratum, class))
 SELECT stratum, CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(2 * tp / (support + called)), 6) AS macro_f1 FROM r GROUP BY 1""",
+    "p23_feature_channels": f"""
+WITH {I.EVENT_SIGNALS}, {SPANS}, s AS (SELECT *, list_transform(range(len(map) - 1), lambda i: map[i + 2] - map[i + 1]) AS d FROM spans),
+b AS (SELECT read_id, i, d, v[map[i + 1] + 1:map[i + 2]] AS x, list_avg({AROUND}) AS m, list_stddev_pop({AROUND}) AS s FROM s, LATERAL unnest(range(len(d))) u(i)),
+l AS (SELECT *, coalesce(list_avg(x), 0) AS mean, CAST(i % 4 AS DOUBLE) AS e FROM b)
+SELECT read_id, CAST(i AS INT) AS base_idx, round(CAST(d[i + 1] AS DOUBLE), 6) AS dwell, round(ln(d[i + 1] + 1e-6), 6) AS dwell_log, round(m, 6) AS dwell_mean, round(s, 6) AS dwell_std, round(d[i + 1] / (m + 1e-6), 6) AS dwell_ratio,
+  round(mean, 6) AS level_mean, round(coalesce(list_median(x), 0), 6) AS level_median, round(coalesce(list_stddev_pop(x), 0), 6) AS level_std, round(coalesce(list_max(x) - list_min(x), 0), 6) AS level_range,
+  round(e, 6) AS kmer_expected, round(mean - e, 6) AS kmer_residual, round(abs(mean - e), 6) AS kmer_abs_residual FROM l""",
+    "l7_calibration_run": f"""
+WITH {I.LOGITS}, {BISECTED}, t AS (SELECT round(2 / (lo + hi), 6) AS t FROM s{STEPS}),
+z AS (SELECT label, k, list_transform(logits, lambda x: exp((x - list_max(logits)) / CASE k WHEN 0 THEN 1.0::DOUBLE ELSE t END)) AS e FROM logits, t, range(2) r(k)),
+c AS (SELECT k, list_max(e) / list_sum(e) AS c, list_position(e, list_max(e)) - 1 = label AS hit FROM z),
+before AS ({ECE.format(x="c", r="hit", t="(SELECT * FROM c WHERE k = 0)")}), after AS ({ECE.format(x="c", r="hit", t="(SELECT * FROM c WHERE k = 1)")})
+SELECT 'temperature' AS method, t AS temperature, round(before.ece, 5) AS ece_before, round(after.ece, 5) AS ece_after, after.ece < before.ece AS improved, (SELECT count(*) FROM logits) AS n, 10 AS classes FROM t, before, after""",
     "a23_first_codes": "SELECT source, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INT) AS code FROM documents GROUP BY 1",
     "j8_noise_rates": """
 WITH d AS (SELECT CASE WHEN doc_id % 4 = 3 THEN 'unknown' ELSE concat('s', doc_id % 4) END AS source_group FROM documents)

@@ -163,12 +163,10 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchored_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base of a focus sample: the last that starts at or before it, at least 5 bases from either end."""
-    reads = with_moves(I.line_reads(spark, sf_dir))
-    focus = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") % 90).cast("int").alias("anchor"))
-    rows = reads.join(focus, "read_id")
-    n = F.size("map") - 1
-    return rows.where(n >= 2).select("read_id", "anchor", F.greatest(F.lit(0), F.least(n - 2, signal.base_of_sample(F.col("map"), F.col("anchor")))).alias("base_idx"))
+    """One focus base a read, by a sample, with the label that the focus table gives."""
+    reads = with_spans(I.event_signals(spark, sf_dir)).select(F.col("read_id").cast("long").alias("read_id"), F.slice("map", F.lit(1), F.size("map") - 1).alias("map"))
+    focus = I.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("read_id"), (F.col("c_nationkey") % 2).cast("int").alias("label_int"), (F.col("c_custkey") % 90).cast("int").alias("anchor"))
+    return chunks.anchored(reads, focus, "read_id", "map").select("read_id", "label_int", "anchor", "base_idx")
 
 
 def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,8 +265,10 @@ SELECT read_id, CAST(b AS INT) AS base_idx, CAST(s AS INT) AS focus_sample, 45 A
   round(CAST(list_sum(list_transform(range(45), lambda j: (j + 1) * CASE WHEN s - 20 + j >= 0 AND s - 20 + j < n THEN (s - 20 + j) % 17 ELSE 0 END)) AS DOUBLE), 6) AS signal,
   round(CAST(list_sum(list_transform(range(6), lambda j: (j + 1) * CASE WHEN b - 2 + j >= 0 AND b - 2 + j < len(map) - 1 THEN map[b + j] - map[b - 1 + j] ELSE 0 END)) AS DOUBLE), 6) AS dwells FROM f""",
     "c13_anchored_bases": f"""
-WITH {I.LINE_READS}, {MOVES}
-SELECT read_id, CAST(o_custkey % 90 AS INT) AS anchor, CAST(greatest(0, least(len(map) - 3, len(list_filter(map, lambda x: x <= o_custkey % 90)) - 1)) AS INT) AS base_idx FROM mapped JOIN orders ON o_orderkey = read_id WHERE len(map) - 1 >= 2""",
+WITH {I.EVENT_SIGNALS}, m AS (SELECT read_id, list_concat(range(0, len(v), 3), [len(v)]) AS map FROM signals),
+f AS (SELECT c_custkey AS read_id, c_nationkey % 2 AS label_int, c_custkey % 90 AS anchor FROM customer),
+b AS (SELECT read_id, label_int, anchor, least(len(map) - 7, greatest(5, len(list_filter(map, lambda x: x <= anchor)) - 1)) AS base_idx FROM m JOIN f USING (read_id))
+SELECT read_id, CAST(label_int AS INT) AS label_int, CAST(anchor AS INT) AS anchor, CAST(base_idx AS INT) AS base_idx FROM b WHERE base_idx >= 0""",
     "p20_one_hot": f"""
 WITH d AS (SELECT doc_id, {I.bases_sql('text')} AS s FROM documents WHERE text IS NOT NULL),
 r AS (SELECT doc_id, b, list_transform(s, lambda x: CASE WHEN x = substring('ACGT', b + 1, 1) THEN '1' ELSE '0' END) AS r FROM d, range(4) t(b))
