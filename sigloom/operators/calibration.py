@@ -125,6 +125,19 @@ def calibrate(rows: DataFrame, method: str = "temperature", logits: str = "logit
     return params | {"ece_before": before, "ece_after": after, "improved": after < before, "n": n, "classes": classes}
 
 
+#: The confounder's class of a base.
+BASE_CLASSES = {"A": 0, "C": 1, "G": 2, "T": 3}
+
+
+def confound_classes(labels: DataFrame, bases: DataFrame) -> DataFrame:
+    """label_int, confound: labels (name, label_int) by their discriminating base (name, base). A name without a base has no
+    row, so that a loss passes it over; another base than ACGT is an error."""
+    known = F.create_map(*[F.lit(x) for pair in BASE_CLASSES.items() for x in pair])
+    joined = labels.join(bases.where(F.col("base").isNotNull()), "name")
+    wrong = F.raise_error(F.concat(F.lit("no base: "), F.col("base"))).cast("int")
+    return joined.select("label_int", F.coalesce(F.try_element_at(known, F.col("base")), wrong).alias("confound"))
+
+
 def log_add(a: Column, b: Column) -> Column:
     """ln(e^a + e^b); a null is the logarithm of 0."""
     high, low = F.greatest(a, b), F.least(a, b)

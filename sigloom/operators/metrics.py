@@ -153,6 +153,12 @@ def compared(rows: DataFrame, model: str, figures: list[str]) -> DataFrame:
     return rows.groupBy(model).agg(*each).withColumn("place", place)
 
 
+def ranked_grid(points: DataFrame, figure: str, axes: list[str]) -> DataFrame:
+    """A grid's points with place: the highest figure first, missing ones last, equal ones by the axes in order."""
+    order = Window.orderBy(F.desc_nulls_last(figure), *axes)  # a grid is small
+    return points.withColumn("place", F.row_number().over(order))
+
+
 def balanced_recall(rows: DataFrame, group: str, truth: str, call: str) -> DataFrame:
     """Per group the mean of its classes' recalls, and over all groups (group null) the mean of those."""
     recalls = rows.groupBy(group, truth).agg(F.avg((F.col(truth) == F.col(call)).cast("double")).alias("recall"))

@@ -95,6 +95,43 @@ def reference_motifs(alignments: DataFrame, references: DataFrame, motif: str, a
     return hits.select("read_id", position.alias("position"), "junction_indel", "junction_mapped")
 
 
+def check_shapes(rows: DataFrame, signal_len: int, features: int | None = None, channels: int = 1, signal: str = "chunk_signal", feature: str = "chunk_features") -> DataFrame:
+    """The rows, as an error where a chunk's shape isn't the model's: signals are arrays of numbers (one channel) or of
+    channels, features an array of channels or null."""
+    nested = rows.schema[signal].dataType.elementType.typeName() == "array"
+    held = F.size(signal) if nested else F.lit(1)
+    length = F.size(F.get(signal, F.lit(0))) if nested else F.size(signal)
+    fits = (held == channels) & (length == signal_len)
+    if features is not None:
+        fits = fits & (F.col(feature).isNull() | (F.size(feature) == features))
+    told = F.concat_ws(" ", F.lit("a chunk has"), held.cast("string"), F.lit("channels of"), length.cast("string"), F.lit(f"samples; the model takes {channels} of {signal_len}, with {features} features"))
+    return rows.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
+
+
+def check_window(window: int, target: int, samples_per_base: float, state_len: int = 4) -> None:
+    """An error if a window can't hold a target's bases at the reads' own rate, or a target emits nothing."""
+    if target <= state_len:
+        raise ValueError(f"a target of {target} bases emits nothing after {state_len}")
+    if window < target * samples_per_base:
+        raise ValueError(f"{window} samples can't hold {target} bases of {samples_per_base} samples")
+
+
+def feature_window(config: dict, chunks: DataFrame | None = None) -> tuple[int | None, int | None]:
+    """The stored feature window: of a corpus's columns, which must hold one value each, or of a config. None where nothing
+    is stored."""
+    names = ("feature_start", "feature_end")
+    if chunks is None:
+        return config.get(names[0]), config.get(names[1])
+    there = [c for c in names if c in chunks.columns]
+    if not there:
+        return None, None
+    ends = chunks.agg(*[f(c).alias(f"{k}_{c}") for c in there for k, f in (("low", F.min), ("high", F.max))]).first()
+    for c in there:
+        if ends[f"low_{c}"] != ends[f"high_{c}"]:
+            raise ValueError(f"{c} differs among the chunks: {ends[f'low_{c}']} to {ends[f'high_{c}']}")
+    return tuple(ends[f"low_{c}"] if c in there else None for c in names)
+
+
 def indexed_sequence(anchor: Column, basecall: Column, reference: Column, cigar: Column) -> Column:
     """The text that string positions index: the reference's part if the anchor is the reference and there is one with a
     CIGAR, else the basecall."""

@@ -62,6 +62,21 @@ def calibration_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "method string, temperature double, ece_before double, ece_after double, improved boolean, n long, classes int")
 
 
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a grid with a figure each, ranked; a point without a figure is last."""
+    o = I.table(spark, sf_dir, "orders")
+    points = o.groupBy((F.length("o_orderpriority") * 10).alias("left_context"), F.col("o_orderstatus").alias("right_context")).agg(F.round(F.avg(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice"))), 2).alias("figure"))
+    return metrics.ranked_grid(points, "figure", ["left_context", "right_context"])
+
+
+def confound_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as labels, by the base that stands for the region's name, where there is one."""
+    n, r = I.table(spark, sf_dir, "nation"), I.table(spark, sf_dir, "region")
+    bases = r.select("r_regionkey", F.get(F.array(*[F.lit(x) for x in ("A", None, "G", "T")]), F.col("r_regionkey").cast("int")).alias("base"))
+    named = n.join(bases, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), "base")
+    return calibration.confound_classes(n.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("label_int")), named)
+
+
 def named_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments(spark, sf_dir).withColumn("reference_name", F.col("read_id") % 6)
 
@@ -137,7 +152,7 @@ def config_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_move_tables": move_tables, "j1_prepared_reads": prepared_reads, "c4_reference_motifs": reference_motifs, "a12_stratified_multiclass": stratified, "a23_first_codes": first_codes,
     "j8_noise_rates": noise_rates, "r15_merged_folds": merged_folds, "r16_merged_groups": merged_groups, "a30_comparison": comparison, "j10_prediction_table": prediction_table, "a35_config_keys": config_keys, "p25_refined_maps": refined_maps,
-    "p23_feature_channels": feature_channels, "l7_calibration_run": calibration_run,
+    "p23_feature_channels": feature_channels, "l7_calibration_run": calibration_run, "m8_ranked_grid": grid, "l11_confound_classes": confound_classes,
 }
 
 ORDER = ", ".join(I.LINE_ORDER)
@@ -186,6 +201,10 @@ z AS (SELECT label, k, list_transform(logits, lambda x: exp((x - list_max(logits
 c AS (SELECT k, list_max(e) / list_sum(e) AS c, list_position(e, list_max(e)) - 1 = label AS hit FROM z),
 before AS ({ECE.format(x="c", r="hit", t="(SELECT * FROM c WHERE k = 0)")}), after AS ({ECE.format(x="c", r="hit", t="(SELECT * FROM c WHERE k = 1)")})
 SELECT 'temperature' AS method, t AS temperature, round(before.ece, 5) AS ece_before, round(after.ece, 5) AS ece_after, after.ece < before.ece AS improved, (SELECT count(*) FROM logits) AS n, 10 AS classes FROM t, before, after""",
+    "m8_ranked_grid": """
+WITH p AS (SELECT CAST(len(o_orderpriority) * 10 AS INT) AS left_context, o_orderstatus AS right_context, round(avg(CASE WHEN o_orderpriority != '5-LOW' THEN o_totalprice END), 2) AS figure FROM orders GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (ORDER BY figure DESC NULLS LAST, left_context, right_context) AS INT) AS place FROM p""",
+    "l11_confound_classes": "SELECT CAST(n_nationkey AS INT) AS label_int, CASE n_regionkey WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 3 END AS confound FROM nation WHERE n_regionkey IN (0, 2, 3)",
     "a23_first_codes": "SELECT source, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INT) AS code FROM documents GROUP BY 1",
     "j8_noise_rates": """
 WITH d AS (SELECT CASE WHEN doc_id % 4 = 3 THEN 'unknown' ELSE concat('s', doc_id % 4) END AS source_group FROM documents)

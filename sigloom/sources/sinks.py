@@ -25,6 +25,24 @@ def write_json(spark: SparkSession, values: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.text(path)
 
 
+#: The columns of a grid summary, in order.
+GRID_COLUMNS = (
+    "left_context", "right_context", "dwell_offset", "signal_len", "best_val_acc", "best_val_f1", "best_val_auc", "best_val_selection", "best_val_loss",
+    "best_epoch", "final_train_acc", "final_train_loss", "train_time_sec", "model_path", "selection_metric", "status",
+)
+
+
+def write_grid_summary(points: DataFrame, path: str) -> None:
+    """A grid's points as one CSV with fixed columns, those without a figure empty, the best selection figure first; no
+    points write nothing. A grid is small, so one file holds it."""
+    if points.isEmpty():
+        return
+    columns = [F.col(c) if c in points.columns else F.lit(None).cast("string").alias(c) for c in GRID_COLUMNS]
+    out = points.select(*columns)
+    order = [F.desc_nulls_last("best_val_selection"), F.col("left_context"), F.col("right_context"), F.col("dwell_offset")]
+    out.orderBy(*order).coalesce(1).write.csv(path, header=True)
+
+
 def checked_yield(extracted: DataFrame, planned: int, allow_shortfall: bool = False) -> int:
     """Rows there are; none, or fewer than half of those planned, is an error unless allowed."""
     n = extracted.count()

@@ -255,3 +255,40 @@ def test_parametric_metrics_and_codes(spark):
     assert got == {"b": 0, "a": 1}
     rated = calibration.with_rates(spark.createDataFrame([("a",), ("",), (None,), ("z",)], "g string"), "g", {"a": 0.1, "unknown": 0.3}).collect()
     assert sorted((r["g"], r["noise_rate"]) for r in rated) == [("a", 0.1), ("unknown", 0.3), ("unknown", 0.3), ("z", 0.0)]
+
+
+def test_checks_of_shapes_and_windows(spark):
+    from sigloom.operators import preparing
+
+    rows = spark.createDataFrame([([1.0, 2.0], [[1.0], [2.0]])], "chunk_signal array<double>, chunk_features array<array<double>>")
+    assert preparing.check_shapes(rows, 2, 2).count() == 1
+    for options in ((3, 2), (2, 5)):
+        with pytest.raises(Exception, match="a chunk has"):
+            preparing.check_shapes(rows, *options).collect()
+    two = rows.select(F.array("chunk_signal", "chunk_signal").alias("chunk_signal"), "chunk_features")
+    assert preparing.check_shapes(two, 2, channels=2).count() == 1
+    preparing.check_window(100, 10, 9.0)
+    for wrong in ((80, 10, 9.0), (1000, 4, 9.0)):
+        with pytest.raises(ValueError):
+            preparing.check_window(*wrong)
+    chunks_ = spark.createDataFrame([(0, 3), (0, 3)], "feature_start int, feature_end int")
+    assert preparing.feature_window({}, chunks_) == (0, 3) and preparing.feature_window({"feature_start": 0}) == (0, None)
+    assert preparing.feature_window({}, rows) == (None, None)
+    with pytest.raises(ValueError):
+        preparing.feature_window({}, chunks_.union(spark.createDataFrame([(1, 3)], chunks_.schema)))
+
+
+def test_confound_classes_and_grid_summary(spark, tmp_path):
+    from sigloom.sources import sinks
+
+    labels = spark.createDataFrame([("x", 4), ("y", 5), ("z", 6)], "name string, label_int int")
+    got = calibration.confound_classes(labels, spark.createDataFrame([("x", "T"), ("y", None)], "name string, base string")).collect()
+    assert [tuple(r) for r in got] == [(4, 3)]
+    with pytest.raises(Exception, match="no base"):
+        calibration.confound_classes(labels, spark.createDataFrame([("x", "N")], "name string, base string")).collect()
+    points = spark.createDataFrame([(5, 9, 0, 0.5), (7, 9, 0, None), (6, 9, 0, 0.9)], "left_context int, right_context int, dwell_offset int, best_val_selection double")
+    sinks.write_grid_summary(points, f"{tmp_path}/grid")
+    back = spark.read.csv(f"{tmp_path}/grid", header=True)
+    assert tuple(back.columns) == sinks.GRID_COLUMNS and [r["left_context"] for r in back.collect()] == ["6", "5", "7"]
+    sinks.write_grid_summary(points.where("false"), f"{tmp_path}/none")
+    assert not (tmp_path / "none").exists()
