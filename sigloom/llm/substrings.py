@@ -60,7 +60,7 @@ class Segments:
         self.windows = np.flatnonzero(np.arange(len(w)) <= last)
         self.row = row[self.windows]
         if not len(self.windows):
-            self.start = self.stop = np.zeros(0, np.int64)
+            self.first = self.count = self.doc = self.start = self.stop = np.zeros(0, np.int64)
             self.seed = self.deal = self.key = np.zeros(0, np.uint64)
             return
         grams = B.gram_hashes(h, SEED)
