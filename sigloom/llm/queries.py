@@ -1,4 +1,4 @@
-"""Queries op1..op10 over the driver's tables, and the SQL for those that SQL can express."""
+"""Queries op1..op13 over the driver's tables, and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bloomlm, counts, decontaminate, language, packing, pii, preference, rotatedbits, simhash, substrings
+from . import blocks, bloomlm, captures, counts, decontaminate, divergence, language, packing, pii, pivots, preference, rotatedbits, simhash, substrings
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(blocks.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = captures.read_back(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(blocks.documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return pivots.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_packing": op2_packing,
@@ -65,6 +79,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op11_warc": op11_warc,
+    "op12_divergence": op12_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE: dict[str, str] = {"op3_chat_preference": preference.ORACLE}
+ORACLE: dict[str, str] = {
+    "op3_chat_preference": preference.ORACLE,
+    "op11_warc": captures.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_hard_negatives": pivots.ORACLE,
+}
