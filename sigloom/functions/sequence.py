@@ -93,17 +93,46 @@ def query_interval(cigar: Column, reference_start: Column, start: Column, stop:
     return F.aggregate(cigar, empty, step, lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull(), F.struct(s["a"].alias("q_start"), s["b"].alias("q_stop"))))
 
 
+def between(text: Column, start: Column, stop: Column) -> Column:
+    """text[start:stop] with N outside; empty if stop is not after start."""
+    n = F.length(text)
+    left = F.greatest(F.lit(0), F.least(stop, F.lit(0)) - start)
+    right = F.greatest(F.lit(0), stop - F.greatest(start, n))
+    size = F.greatest(F.lit(0), stop - start)
+    middle = F.substring(text, F.greatest(start, F.lit(0)) + 1, F.greatest(F.lit(0), size - left - right))
+    return F.concat(F.repeat(F.lit("N"), F.least(left, size)), middle, F.repeat(F.lit("N"), F.least(right, size)))
+
+
+def walked(cigar: Column) -> Column:
+    """The CIGAR with the reference and query places before every operation: structs (op, len, r, q), from 0."""
+    moves = lambda ops: F.transform(cigar, lambda c: F.when(c["op"].isin(*ops), c["len"].cast("int")).otherwise(F.lit(0)))
+    return let(cigar, running(moves(ON_REFERENCE)), running(moves(ON_QUERY)), lambda c, r, q: F.transform(c, lambda x, i: F.struct(x["op"].alias("op"), x["len"].cast("long").alias("len"), at(r, i).cast("long").alias("r"), at(q, i).cast("long").alias("q"))))
+
+
 def knots(cigar: Column) -> Column:
     """Reference and query places of the first and last base of every matching block: struct (x, y), from 0."""
-    empty = F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("q"), F.array().cast("array<bigint>").alias("x"), F.array().cast("array<bigint>").alias("y"))
+    def of(steps: Column) -> Column:
+        ends = lambda field: F.flatten(F.transform(steps, lambda s: F.array(s[field], s[field] + s["len"] - 1)))
+        return F.struct(ends("r").alias("x"), ends("q").alias("y"))
 
-    def step(s: Column, c: Column) -> Column:
-        n = c["len"].cast("long")
-        match = c["op"].isin(*MATCHING) & (n > 0)
-        x = F.when(match, F.concat(s["x"], F.array(s["r"], s["r"] + n - 1))).otherwise(s["x"])
-        y = F.when(match, F.concat(s["y"], F.array(s["q"], s["q"] + n - 1))).otherwise(s["y"])
-        r = s["r"] + F.when(c["op"].isin(*ON_REFERENCE), n).otherwise(F.lit(0))
-        q = s["q"] + F.when(c["op"].isin(*ON_QUERY), n).otherwise(F.lit(0))
-        return F.struct(r.alias("r"), q.alias("q"), x.alias("x"), y.alias("y"))
+    return let(F.filter(walked(cigar), lambda s: s["op"].isin(*MATCHING) & (s["len"] > 0)), of)
+
+
+def reference_places(cigar: Column) -> Column:
+    """The read's place, a fraction between matching blocks, of every reference base of an alignment and of its end. The
+    line goes through 0, the knots, and the end of the last matching block; what follows that block is left out. Without a
+    matching block there is one place, 0."""
+    def of(k: Column) -> Column:
+        n = F.size(k["x"])
+        x = F.concat(F.array(F.lit(0).cast("long")), k["x"], F.array(F.element_at(k["x"], -1) + 1))
+        y = F.concat(F.array(F.lit(0).cast("long")), k["y"], F.array(F.element_at(k["y"], -1) + 1))
+
+        def piece(x: Column, y: Column, i: Column) -> Column:
+            x0, x1, y0, y1 = at(x, i), at(x, i + 1), at(y, i), at(y, i + 1)
+            slope = (y1 - y0) / F.greatest(x1 - x0, F.lit(1))
+            return F.transform(indices(x1 - x0), lambda p: slope * p + y0)
+
+        whole = let(x, y, lambda x, y: F.concat(F.flatten(F.transform(indices(F.size(x) - 1), lambda i: piece(x, y, i))), F.array(F.element_at(y, -1).cast("double"))))
+        return F.when(n > 0, whole).otherwise(F.array(F.lit(0.0)))
 
-    return F.aggregate(cigar, empty, step, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+    return let(knots(cigar), of)

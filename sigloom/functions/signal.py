@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import at, clamped, indices, let, mean, median, padded, std
+from .sequence import reference_places
 
 EPSILON = 1e-6
 DWELL_CHANNELS = ("dwell", "dwell_log", "dwell_mean", "dwell_std", "dwell_ratio")
@@ -138,3 +139,62 @@ def interpolated(x: Column, knots_x: Column, knots_y: Column) -> Column:
         return F.when(x <= at(kx, F.lit(0)), first).when(x >= F.element_at(kx, -1), last).otherwise(let(k, lambda k: inside(x, kx, ky, k)))
 
     return let(x, knots_x, knots_y, of)
+
+
+def quantile(ordered: Column, q: float) -> Column:
+    """Of an ascending array, linear between its elements."""
+    def of(s: Column, x: Column) -> Column:
+        low = F.floor(x)
+        return at(s, low) + (clamped(s, low + 1) - at(s, low)) * (x - low)
+
+    return let(ordered, (F.size(ordered) - 1) * F.lit(q), of)
+
+
+def normalised(values: Column, method: str, pa_mean: float | None = None, pa_stdev: float | None = None, cal_offset: Column | None = None, cal_scale: Column | None = None) -> Column:
+    """A read's samples less a centre, over a spread; 0 where the spread is 0. median_mad, zscore, quantile (centre and
+    spread of the samples clipped to their 1 and 99 per cent quantiles) or pa_scaling."""
+    over = lambda v, m, s: F.transform(v, lambda x: F.when(s > 0, (x - m) / s).otherwise(F.lit(0.0)))
+    spread = lambda v, m: 1.4826 * median(F.transform(v, lambda x: F.abs(x - m)))
+    values = F.transform(values, lambda x: x.cast("double"))
+    if method == "median_mad":
+        return let(values, lambda v: let(median(v), lambda m: let(spread(v, m), lambda s: over(v, m, s))))
+    if method == "zscore":
+        return let(values, lambda v: let(mean(v), std(v), lambda m, s: over(v, m, s)))
+    if method == "quantile":
+        clip = lambda v: let(F.array_sort(v), lambda s: let(quantile(s, 0.01), quantile(s, 0.99), lambda a, b: F.transform(v, lambda x: F.greatest(a, F.least(b, x)))))
+        return let(values, lambda v: let(clip(v), lambda c: let(median(c), lambda m: let(spread(c, m), lambda s: over(v, m, s)))))
+    if method == "pa_scaling":
+        return let(values, cal_offset, cal_scale, lambda v, a, b: F.transform(v, lambda x: ((x + a) * b - pa_mean) / pa_stdev))
+    raise ValueError(f"unknown normalisation {method!r}")
+
+
+def bases_of_samples(base_map: Column) -> Column:
+    """The base of every sample from the map's first entry to its last, in one walk over the bases."""
+    return let(base_map, lambda m: F.flatten(F.transform(indices(F.size(m) - 1), lambda i: F.array_repeat(i, F.greatest(F.lit(0), at(m, i + 1) - at(m, i)).cast("int")))))
+
+
+def base_at(bases: Column, base_map: Column, sample: Column) -> Column:
+    """base_of_sample by looking it up in bases_of_samples."""
+    first = at(base_map, F.lit(0))
+    return F.when(sample < first, -1).when(sample >= F.element_at(base_map, -1), F.size(base_map) - 1).otherwise(at(bases, sample - first))
+
+
+def spread_residual(signal: Column, base_map: Column, expected: Column) -> Column:
+    """signal_residual by one walk over the bases: every base's level is spread over its samples."""
+    def of(x: Column, m: Column, b: Column, e: Column) -> Column:
+        level = lambda i: F.coalesce(at(e, at(b, i - at(m, F.lit(0)))), F.lit(0.0))
+        return F.transform(x, lambda v, i: F.when(i < at(m, F.lit(0)), 0.0).otherwise(let(level(i), lambda y: F.when(y != 0, v - y).otherwise(F.lit(0.0)))))
+
+    return let(signal, base_map, bases_of_samples(base_map), expected, of)
+
+
+def reference_map(query_map: Column, cigar: Column) -> Column:
+    """First sample of every reference base of an alignment, and the end: the places of the reference's bases in the read
+    (sequence.reference_places), each taken through the read's map by linear interpolation and rounded down. One walk."""
+    def sample(m: Column, q: Column) -> Column:
+        last = F.size(m) - 1
+        low = F.least(F.floor(q).cast("int"), last - 1)
+        inside = (at(m, low + 1) - at(m, low)) * (q - low) + at(m, low)
+        return F.floor(F.when(q >= last, F.element_at(m, -1).cast("double")).otherwise(inside))
+
+    return let(query_map, reference_places(cigar), lambda m, p: F.transform(p, lambda q: sample(m, q)))
