@@ -179,13 +179,13 @@ def base_at(bases: Column, base_map: Column, sample: Column) -> Column:
     return F.when(sample < first, -1).when(sample >= F.element_at(base_map, -1), F.size(base_map) - 1).otherwise(at(bases, sample - first))
 
 
-def spread_residual(signal: Column, base_map: Column, expected: Column) -> Column:
-    """signal_residual by one walk over the bases: every base's level is spread over its samples."""
+def spread_residual(signal: Column, base_map: Column, bases: Column, expected: Column) -> Column:
+    """signal_residual with the bases of samples at hand: a look-up a sample."""
     def of(x: Column, m: Column, b: Column, e: Column) -> Column:
         level = lambda i: F.coalesce(at(e, at(b, i - at(m, F.lit(0)))), F.lit(0.0))
         return F.transform(x, lambda v, i: F.when(i < at(m, F.lit(0)), 0.0).otherwise(let(level(i), lambda y: F.when(y != 0, v - y).otherwise(F.lit(0.0)))))
 
-    return let(signal, base_map, bases_of_samples(base_map), expected, of)
+    return let(signal, base_map, bases, expected, of)
 
 
 def reference_map(query_map: Column, cigar: Column) -> Column:

@@ -81,37 +81,47 @@ def failed_because(plan: Plan) -> Column:
     return out
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with columns that are computed here, once a row. A generator stands between them and what uses them: the
+    optimiser would otherwise write their expressions into every use, and into filters on what follows."""
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def signals_and_maps(reads: DataFrame, plan: Plan) -> DataFrame:
     """Adds text (what positions index), signal, map, whole (the signal before it is cut to the aligned part) and cut_at."""
     t = F.col("table")
-    on_reference = F.col("reference_sequence").isNotNull() & F.col("cigar").isNotNull() if plan.anchor == "reference" else F.lit(False)
     kept = F.slice("v", t["trim"] + 1, F.greatest(F.least(t["samples"], F.size("v")) - t["trim"], F.lit(0)))
     base_map = signal.move_map(t["moves"], t["stride"], F.lit(0), t["samples"] - t["trim"])
     cal = (F.col("cal_offset"), F.col("cal_scale")) if plan.norm == "pa_scaling" else (None, None)
-    rows = reads.withColumn("whole", signal.normalised(kept, plan.norm, plan.pa_mean, plan.pa_stdev, *cal)).withColumn("map", base_map)
+    rows = settled(reads, whole=signal.normalised(kept, plan.norm, plan.pa_mean, plan.pa_stdev, *cal), map=base_map)
     if plan.reverse:
-        rows = rows.withColumn("map", signal.reversed_map(F.col("map"), F.size("whole"))).withColumn("whole", F.reverse("whole"))
-    if plan.anchor == "reference":
-        rows = rows.withColumn("map", F.when(on_reference, signal.reference_map(F.col("map"), F.col("cigar"))).otherwise(F.col("map").cast("array<bigint>")).cast("array<int>"))
-    first = F.when(on_reference, at(F.col("map"), F.lit(0))).otherwise(F.lit(0))
-    rows = rows.withColumn("cut_at", first).withColumn("text", F.when(on_reference, F.col("reference_sequence")).otherwise(F.col("sequence")))
+        rows = settled(rows, map=let(F.col("map"), F.size("whole"), signal.reversed_map), whole=F.reverse("whole"))
+    if plan.anchor == "basecall":
+        return settled(rows, cut_at=F.lit(0), text=F.col("sequence"), signal=F.col("whole"))
+    on_reference = F.col("reference_sequence").isNotNull() & F.col("cigar").isNotNull()
+    rows = settled(rows, map=F.when(on_reference, signal.reference_map(F.col("map"), F.col("cigar"))).otherwise(F.col("map").cast("array<bigint>")).cast("array<int>"))
+    rows = settled(rows, cut_at=F.when(on_reference, at(F.col("map"), F.lit(0))).otherwise(F.lit(0)), text=F.when(on_reference, F.col("reference_sequence")).otherwise(F.col("sequence")))
     part = F.slice("whole", F.greatest(F.col("cut_at"), F.lit(0)) + 1, F.greatest(F.element_at("map", -1) - F.col("cut_at"), F.lit(0)))
-    rows = rows.withColumn("signal", F.when(on_reference, part).otherwise(F.col("whole")))
-    return rows.withColumn("map", let(F.col("map"), F.col("cut_at"), lambda m, c: F.transform(m, lambda x: x - c)))
+    moved = let(F.col("map"), F.col("cut_at"), lambda m, c: F.transform(m, lambda x: x - c))
+    return settled(rows, signal=F.when(on_reference, part).otherwise(F.col("whole")), map=moved)
 
 
 def with_features(rows: DataFrame, levels: bool) -> DataFrame:
-    """Adds dwells, features (channels x bases, in the contract's order) and, with expected levels, residual."""
-    dwell, level = signal.dwell_features(F.col("dwells")), signal.level_features(F.col("signal"), F.col("map"))
-    channel = lambda x, names: [F.col(x).getField(c) for c in names]
-    rows = rows.withColumn("dwells", signal.dwells(F.col("map"))).withColumn("dwell_", dwell).withColumn("level_", level)
-    rows_of = channel("dwell_", signal.DWELL_CHANNELS) + channel("level_", signal.LEVEL_CHANNELS)
+    """Adds dwells, bases (of every sample), features (channels x bases, in the contract's order) and, with expected
+    levels, residual."""
+    rows = settled(rows, dwells=signal.dwells(F.col("map")), bases=signal.bases_of_samples(F.col("map")))
+    made = {"dwell_": signal.dwell_features(F.col("dwells")), "level_": signal.level_features(F.col("signal"), F.col("map"))}
+    if levels:
+        made["expected_"] = signal.fitted_levels(F.col("levels"), F.size("dwells"))
+    rows = settled(rows, **made)
+    groups = [("dwell_", signal.DWELL_CHANNELS), ("level_", signal.LEVEL_CHANNELS)]
     if levels:
-        fitted = signal.fitted_levels(F.col("levels"), F.size("dwells"))
-        rows = rows.withColumn("expected_", fitted).withColumn("residual_", signal.residual_features(F.col("level_").getField("level_mean"), F.col("expected_")))
-        rows_of += channel("residual_", signal.RESIDUAL_CHANNELS)
-        rows = rows.withColumn("residual", signal.spread_residual(F.col("signal"), F.col("map"), F.col("expected_")))
-    return rows.withColumn("features", F.array(*[F.transform(x, lambda v: v.cast("double")) for x in rows_of])).drop("dwell_", "level_", "expected_", "residual_")
+        residual = signal.residual_features(F.col("level_").getField("level_mean"), F.col("expected_"))
+        rows = settled(rows, residual_=residual, residual=signal.spread_residual(F.col("signal"), F.col("map"), F.col("bases"), F.col("expected_")))
+        groups.append(("residual_", signal.RESIDUAL_CHANNELS))
+    channels = [F.col(x).getField(c).cast("array<double>") for x, names in groups for c in names]
+    return settled(rows, features=F.array(*channels)).drop("dwell_", "level_", "expected_", "residual_")
 
 
 def window_of(m: Column, base: Column, focus: Column, plan: Plan) -> tuple[Column, Column]:
@@ -171,7 +181,7 @@ def chunks_of(plan: Plan, levels: bool) -> Column:
         return F.transform(there, lambda f: cut(text, sig, res, whole, shift, m, bases, dwells, features, f))
 
     residual = F.col("residual") if levels else F.array().cast("array<double>")
-    names = ("text", "signal", residual, "whole", "cut_at", "map", signal.bases_of_samples(F.col("map")), "dwells", "features", "focus")
+    names = ("text", "signal", residual, "whole", "cut_at", "map", "bases", "dwells", "features", "focus")
     return let(*[F.col(x) if isinstance(x, str) else x for x in names], of)
 
 
@@ -206,23 +216,22 @@ def extract(reads: DataFrame, plan: Plan, motif: str | None = None, offset: int
     """
     inputs = {"sequence", "v", "table", "reference_sequence", "cigar", "cal_offset", "cal_scale", "levels", "focus", "label_int", "anchor_sample"}
     kept = [c for c in reads.columns if c not in inputs]
-    missing, error = F.col("v").isNull(), failed_because(plan)
-    rows = reads.withColumn("missing_", missing).withColumn("error", F.when(~missing, error))
+    missing = F.col("v").isNull()
+    rows = settled(reads, missing_=missing, error=F.when(~missing, failed_because(plan)))
     ready = F.col("error").isNull() & ~F.col("missing_")
-    for c in ("v", "table"):  # nothing is computed for a read that has no chance
-        rows = rows.withColumn(c, F.when(ready, F.col(c)))
+    # nothing is computed for a read that has no chance
+    rows = settled(rows, v=F.when(ready, F.col("v")), table=F.when(ready, F.col("table")))
     rows = signals_and_maps(rows, plan)
     if focus == "sample":
-        rows = rows.withColumn("focus", F.when(F.col("anchor_sample").isNotNull(), sampled_focus(F.col("map"), F.length("text"), F.col("label_int"), F.col("anchor_sample"))))
+        rows = settled(rows, focus=F.when(F.col("anchor_sample").isNotNull(), sampled_focus(F.col("map"), F.length("text"), F.col("label_int"), F.col("anchor_sample"))))
     elif focus is None:
-        rows = rows.withColumn("focus", motif_focus(F.col("text"), motif, offset, label_int))
-    rows = with_features(rows, levels)
-    rows = rows.withColumn("chunks", F.when(ready, F.coalesce(chunks_of(plan, levels), F.array())))
+        rows = settled(rows, focus=motif_focus(F.col("text"), motif, offset, label_int))
+    rows = settled(with_features(rows, levels), chunks=F.when(ready, F.coalesce(chunks_of(plan, levels), F.array())))
     hollow = F.exists("chunks", lambda c: F.size(c["seq_to_sig"]) == 0)
     late = F.when(F.col("cut_at") < 0, F.lit("the aligned part starts before the signal")).when(hollow, F.lit("a chunk covers no base"))
-    rows = rows.withColumn("error", F.when(ready, late).otherwise(F.col("error")))
+    rows = settled(rows, error=F.when(ready, late).otherwise(F.col("error")))
     outcome = F.when(F.col("missing_"), "missing").when(F.col("error").isNotNull(), "failed").when(F.size("chunks") > 0, "chunks").otherwise("no chunks")
-    rows = rows.withColumn("outcome", outcome)
+    rows = settled(rows, outcome=outcome)
     return rows.select(*kept, "outcome", "error", F.when(F.col("outcome") == "chunks", F.col("chunks")).alias("chunks"))
 
 
