@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, sequence, signal
 from ..operators import extract, predicting, preparing
+from ..sources import bam, shared
 from . import inputs as I
 from .evaluation import rounded
 from .reads import STEPS, alignments
@@ -141,7 +142,30 @@ def binary_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicting.on_alignments(every, rows)
 
 
+def bam_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's alignment as a BAM record: some are secondary or unmapped, some lack the tag ns."""
+    rows = alignments(spark, sf_dir).withColumn("k", F.col("read_id"))
+    n = F.aggregate("cigar", F.lit(0), lambda n, c: n + F.when(c["op"].isin(*sequence.ON_QUERY), c["len"]).otherwise(0))
+    tags = F.when(F.col("k") % 4 == 0, F.create_map(F.lit("mv"), F.lit("5,1,0,1"))).otherwise(F.create_map(F.lit("mv"), F.lit("5,1,0,1"), F.lit("ns"), F.col("k").cast("string")))
+    kinds = F.create_map(F.lit("mv"), F.lit("Bc"), F.lit("ns"), F.lit("i"))
+    text = F.substring(F.repeat(F.lit("ACGTN"), F.ceil(n / 5).cast("int")), F.lit(1), n)
+    return rows.select(
+        F.concat(F.lit("read-"), "k").alias("read_id"), F.when(F.col("k") % 7 == 0, 256).when(F.col("k") % 11 == 0, 4).otherwise(16).alias("flag"), F.lit("chr1").alias("reference_name"), "reference_start",
+        (F.col("k") % 61).cast("int").alias("mapping_quality"), "cigar", text.alias("sequence"), tags.alias("tags"), kinds.alias("tag_types"),
+    )
+
+
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as BAM files, read back in parts of 64 KiB: the mapped primary alignments of some quality with both tags."""
+    folder = shared.scratch(spark, "bam")
+    bam.write(bam_rows(spark, sf_dir), folder, [("chr1", 1_000_000)])
+    rows = bam.read(spark, folder, min_mapq=20, split_bytes=1 << 16)
+    cigar = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), F.lit("."), c["op"].cast("string"))), " ")
+    return rows.select("read_id", "flag", "reference_name", "reference_start", "mapping_quality", cigar.alias("cigar"), F.length("sequence").alias("n"), F.col("tags")["mv"].alias("mv"), F.col("tags")["ns"].alias("ns"), "reverse")
+
+
 QUERIES = {
+    "s1_bam_round_trip": bam_round_trip,
     "c16_prepared_chunks": prepared_chunks, "c15_prepare_yields": prepare_yields, "p15_reference_maps": reference_maps,
     "m1_bundle_calls": bundle_calls, "m2_class_calls": class_calls, "m3_binary_marks": binary_marks,
 }
@@ -190,6 +214,10 @@ BUNDLE = (
 BYTE = "CAST(greatest(0, least(255, round_even({} * 255, 0))) AS INT)"
 
 ORACLE = {
+    "s1_bam_round_trip": f"""
+WITH {STEPS}, a AS (SELECT read_id AS k, string_agg(n || '.' || op, ' ' ORDER BY k) AS cigar, CAST(sum(CASE WHEN op IN (0, 1, 4, 7, 8) THEN n ELSE 0 END) AS INT) AS n FROM steps GROUP BY 1)
+SELECT 'read-' || k AS read_id, 16 AS flag, 'chr1' AS reference_name, 100 AS reference_start, CAST(k % 61 AS INT) AS mapping_quality, cigar, n, '5,1,0,1' AS mv, k::VARCHAR AS ns, true AS reverse
+FROM a WHERE k % 7 > 0 AND k % 11 > 0 AND k % 4 > 0 AND k % 61 >= 20 AND n > 0""",
     "c16_prepared_chunks": f"""
 WITH {READS} SELECT read_id, CAST(b AS INT) AS base_index, CAST(read_id % 2 AS INT) AS label_int, CAST(read_id % 3 - 1 AS INT) AS junction_indel, read_id % 4 > 0 AS junction_mapped, 12 AS focus_signal_pos,
   {LETTERS.format('b - 3', 'b + 4')} AS kmer, {LETTERS.format('first - 4', 'past + 4')} AS context,
