@@ -111,7 +111,7 @@ class Scorer:
         n, length, none = len(words), len(words[0]), len(self.table) - 1
         alpha = np.zeros((n, length + 1, self.table.shape[1]))
         alpha[:, 0] = 1.0
-        scale = np.zeros(n)
+        scale = np.zeros((n, alpha.shape[2]))  # a language's own: one that falls far behind another is not lost
         get = self.pieces.get
         for end in range(1, length + 1):
             for size in range(1, min(self.longest, end) + 1):
@@ -122,16 +122,16 @@ class Scorer:
                 if len(at):
                     alpha[at, end] += alpha[at, end - size] * self.table[ids[at]]
             if end % 16 == 0:  # keeps numbers in range
-                top = alpha[:, max(0, end - self.longest) : end + 1].max((1, 2))
-                alpha[:, max(0, end - self.longest) : end + 1] /= top[:, None, None]
+                top = alpha[:, max(0, end - self.longest) : end + 1].max(1)
+                alpha[:, max(0, end - self.longest) : end + 1] /= top[:, None, :]
                 scale += np.log(top)
-        return np.log(alpha[:, length]) + scale[:, None]
+        return np.log(alpha[:, length]) + scale
 
     def forward_long(self, word: str) -> np.ndarray:
         """The same of one word: the last sums alone are kept, the pieces that end at each place of a stretch are found first."""
         most, none, get = self.longest, len(self.table) - 1, self.pieces.get
         alpha = np.zeros((most, self.table.shape[1]))  # [k]: of what ends k characters before this place
-        alpha[0], scale = 1.0, 0.0
+        alpha[0], scale = 1.0, np.zeros(alpha.shape[1])
         for lo in range(0, len(word), STRETCH):
             n = min(STRETCH, len(word) - lo)
             p = np.zeros((n, most, self.table.shape[1]))
@@ -147,7 +147,7 @@ class Scorer:
                 alpha[1:] = alpha[:-1].copy()
                 alpha[0] = now
                 if k % 16 == 15:
-                    top = alpha.max()
+                    top = alpha.max(0)
                     alpha /= top
                     scale += np.log(top)
         return np.log(alpha[0]) + scale

@@ -211,11 +211,18 @@ def rebuilt(rows: list[tuple[str, str]], n: int, seed: int = 5) -> list[tuple[st
     return out
 
 
+def sampled(documents: DataFrame, sample: int) -> DataFrame:
+    """Texts with a digit or an @, of some `sample` rows. Rows are drawn by id and text, and repeated ones count once, so
+    neither null ids nor repeats make the sample larger."""
+    n = documents.count()
+    drawn = documents.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    place = F.pmod("h", F.lit(PLACES)) / float(PLACES)
+    return drawn.where((place < min(1.0, sample / max(1, n))) & F.col("text").rlike("[0-9@]")).dropDuplicates(["h"]).select("text")
+
+
 def train(documents: DataFrame, sample: int = SAMPLE) -> Tagger | None:
     B.small_batches(documents.sparkSession)
-    n = documents.count()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)) / float(PLACES)
-    some = documents.where((place < min(1.0, sample / max(1, n))) & F.col("text").rlike("[0-9@]")).select("text")
+    some = sampled(documents, sample)
     rows = sorted(tuple(r) for r in some.mapInArrow(examples, "text string, tags string").collect())  # SAMPLE x PER_DOCUMENT windows at most
     if not any(set(tags) - {"0"} for _, tags in rows):
         return None

@@ -163,18 +163,41 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def survivors(documents: DataFrame, shingle: int = 3, similar_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group, that of the smallest doc_id; of rows that share it, one. Groups are the components of
-    both kinds of links over all documents: fingerprints within the radius, and shingle sets of the similarity. All
-    columns. Rows without a doc_id cannot be told apart and stay."""
-    rows = written(documents, shingle).where("doc_id is not null")
+    """One document of each group, that of the smallest doc_id, all its columns. Groups are the components of both kinds of
+    links over all documents: fingerprints within the radius, and shingle sets of the similarity. Rows that share a doc_id
+    are documents of their own if their texts differ, in the order of the texts' MD5; if id and text are the same, the row
+    of the smallest other columns is the one. Rows without a doc_id cannot be told apart and stay."""
+    named = documents.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = _survivors(named, shingle, similar_shingle, similarity)
+    else:
+        rows = _numbered(named)
+        left = _survivors(rows.select(F.col("node").alias("doc_id"), F.col("row.text").alias("text")), shingle, similar_shingle, similarity)
+        out = rows.join(left.select(F.col("doc_id").alias("node")), "node", "left_semi").select("row.*")
+    return out.unionByName(documents.where("doc_id is null"))
+
+
+def _numbered(documents: DataFrame) -> DataFrame:
+    """node, row: each distinct doc_id and text once, numbered in that order."""
+    spark, folder = documents.sparkSession, B.scratch(documents.sparkSession, "numbered")
+    mark = F.concat(F.col("text").isNull().cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("mark_")
+    keys = documents.select("doc_id", mark).distinct().repartitionByRange("doc_id", "mark_").sortWithinPartitions("doc_id", "mark_")
+    keys.select("doc_id", "mark_", F.monotonically_increasing_id().alias("node")).write.parquet(f"{folder}/keys")  # ascends over the ranges
+    keys = spark.read.parquet(f"{folder}/keys")
+    others = [f.name for f in documents.schema if f.name not in ("doc_id", "text") and f.dataType.typeName() in ("string", "long", "integer", "double", "float", "boolean", "date", "timestamp", "binary", "short", "byte")]
+    rows = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", mark).join(keys, ["doc_id", "mark_"])
+    chosen = F.min_by("row", F.struct(F.lit(0), *[F.col(f"row.`{c}`") for c in others])).alias("row")
+    rows.groupBy("node").agg(chosen).write.parquet(f"{folder}/rows")
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def _survivors(documents: DataFrame, shingle: int, similar_shingle: int, similarity: float) -> DataFrame:
+    """Of documents whose doc_ids are all there and differ."""
+    rows = written(documents, shingle)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     near = links(least, least.count())
     a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"doc_{x}")) for x in "ab")
     known = near.join(a, "a").join(b, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     known = known.unionByName(rows.join(least, "fp").where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     grouped = similar.groups(documents, known, similar_shingle, similarity)
-    kept = rows.groupBy("doc_id").count().join(grouped.where("node != root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
-    out = documents.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(documents.where("doc_id is null"))
+    return documents.join(grouped.where("node != root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")

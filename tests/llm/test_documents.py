@@ -507,6 +507,40 @@ def test_op9_a_megabyte_without_spaces():
     assert np.isfinite(s.score([[b"a" * 200_000]])).all()
 
 
+def test_op9_words_of_either_language_leave_both_finite():
+    """A word that is long in one language's pieces must not lose the other's sum, nor two such words together the text's."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    _, pieces = language.vocabulary(path)
+    model = language.Model(path, [("aa", pieces["the"], 10**6), ("bb", pieces["ing"], 10**6)])
+    s = language.Scorer(model)
+    one, two = s.forward_long("\u2581" + "the" * 9_200), s.forward_long("\u2581" + "ing" * 11_200)
+    assert np.isfinite(one).all() and np.isfinite(two).all() and one[0] > one[1] and two[0] < two[1]
+    both = s.score([[b"the" * 9_200, b"ing" * 11_200], [b"the" * 9_200]])
+    assert np.allclose(both[0], one + two) and np.allclose(both[1], one)
+    short = s.forward(["\u2581" + "the" * 12, "\u2581" + "ing" * 12])
+    assert np.allclose(short[0], s.forward_long("\u2581" + "the" * 12)) and np.allclose(short[1], s.forward_long("\u2581" + "ing" * 12))
+
+
+def test_op9_long_words_keep_their_document(spark, tmp_path):
+    rows = [(i, ("the cat and the dog " if i % 2 else "der Hund und die Katze ") * 20, "en" if i % 2 else "de") for i in range(60)]
+    rows += [(100, "the" * 12_000, "en"), (101, "the" * 9_000 + " " + "und" * 9_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = language.train(docs, path)
+    got = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    assert all(0 <= r["score"] <= 1 and r["lang_pred"] in ("en", "de") for r in got.values())  # NaN fails both
+    assert {100, 101} <= {r["doc_id"] for r in language.accepted(docs, model).collect()}
+
+
+def test_op8_sample_is_bounded_by_texts_and_not_by_ids(spark):
+    """Rows of null or repeated ids are drawn like all others, and repeats once."""
+    row = "write to ann.lee@mail.example.com now"
+    many = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(f"{row} "), F.col("id").cast("string")).alias("text"))
+    for docs, most in ((many, 700), (many.withColumn("doc_id", F.lit(7).cast("long")), 700), (many.withColumn("text", F.lit(row)), 1)):
+        assert pii.sampled(docs, 500).count() <= most
+    assert pii.sampled(many, 500).count() > 300
+
+
 def test_op10_hits_are_those_of_every_window(spark, corpus):
     folder, rows = corpus
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
