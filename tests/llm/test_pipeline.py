@@ -35,8 +35,8 @@ def test_each_stage_on_its_own_input(spark, corpus):
             assert len(kept) == len(before)
             text = next(r["text"] for r in kept if r["doc_id"] == 414)
             assert "[EMAIL]" in text and "example.com" not in text and "190.137.223.204" not in text
-            old = {r["doc_id"]: r["text"] for r in before}
-            assert all(re.search(r"[0-9@]", old[r["doc_id"]]) or r["text"] == old[r["doc_id"]] for r in kept if r["doc_id"] is not None)
+            plain = sorted(repr(r) for r in before if not re.search(r"[0-9@]", r["text"] or ""))
+            assert set(plain) <= {repr(r) for r in kept}  # texts without a trigger stay as they are
         if name == "packing":
             assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in before}
 
