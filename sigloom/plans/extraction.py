@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, sequence, signal
-from ..operators import extract, predicting, preparing
+from ..operators import augment, extract, predicting, preparing
 from ..sources import bam, shared
 from . import inputs as I
 from .evaluation import rounded
@@ -164,7 +164,21 @@ def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("read_id", "flag", "reference_name", "reference_start", "mapping_quality", cigar.alias("cigar"), F.length("sequence").alias("n"), F.col("tags")["mv"].alias("mv"), F.col("tags")["ns"].alias("ns"), "reverse")
 
 
+AUGMENT = augment.Augment(seed=11, shift_bases=2.5, samples_per_base=3.0, feature_stds=(0.5, 0.25), feature_noise=2.0, jitter=0.05, scale=(0.8, 1.25))
+
+
+def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty coordinates of a vector as a signal and ten as two channels of five bases: shifted, with feature noise, jitter
+    and a scale, all drawn by seed, vector and place."""
+    e = I.table(spark, sf_dir, "embeddings")
+    part = lambda a, n: F.transform(F.slice("embedding", a, n), lambda x: x.cast("double"))
+    rows = e.select(F.col("vec_id").alias("read_id"), part(1, 40).alias("signal"), F.array(part(41, 5), part(46, 5)).alias("features"))
+    out = augment.augmented(rows, AUGMENT, F.col("read_id"), epoch=3)
+    return out.select("read_id", digits(F.col("signal")).alias("samples"), F.array_join(F.transform("features", digits), ";").alias("features"))
+
+
 QUERIES = {
+    "g1_augmented": augmented,
     "s1_bam_round_trip": bam_round_trip,
     "c16_prepared_chunks": prepared_chunks, "c15_prepare_yields": prepare_yields, "p15_reference_maps": reference_maps,
     "m1_bundle_calls": bundle_calls, "m2_class_calls": class_calls, "m3_binary_marks": binary_marks,
@@ -213,7 +227,29 @@ BUNDLE = (
 )
 BYTE = "CAST(greatest(0, least(255, round_even({} * 255, 0))) AS INT)"
 
+FRACTION = "((('0x' || substring({}, {}, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+def normal_sql(stream: str, i: str) -> str:
+    """The normal number of a place i of a stream."""
+    h = f"md5('11:' || {stream} || ':' || ({i}) // 2)"
+    u, v = FRACTION.format(h, 1), FRACTION.format(h, 14)
+    return f"(sqrt(-2 * ln({u})) * CASE WHEN ({i}) % 2 = 0 THEN cos(2 * pi() * {v}) ELSE sin(2 * pi() * {v}) END)"
+
+
+def uniform_sql(stream: str, low: float, high: float) -> str:
+    place = FRACTION.format(f"md5('11:' || read_id || '/3:{stream}:0')", 1)
+    return f"({low}::DOUBLE + {high - low}::DOUBLE * {place})"
+
+
 ORACLE = {
+    "g1_augmented": f"""
+WITH e AS (SELECT vec_id AS read_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+d AS (SELECT *, CAST(round_even({uniform_sql('shift', -2.5, 2.5)} * 3, 0) AS INT) AS a, CAST(round_even({uniform_sql('shift', -2.5, 2.5)}, 0) AS INT) AS b, {uniform_sql('scale', 0.8, 1.25)} AS f FROM e),
+s AS (SELECT read_id, list((CASE WHEN i - a >= 0 AND i - a < 40 THEN x[i - a + 1] ELSE 0 END + 0.05::DOUBLE * {normal_sql("read_id || '/3:signal'", 'i')}) * f ORDER BY i) AS s FROM d, range(40) t(i) GROUP BY 1),
+c AS (SELECT read_id, c, list(CASE WHEN i - b >= 0 AND i - b < 5 THEN x[41 + 5 * c + i - b] ELSE 0 END + {normal_sql("read_id || '/3/' || c || ':feature'", 'i')} * (CASE WHEN c = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END) * 2 ORDER BY i) AS v FROM d, range(5) t(i), range(2) w(c) GROUP BY 1, 2),
+g AS (SELECT read_id, string_agg({TEN_THOUSANDTHS.format('v')}, ';' ORDER BY c) AS features FROM c GROUP BY 1)
+SELECT read_id, {TEN_THOUSANDTHS.format('s')} AS samples, features FROM s JOIN g USING (read_id)""",
     "s1_bam_round_trip": f"""
 WITH {STEPS}, a AS (SELECT read_id AS k, string_agg(n || '.' || op, ' ' ORDER BY k) AS cigar, CAST(sum(CASE WHEN op IN (0, 1, 4, 7, 8) THEN n ELSE 0 END) AS INT) AS n FROM steps GROUP BY 1)
 SELECT 'read-' || k AS read_id, 16 AS flag, 'chr1' AS reference_name, 100 AS reference_start, CAST(k % 61 AS INT) AS mapping_quality, cigar, n, '5,1,0,1' AS mv, k::VARCHAR AS ns, true AS reverse
