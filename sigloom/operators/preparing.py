@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, sequence, signal
 
+BIN = 1 << 14  # letters of a reference that are searched and joined at once
 TOLERANCE = 3  # bases by which a mapped motif's length may differ
 
 
@@ -68,20 +69,33 @@ def indel_inside(cigar: Column, reference_start: Column, start: Column, stop: Co
     return F.aggregate(cigar, empty, step, lambda s: s["indel"])
 
 
+def motif_places(references: DataFrame, motif: str, size: int = BIN) -> DataFrame:
+    """reference_name, bin, places: where the motif starts on a reference, by bins of `size` letters; bins without one are
+    left out. A reference is cut before it is searched, so no row holds more places than a bin has letters."""
+    s, n = F.col("sequence"), F.length("sequence")
+    # pieces of a text of single bytes are cut by bytes: by letters each cut would read the text from its start
+    raw, plain = s.cast("binary"), F.octet_length("sequence") == n
+    start, width = lambda i: i.cast("int") * size + 1, F.lit(size + len(motif) - 1)
+    pieces = F.when(plain, F.transform(arrays.indices(F.ceil(n / size)), lambda i: F.substring(raw, start(i), width).cast("string"))).otherwise(F.transform(arrays.indices(F.ceil(n / size)), lambda i: F.substring(s, start(i), width)))
+    rows = references.select("reference_name", F.posexplode(pieces).alias("bin", "piece"))
+    return rows.select("reference_name", "bin", sequence.motif_hits(F.col("piece"), motif).alias("p")).where(F.size("p") > 0).select("reference_name", "bin", F.transform("p", lambda p: p + F.col("bin") * size).alias("places"))
+
+
 def reference_motifs(alignments: DataFrame, references: DataFrame, motif: str, anchor: str = "query", skip_indels: bool = False, allow_edge_indels: bool = False, require_mapping: bool = True) -> DataFrame:
     """read_id, position, junction_indel, junction_mapped: the reference's motifs inside every alignment. A motif is
     accepted if its ends map to the read and its length there is the same (skip_indels, where no indel may stand in it) or
     differs by TOLERANCE at most. anchor: the position is the read's, or the reference's from the alignment's start; only
-    the latter can do without mapping. Alignments (read_id, reference_name, reference_start, cigar) of unknown references
+    the latter can do without mapping. Alignments meet the motifs of the bins that they reach into. Alignments (read_id, reference_name, reference_start, cigar) of unknown references
     have no motif; references are (reference_name, sequence)."""
     if anchor not in ("query", "reference"):
         raise ValueError(f"anchor is query or reference, not {anchor!r}")
     if anchor == "query" and not require_mapping:
         raise ValueError("positions of the read need a mapping")
     n = len(motif)
-    places = references.select("reference_name", sequence.motif_hits(F.col("sequence"), motif).alias("places")).where(F.size("places") > 0)
     end = F.col("reference_start") + F.aggregate("cigar", F.lit(0).cast("long"), lambda s, c: s + F.when(c["op"].isin(*sequence.ON_REFERENCE), c["len"].cast("long")).otherwise(F.lit(0)))
-    met = alignments.withColumn("end_", end).join(places, "reference_name")
+    spans = alignments.withColumn("end_", end).where(F.col("end_") > F.col("reference_start"))
+    bins = F.sequence(F.floor(F.greatest(F.col("reference_start"), F.lit(0)) / BIN).cast("int"), F.floor((F.col("end_") - 1) / BIN).cast("int"))
+    met = spans.where("end_ > 0").withColumn("bin", F.explode(bins)).join(motif_places(references, motif, BIN), ["reference_name", "bin"])
     inside = F.filter("places", lambda p: (p >= F.col("reference_start")) & (p + n <= F.col("end_")))
     hits = met.select("read_id", "reference_start", "cigar", F.explode(inside).alias("p"))
     start, first = F.col("p"), F.col("reference_start")

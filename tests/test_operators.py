@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigloom.operators import calibration, crf, matching, metrics, scoring, splits, votes
+from sigloom.operators import calibration, crf, matching, metrics, preparing, scoring, splits, votes
 
 
 def test_splits_are_disjoint_whole_and_of_the_right_size(spark):
@@ -292,3 +292,19 @@ def test_confound_classes_and_grid_summary(spark, tmp_path):
     assert tuple(back.columns) == sinks.GRID_COLUMNS and [r["left_context"] for r in back.collect()] == ["6", "5", "7"]
     sinks.write_grid_summary(points.where("false"), f"{tmp_path}/none")
     assert not (tmp_path / "none").exists()
+
+
+def test_motifs_are_joined_by_bins(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = {"a": "".join(rng.choices("ACGT", k=700)), "b": "".join(rng.choices("ACé", k=300)), "c": "AC", "d": "", "e": "ACAC" * 40}
+    references = spark.createDataFrame(list(texts.items()), "reference_name string, sequence string")
+    for size in (1, 2, 7, 64, 1 << 14):
+        got = {(r["reference_name"], p) for r in preparing.motif_places(references, "ACA", size).collect() for p in r["places"]}
+        assert got == {(n, i) for n, t in texts.items() for i in range(len(t)) if t.startswith("ACA", i)}
+    rows = [(i, rng.choice([*texts, "none"]), rng.randint(0, 400), [(0, rng.randint(1, 90)), (rng.choice([1, 2, 3]), rng.randint(1, 4)), (0, rng.randint(1, 250))]) for i in range(120)]
+    alignments = spark.createDataFrame(rows, "read_id int, reference_name string, reference_start int, cigar array<struct<op:int,len:int>>").repartition(3)
+    found = []
+    for size in (16, 1 << 14):
+        monkeypatch.setattr(preparing, "BIN", size)
+        found.append(sorted(map(tuple, preparing.reference_motifs(alignments, references, "AC").collect())))
+    assert found[0] == found[1] and len(found[0]) > 500
