@@ -67,9 +67,9 @@ def log_target(scores: np.ndarray, bases: np.ndarray, n_base: int, state_len: in
 
 
 def loss(scores: np.ndarray, targets: list[np.ndarray], n_base: int, state_len: int) -> np.ndarray:
-    """Negative log likelihood per emitted base."""
+    """Negative log likelihood per base of the target."""
     z = log_partition(scores, n_base, state_len)
-    return np.array([(z[i] - log_target(scores[i], t, n_base, state_len)) / max(1, len(t) - state_len) for i, t in enumerate(targets)])
+    return np.array([(z[i] - log_target(scores[i], t, n_base, state_len)) / len(t) for i, t in enumerate(targets)])
 
 
 FLOOR = 1e-8  # a fixed value: posteriors are raised by it before their logarithm

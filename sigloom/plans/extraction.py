@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, sequence, signal
-from ..operators import augment, extract, predicting, preparing
+from ..operators import augment, crf_loss, extract, predicting, preparing
 from ..sources import bam, shared
 from . import inputs as I
 from .evaluation import rounded
@@ -177,7 +177,18 @@ def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("read_id", digits(F.col("signal")).alias("samples"), F.array_join(F.transform("features", digits), ";").alias("features"))
 
 
+def crf_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty coordinates of a vector as ten steps of a model of two bases, and a target of four bases by the vector's number."""
+    scores = F.transform(F.slice("embedding", 1, 60), lambda x: x.cast("double") * 4)
+    letter = lambda k: F.substring(F.lit("AC"), (F.floor(F.col("vec_id") / k) % 2 + 1).cast("int"), F.lit(1))
+    rows = I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), scores.alias("scores"), F.concat(letter(1), letter(2), letter(4), letter(8)).alias("target"))
+    out = crf_loss.losses(rows, "read_id", "scores", "target", n_base=2, state_len=1, alphabet="AC", gradients=True)
+    # the gradient sums to nothing; its size is one figure of it
+    return rounded(out.select("read_id", "log_z", "log_target", "loss", F.abs(F.aggregate("gradient", F.lit(0.0), lambda a, x: a + x)).alias("left_over")))
+
+
 QUERIES = {
+    "f6_crf_losses": crf_losses,
     "g1_augmented": augmented,
     "s1_bam_round_trip": bam_round_trip,
     "c16_prepared_chunks": prepared_chunks, "c15_prepare_yields": prepare_yields, "p15_reference_maps": reference_maps,
@@ -242,7 +253,20 @@ def uniform_sql(stream: str, low: float, high: float) -> str:
     return f"({low}::DOUBLE + {high - low}::DOUBLE * {place})"
 
 
+def added(*terms: str) -> str:
+    """The log of a sum of exponentials; terms may be minus infinity, but not all."""
+    top = f"greatest({', '.join(terms)})"
+    return f"({top} + ln({' + '.join(f'exp(({t}) - {top})' for t in terms)}))"
+
+
+NEVER = "-1e30::DOUBLE"
 ORACLE = {
+    "f6_crf_losses": f"""
+WITH RECURSIVE e AS (SELECT vec_id AS read_id, list_transform(embedding[1:60], lambda x: CAST(x AS DOUBLE) * 4) AS x, [vec_id % 2, vec_id // 2 % 2, vec_id // 4 % 2, vec_id // 8 % 2] AS c FROM embeddings),
+r AS (SELECT read_id, x, c, 0 AS t, 0::DOUBLE AS a, 0::DOUBLE AS b, [0::DOUBLE, {NEVER}, {NEVER}, {NEVER}] AS w FROM e
+  UNION ALL SELECT read_id, x, c, t + 1, {added('a + x[6 * t + 1]', 'a + x[6 * t + 2]', 'b + x[6 * t + 3]')}, {added('b + x[6 * t + 4]', 'a + x[6 * t + 5]', 'b + x[6 * t + 6]')},
+    [w[1] + x[6 * t + 3 * c[1] + 1], {', '.join(added(f'w[{i}] + x[6 * t + 3 * c[{i}] + 1]', f'w[{i - 1}] + x[6 * t + 3 * c[{i}] + 2 + c[{i - 1}]]') for i in (2, 3, 4))}] FROM r WHERE t < 10)
+SELECT read_id, round({added('a', 'b')}, 6) AS log_z, round(w[4], 6) AS log_target, round(({added('a', 'b')} - w[4]) / 4, 6) AS loss, 0::DOUBLE AS left_over FROM r WHERE t = 10""",
     "g1_augmented": f"""
 WITH e AS (SELECT vec_id AS read_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
 d AS (SELECT *, CAST(round_even({uniform_sql('shift', -2.5, 2.5)} * 3, 0) AS INT) AS a, CAST(round_even({uniform_sql('shift', -2.5, 2.5)}, 0) AS INT) AS b, {uniform_sql('scale', 0.8, 1.25)} AS f FROM e),
