@@ -167,17 +167,21 @@ def balanced_recall(rows: DataFrame, group: str, truth: str, call: str) -> DataF
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
-    """sqrt(n / (classes * count)), classes being the largest label + 1; a label without rows has 1."""
-    counts = rows.groupBy(label).count()
-    totals = counts.agg(F.sum("count").alias("n"), (F.max(label) + 1).alias("k"))
-    every = totals.select("n", "k", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias(label))
-    return every.join(F.broadcast(counts), label, "left").select(label, F.when(F.col("count") > 0, F.sqrt(F.col("n") / (F.col("k") * F.col("count")))).otherwise(1.0).alias("weight"))
+    """label, weight. Of three labels or more: sqrt(n / (classes * count)), classes being the largest label + 1; a label
+    without rows has 1. Of two: label 1 alone, weighing the zeros over the ones, or no row if there are no ones. Of fewer: no
+    row, as there is nothing to weigh. Null labels don't count."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count()
+    number = lambda value: F.sum(F.when(F.col(label) == value, F.col("count")).otherwise(0))
+    totals = counts.agg(F.sum("count").alias("n"), (F.max(label) + 1).alias("k"), F.count("*").alias("d"), number(0).alias("zeros"), number(1).alias("ones"))
+    every = totals.where("d > 2").select("n", "k", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias(label))
+    weight = F.when(F.col("count") > 0, F.sqrt(F.col("n") / (F.col("k") * F.col("count")))).otherwise(1.0)
+    many = every.join(counts, label, "left").select(label, weight.alias("weight"))
+    two = totals.where("d = 2 and ones > 0").select(F.lit(1).alias(label), (F.col("zeros") / F.col("ones")).alias("weight"))
+    return many.unionByName(two)
 
 
 def standardisation(rows: DataFrame, signal: str, last: int) -> DataFrame:
-    """Population mean and deviation of the last samples of all signals, from per-row sums."""
+    """n, mean, std: population mean and deviation of the last samples of all signals, by moments that are merged and not by
+    sums of squares, which cancel out for signals far from 0."""
     x = F.slice(F.col(signal), F.greatest(F.lit(1), F.size(signal) - last + 1), F.lit(last))
-    s = lambda f: F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v.cast("double")))
-    sums = rows.select(F.size(x).alias("n"), s(lambda v: v).alias("s"), s(lambda v: v * v).alias("ss")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    mean = F.col("s") / F.col("n")
-    return sums.select("n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean)).alias("std"))
+    return rows.select(F.explode(x).cast("double").alias("x")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))

@@ -308,3 +308,15 @@ def test_motifs_are_joined_by_bins(spark, monkeypatch):
         monkeypatch.setattr(preparing, "BIN", size)
         found.append(sorted(map(tuple, preparing.reference_motifs(alignments, references, "AC").collect())))
     assert found[0] == found[1] and len(found[0]) > 500
+
+
+def test_class_weights_of_few_classes(spark):
+    of = lambda labels: {r["y"]: r["weight"] for r in metrics.class_weights(spark.createDataFrame([(x,) for x in labels], "y int"), "y").collect()}
+    assert of([0, 0, 0, 1]) == {1: 3.0} and of([1, 1]) == {} and of([0, 2]) == {} and of([]) == {} and of([1, 3]) == {1: 0.0}
+    assert of([0, 1, None, 3]) == {0: math.sqrt(3 / 4), 1: math.sqrt(3 / 4), 2: 1.0, 3: math.sqrt(3 / 4)}
+
+
+def test_standardisation_far_from_zero(spark):
+    x = [1e9 + v for v in (0.0, 1.0, 2.0, 3.0)]
+    got = metrics.standardisation(spark.createDataFrame([([5.0, *x[:2]],), (x[2:],), ([],), (None,)], "s array<double>"), "s", 2).first()
+    assert got["n"] == 4 and got["mean"] == 1e9 + 1.5 and got["std"] == pytest.approx(math.sqrt(1.25))
