@@ -184,4 +184,4 @@ def standardisation(rows: DataFrame, signal: str, last: int) -> DataFrame:
     """n, mean, std: population mean and deviation of the last samples of all signals, by moments that are merged and not by
     sums of squares, which cancel out for signals far from 0."""
     x = F.slice(F.col(signal), F.greatest(F.lit(1), F.size(signal) - last + 1), F.lit(last))
-    return rows.select(F.explode(x).cast("double").alias("x")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    return rows.select(F.explode(x).alias("x")).select(F.col("x").cast("double").alias("x")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))

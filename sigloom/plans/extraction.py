@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, sequence, signal
 from ..operators import augment, crf_loss, extract, predicting, preparing
-from ..sources import bam, shared
+from ..sources import bam, npz, shared
 from . import inputs as I
 from .evaluation import rounded
 from .reads import STEPS, alignments
@@ -187,7 +187,18 @@ def crf_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("read_id", "log_z", "log_target", "loss", F.abs(F.aggregate("gradient", F.lit(0.0), lambda a, x: a + x)).alias("left_over")))
 
 
+def npz_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and the ragged lists of their first coordinates above 0.1, written as archives of 200 rows and read back in
+    ranges and blocks."""
+    folder = shared.scratch(spark, "npz")
+    e = I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.concat(F.lit("v"), F.col("vec_id")).alias("name"), F.when(F.col("vec_id") % 5 > 0, F.col("label")).alias("labels_int"), "embedding", F.filter("embedding", lambda x: x > 0.1).alias("large"))
+    npz.write(e, folder, ragged=("large",), file_rows=200).collect()  # a row a task
+    rows = npz.with_nulls(npz.read(spark, folder, split_bytes=1 << 14, block_bytes=1 << 12))
+    return rounded(rows.select("read_id", "name", "labels_int", F.size("large").alias("n"), arrays.total(F.col("large")).alias("large"), arrays.total(F.col("embedding")).alias("total")), 5)
+
+
 QUERIES = {
+    "s15_npz_rows": npz_rows,
     "f6_crf_losses": crf_losses,
     "g1_augmented": augmented,
     "s1_bam_round_trip": bam_round_trip,
@@ -261,6 +272,9 @@ def added(*terms: str) -> str:
 
 NEVER = "-1e30::DOUBLE"
 ORACLE = {
+    "s15_npz_rows": """
+SELECT vec_id AS read_id, 'v' || vec_id AS name, CASE WHEN vec_id % 5 > 0 THEN label END AS labels_int, CAST(len(list_filter(embedding, lambda x: x > 0.1::DOUBLE)) AS INT) AS n,
+  round(coalesce(list_sum(list_transform(list_filter(embedding, lambda x: x > 0.1::DOUBLE), lambda x: CAST(x AS DOUBLE))), 0), 5) AS large, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings""",
     "f6_crf_losses": f"""
 WITH RECURSIVE e AS (SELECT vec_id AS read_id, list_transform(embedding[1:60], lambda x: CAST(x AS DOUBLE) * 4) AS x, [vec_id % 2, vec_id // 2 % 2, vec_id // 4 % 2, vec_id // 8 % 2] AS c FROM embeddings),
 r AS (SELECT read_id, x, c, 0 AS t, 0::DOUBLE AS a, 0::DOUBLE AS b, [0::DOUBLE, {NEVER}, {NEVER}, {NEVER}] AS w FROM e

@@ -386,6 +386,8 @@ def files(paths: list[str]) -> list[str]:
             out += sorted(f"{path.rstrip('/')}/{f.base_name}" for f in found if f.base_name.endswith(".bam"))
         else:
             out.append(path)
+    if not out:
+        raise ValueError(f"no .bam in {', '.join(paths)}")
     return out
 
 
