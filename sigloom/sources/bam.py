@@ -78,7 +78,7 @@ def packed_tags(tags: dict[str, str], kinds: dict[str, str]) -> bytes:
     """The inverse; a tag without a type is a 32-bit number if it reads as one, else text."""
     out = b""
     for name, text in tags.items():
-        kind = kinds.get(name) or ("i" if re.fullmatch(r"-?\d{1,9}", text) else "Z")
+        kind = kinds.get(name) or ("i" if re.match(r"-?\d{1,9}\Z", text) else "Z")
         out += name.encode() + kind[0].encode()
         if kind == "A":
             out += text.encode("latin-1")

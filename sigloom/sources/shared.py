@@ -15,7 +15,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path below spark.checkpoint.dir; where that is unset, a local master alone gets one of this machine's."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="spark-"))
