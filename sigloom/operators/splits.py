@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANGE = 100_000  # keys, about, that are ranked in one window
 
@@ -95,13 +96,68 @@ def last_label(files: list[DataFrame], key: str, label: str) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged).groupBy(key).agg(F.max(F.struct("file", label)).alias("x")).select(key, F.col(f"x.{label}").alias(label))
 
 
-def merged(files: list[DataFrame]) -> DataFrame:
-    """All rows of files that must have the same columns."""
-    first = set(files[0].columns)
-    for i, f in enumerate(files[1:], 1):
-        if set(f.columns) != first:
-            raise ValueError(f"input {i}: missing {sorted(first - set(f.columns))}, extra {sorted(set(f.columns) - first)}")
-    return reduce(DataFrame.unionByName, files)
+#: Which whole numbers a float of single precision holds all of; wider ones make it double.
+IN_FLOAT = ("boolean", "byte", "short")
+WHOLE = ("boolean", "byte", "short", "integer", "long")
+
+
+def promoted(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The narrowest type that holds both: wider whole numbers, floats, text for text and anything plain; arrays by their
+    elements. None if there is none, as for arrays of different depth."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        inner = promoted(a.elementType, b.elementType)
+        return None if inner is None else T.ArrayType(inner, a.containsNull or b.containsNull)
+    x, y = a.typeName(), b.typeName()
+    if x in WHOLE and y in WHOLE:
+        return (a, b)[WHOLE.index(y) > WHOLE.index(x)]
+    if {x, y} <= {*WHOLE, "float", "double"}:
+        return T.FloatType() if {x, y} <= {*IN_FLOAT, "float"} else T.DoubleType()
+    if "string" in (x, y) and {x, y} <= {*WHOLE, "float", "double", "string"}:
+        return T.StringType()
+    return None
+
+
+def output_types(schemas: list[T.StructType], names: list[str]) -> dict[str, T.DataType]:
+    """Column -> the type that holds all inputs' values, found by the schemas alone. Inputs must have the same columns; what
+    doesn't fit is an error that names the input and the column."""
+    first = schemas[0]
+    for name, schema in zip(names[1:], schemas[1:], strict=True):
+        if set(schema.names) != set(first.names):
+            raise ValueError(f"{name}: missing {sorted(set(first.names) - set(schema.names))}, extra {sorted(set(schema.names) - set(first.names))}")
+    out = {f.name: f.dataType for f in first}
+    for name, schema in zip(names[1:], schemas[1:], strict=True):
+        for f in schema:
+            both = promoted(out[f.name], f.dataType)
+            if both is None:
+                raise ValueError(f"{name}: column {f.name} is {f.dataType.simpleString()}, in {names[0]} and others up to it {out[f.name].simpleString()}")
+            out[f.name] = both
+    return out
+
+
+def of_width(array: Column, widths: tuple[int, ...]) -> Column:
+    """Whether an array and the arrays in it have these lengths; a null one has any."""
+    fits = F.size(array) == widths[0]
+    inside = F.forall(array, lambda x: of_width(x, widths[1:])) if len(widths) > 1 else F.lit(True)
+    return array.isNull() | (fits & inside)
+
+
+def merged(files: list[DataFrame], names: list[str] | None = None, widths: dict[str, tuple[int, ...]] | None = None) -> DataFrame:
+    """All rows of files that must have the same columns, each of the narrowest type that holds all its values. widths: of
+    array columns, the lengths that every row must have, by depth; another length is an error when the rows are read, and
+    names the input."""
+    names = names or [f"input {i}" for i in range(len(files))]
+    types = output_types([f.schema for f in files], names)
+    out = []
+    for name, f in zip(names, files, strict=True):
+        for column, lengths in (widths or {}).items():
+            told = F.concat(F.lit(f"{name}: column {column} has "), F.size(column).cast("string"), F.lit(f" entries in a row, or entries of another length, not {lengths}"))
+            f = f.withColumn(column, F.when(of_width(F.col(column), lengths), F.col(column)).otherwise(F.raise_error(told).cast(f.schema[column].dataType)))
+        out.append(f.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()]))
+    return reduce(DataFrame.unionByName, out)
 
 
 def relabelled(files: list[DataFrame], label: str, zero: list[str], one: list[str]) -> list[DataFrame]:

@@ -320,3 +320,28 @@ def test_standardisation_far_from_zero(spark):
     x = [1e9 + v for v in (0.0, 1.0, 2.0, 3.0)]
     got = metrics.standardisation(spark.createDataFrame([([5.0, *x[:2]],), (x[2:],), ([],), (None,)], "s array<double>"), "s", 2).first()
     assert got["n"] == 4 and got["mean"] == 1e9 + 1.5 and got["std"] == pytest.approx(math.sqrt(1.25))
+
+
+def test_merged_columns_take_the_type_that_holds_all(spark):
+    wide = lambda a, b: splits.output_types([spark.createDataFrame([], f"x {t}").schema for t in (a, b)], ["a", "b"])["x"].simpleString()
+    cases = {
+        ("tinyint", "int"): "int", ("boolean", "smallint"): "smallint", ("smallint", "float"): "float", ("int", "float"): "double", ("bigint", "double"): "double", ("float", "double"): "double",
+        ("string", "int"): "string", ("array<int>", "array<float>"): "array<double>", ("array<array<float>>", "array<array<double>>"): "array<array<double>>", ("string", "string"): "string",
+    }
+    for (a, b), want in cases.items():
+        assert wide(a, b) == wide(b, a) == want
+    for a, b in (("array<int>", "int"), ("array<array<int>>", "array<int>"), ("binary", "string"), ("map<string,int>", "string"), ("date", "int")):
+        with pytest.raises(ValueError, match="b: column x"):
+            wide(a, b)
+    one = spark.createDataFrame([(1, [1.5, 2.5], "a")], "k smallint, s array<float>, t string")
+    two = spark.createDataFrame([("b", [3], 2**40)], "t string, s array<int>, k bigint")
+    got = splits.merged([one, two], ["one.npz", "two.npz"])
+    assert dict(got.dtypes) == {"k": "bigint", "s": "array<double>", "t": "string"} and sorted(map(tuple, got.collect())) == [(1, [1.5, 2.5], "a"), (2**40, [3.0], "b")]
+    with pytest.raises(ValueError, match="two.npz: missing \\['s'\\]"):
+        splits.merged([one, two.drop("s")], ["one.npz", "two.npz"])
+    with pytest.raises(Exception, match="two.npz: column s has 1 entries"):
+        splits.merged([one, two], ["one.npz", "two.npz"], {"s": (2,)}).collect()
+    deep = spark.createDataFrame([([[1.0, 2.0]],), (None,)], "f array<array<double>>")
+    assert splits.merged([deep, deep], widths={"f": (1, 2)}).count() == 4
+    with pytest.raises(Exception, match="input 1"):
+        splits.merged([deep, spark.createDataFrame([([[1.0]],)], "f array<array<double>>")], widths={"f": (1, 2)}).collect()
