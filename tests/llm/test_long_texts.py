@@ -5,9 +5,10 @@ import time
 
 import pytest
 
-from sigloom.llm import queries, simhash
+from sigloom.llm import divergence, queries, simhash
 
-NAMES = [n for n in queries.QUERIES if n not in ("op3_chat_preference", "op6_nearest_neighbours")]
+# what gives a row a document; the others' own tests have long texts, pages and vectors
+NAMES = [n for n in queries.QUERIES if n not in ("op3_chat_preference", "op6_nearest_neighbours", "op11_warc", "op12_divergence", "op13_hard_negatives")]
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +47,13 @@ def test_near_copies_of_long_texts(spark, long):
     folder, _ = long
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert {r["doc_id"] for r in simhash.survivors(docs).select("doc_id").collect()} == {1, 3, 4, 5, 6, 7, 8}
+
+
+def test_divergence_of_long_texts(spark, long):
+    """No term is in 30 documents, so sources differ by nothing; every group is there."""
+    folder, rows = long
+    got = queries.op12_divergence(spark, folder).collect()
+    assert got == []  # one source a language
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    many = divergence.audit(docs.withColumn("source", docs["doc_id"].cast("string")), least=2).collect()
+    assert {(r["lang"], r["source"]) for r in many if r["part"] == "pair"} == {("en" if i % 2 else "fr", str(i)) for i in rows}
