@@ -150,19 +150,21 @@ def quantile(ordered: Column, q: float) -> Column:
     return let(ordered, (F.size(ordered) - 1) * F.lit(q), of)
 
 
-def normalised(values: Column, method: str, pa_mean: float | None = None, pa_stdev: float | None = None, cal_offset: Column | None = None, cal_scale: Column | None = None) -> Column:
+def normalised(values: Column, method: str, pa_mean: float | None = None, pa_stdev: float | None = None, cal_offset: Column | None = None, cal_scale: Column | None = None, low: float = 0.01, high: float = 0.99) -> Column:
     """A read's samples less a centre, over a spread; 0 where the spread is 0. median_mad, zscore, quantile (centre and
-    spread of the samples clipped to their 1 and 99 per cent quantiles) or pa_scaling."""
-    over = lambda v, m, s: F.transform(v, lambda x: F.when(s > 0, (x - m) / s).otherwise(F.lit(0.0)))
+    spread of the samples clipped to their quantiles low and high) or pa_scaling. A null sample stays null and is left out of
+    centre and spread."""
+    over = lambda v, m, s: F.transform(v, lambda x: F.when(x.isNull(), x).when(s > 0, (x - m) / s).otherwise(F.lit(0.0)))
     spread = lambda v, m: 1.4826 * median(F.transform(v, lambda x: F.abs(x - m)))
     values = F.transform(values, lambda x: x.cast("double"))
+    known = lambda v: F.filter(v, F.isnotnull)
     if method == "median_mad":
-        return let(values, lambda v: let(median(v), lambda m: let(spread(v, m), lambda s: over(v, m, s))))
+        return let(values, lambda v: let(known(v), lambda k: let(median(k), lambda m: let(spread(k, m), lambda s: over(v, m, s)))))
     if method == "zscore":
-        return let(values, lambda v: let(mean(v), std(v), lambda m, s: over(v, m, s)))
+        return let(values, lambda v: let(known(v), lambda k: let(mean(k), std(k), lambda m, s: over(v, m, s))))
     if method == "quantile":
-        clip = lambda v: let(F.array_sort(v), lambda s: let(quantile(s, 0.01), quantile(s, 0.99), lambda a, b: F.transform(v, lambda x: F.greatest(a, F.least(b, x)))))
-        return let(values, lambda v: let(clip(v), lambda c: let(median(c), lambda m: let(spread(c, m), lambda s: over(v, m, s)))))
+        clip = lambda v: let(F.array_sort(v), lambda s: let(quantile(s, low), quantile(s, high), lambda a, b: F.transform(v, lambda x: F.greatest(a, F.least(b, x)))))
+        return let(values, lambda v: let(clip(known(v)), lambda c: let(median(c), lambda m: let(spread(c, m), lambda s: over(v, m, s)))))
     if method == "pa_scaling":
         return let(values, cal_offset, cal_scale, lambda v, a, b: F.transform(v, lambda x: ((x + a) * b - pa_mean) / pa_stdev))
     raise ValueError(f"unknown normalisation {method!r}")

@@ -1,41 +1,33 @@
-"""Normalisation of signals held as samples (read_id, sample, x): exact quantiles by read, then one join back."""
+"""Normalisation of signals held as samples (read_id, x and others): a read's samples are brought together once and treated as
+an array, so any number of methods costs one shuffle and no join."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import signal
+
 METHODS = ("median_mad", "zscore", "quantile", "pa_scaling")
-SCALE = 1.4826  # of a median absolute deviation, to a normal distribution's deviation
 
 
-def _safe(x: Column, scale: Column) -> Column:
-    """0 where a constant signal leaves nothing to divide by."""
-    return F.when(scale > 0, x / scale).otherwise(F.lit(0.0))
+def of(values: Column, method: str, low: float = 0.2, high: float = 0.9, mean: float = 90.0, std: float = 12.0, offset: float = 10.0, scale: float = 0.2) -> Column:
+    """A read's samples by a method. quantile: centre and spread of the clipped signal, applied to the signal as it is.
+    pa_scaling: counts to picoamperes, then by fixed mean and deviation."""
+    if method not in METHODS:
+        raise ValueError(f"no method {method!r}; there are {', '.join(METHODS)}")
+    return signal.normalised(values, method, mean, std, F.lit(offset), F.lit(scale), low, high)
 
 
-def _median(c: Column) -> Column:
-    return F.percentile(c, F.lit(0.5))
+def normalised(samples: DataFrame, method: str, **figures: float) -> DataFrame:
+    """The samples with y. One read's samples make one list."""
+    reads = samples.groupBy("read_id").agg(F.collect_list(F.struct(*samples.columns)).alias("rows_"))
+    both = reads.select(F.arrays_zip("rows_", of(F.col("rows_").getField("x"), method, **figures).alias("y_")).alias("z_"))
+    return both.select(F.explode("z_").alias("z_")).select("z_.rows_.*", F.col("z_.y_").alias("y"))
 
 
-def normalised(samples: DataFrame, method: str, low: float = 0.2, high: float = 0.9, mean: float = 90.0, std: float = 12.0, offset: float = 10.0, scale: float = 0.2) -> DataFrame:
-    """The samples with y. quantile: median and deviation of the clipped signal, applied to the signal as it is.
-    pa_scaling: counts to picoamperes, then by fixed mean and deviation."""
-    if method not in METHODS:
-        raise ValueError(f"no method {method!r}; there are {', '.join(METHODS)}")
-    x = F.col("x")
-    if method == "pa_scaling":
-        return samples.withColumn("y", ((x + F.lit(offset)) * scale - mean) / std)
-    by = samples.groupBy("read_id")
-    if method == "zscore":
-        stats = by.agg(F.avg("x").alias("m_"), F.stddev_pop("x").alias("s_"))
-        return samples.join(stats, "read_id").withColumn("y", _safe(x - F.col("m_"), F.col("s_"))).drop("m_", "s_")
-    value = x
-    rows = samples
-    if method == "quantile":
-        rows = rows.join(by.agg(F.percentile("x", F.lit(low)).alias("a_"), F.percentile("x", F.lit(high)).alias("b_")), "read_id")
-        value = F.greatest(F.col("a_"), F.least(F.col("b_"), x))
-    rows = rows.withColumn("c_", value)
-    rows = rows.join(rows.groupBy("read_id").agg(_median(F.col("c_")).alias("m_")), "read_id")
-    deviation = rows.groupBy("read_id").agg(_median(F.abs(F.col("c_") - F.col("m_"))).alias("s_"))
-    return rows.join(deviation, "read_id").withColumn("y", _safe(x - F.col("m_"), F.lit(SCALE) * F.col("s_"))).select(*samples.columns, "y")
+def by_method(signals: DataFrame, methods: tuple[str, ...] = METHODS, values: str = "v", **figures: float) -> DataFrame:
+    """A row a read and method: the signals' columns but the values, method and y (the normalised values)."""
+    kept = [c for c in signals.columns if c != values]
+    each = F.array(*[F.struct(F.lit(m).alias("method"), of(F.col(values), m, **figures).alias("y")) for m in methods])
+    return signals.select(*kept, F.inline(each))

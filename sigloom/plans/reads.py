@@ -58,12 +58,8 @@ def level_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every method's mean, lowest and highest sample of every read."""
-    samples = I.table(spark, sf_dir, "events").select(F.col("user_id").alias("read_id"), F.col("event_id").alias("sample"), F.col("value").alias("x"))
-    out = None
-    for method in normalize.METHODS:
-        one = normalize.normalised(samples, method).groupBy("read_id").agg(F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high")).withColumn("method", F.lit(method))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    rows = normalize.by_method(I.event_signals(spark, sf_dir))
+    return rounded(rows.select("read_id", arrays.mean(F.col("y")).alias("mean"), F.array_min("y").alias("low"), F.array_max("y").alias("high"), "method"))
 
 
 def kmer_levels(spark: SparkSession) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigloom.operators import calibration, crf, matching, metrics, preparing, scoring, splits, votes
+from sigloom.operators import calibration, crf, matching, metrics, normalize, preparing, scoring, splits, votes
 
 
 def test_splits_are_disjoint_whole_and_of_the_right_size(spark):
@@ -345,3 +345,18 @@ def test_merged_columns_take_the_type_that_holds_all(spark):
     assert splits.merged([deep, deep], widths={"f": (1, 2)}).count() == 4
     with pytest.raises(Exception, match="input 1"):
         splits.merged([deep, spark.createDataFrame([([[1.0]],)], "f array<array<double>>")], widths={"f": (1, 2)}).collect()
+
+
+def test_normalised_samples_keep_their_rows(spark):
+    rows = [(1, k, v, "x") for k, v in enumerate((5.0, 1.0, None, 9.0, 2.0))] + [(2, 0, 4.0, "y"), (2, 1, 4.0, "z"), (3, 0, None, "n"), (None, 0, 1.0, "q")]
+    samples = spark.createDataFrame(rows, "read_id int, sample int, x double, other string")
+    for method in normalize.METHODS:
+        got = {(r["read_id"], r["sample"]): r for r in normalize.normalised(samples, method).collect()}
+        assert len(got) == len(rows) and all(r["other"] for r in got.values())
+        assert got[(1, 2)]["y"] is None and got[(3, 0)]["y"] is None
+        if method != "pa_scaling":
+            assert got[(2, 0)]["y"] == got[(2, 1)]["y"] == got[(None, 0)]["y"] == 0.0
+    got = {(r["read_id"], r["sample"]): r["y"] for r in normalize.normalised(samples, "median_mad").collect()}
+    assert got[(1, 3)] == pytest.approx((9 - 3.5) / (1.4826 * 2))
+    with pytest.raises(ValueError):
+        normalize.normalised(samples, "other")
