@@ -109,17 +109,18 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 
 def ranked(rows: DataFrame, buckets: int) -> DataFrame:
-    """With rank: 0.. among the rows of a length. A bucket's ranks start after those of the buckets before it."""
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    """With rank: 0.. among the rows of a length. A bucket's ranks start after those of the buckets before it. Rows are dealt
+    by the numbers that they got when they were written (`row`), so equal ones are spread like any others."""
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("row")
     return (
         dealt.withColumn("place", F.row_number().over(inside) - 1)
         .join(first, ["length", "bucket"])
         .withColumn("rank", F.col("base") + F.col("place"))
-        .drop("bucket", "base", "place")
+        .drop("bucket", "base", "place", "row")
     )
 
 
@@ -147,7 +148,7 @@ def pack(documents: DataFrame, path: str, limit: int = 2048, end_id: int = 1) ->
     spark = documents.sparkSession
     B.small_batches(spark)
     folder = B.scratch(spark, "pieces")
-    tokenised(documents, path, limit, end_id).write.parquet(folder)
+    tokenised(documents, path, limit, end_id).withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
     rows = spark.read.parquet(folder)
     # at most `limit` rows reach the driver
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}

@@ -594,3 +594,11 @@ def test_op10_a_long_text_of_one_item(spark):
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES])
 def test_empty_tables(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).collect() == []
+
+
+def test_op2_deals_repeated_rows_to_all_buckets(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"), F.col("id").alias("row"))
+    ranks = [r["rank"] for r in packing.ranked(rows, 64).collect()]
+    assert sorted(ranks) == list(range(20_000))
+    sizes = [r["count"] for r in rows.groupBy(F.pmod(F.xxhash64("row"), F.lit(64))).count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 500
