@@ -271,24 +271,50 @@ def test_op7_score_is_that_of_dictionaries(corpus, monkeypatch):
 
     _, rows = corpus
     monkeypatch.setattr(bloomlm, "PROBES", 40)  # no false positives
-    parts = []
-    for k in range(3):
-        some = rows[k::3]
-        learned = [r["doc_id"] is not None and crc(r["doc_id"]) % 10 > 0 for r in some]
-        parts.append((some, pa.table({"doc_id": pa.array([r["doc_id"] for r in some], pa.int64()), "text": [r["text"] for r in some], "learned": learned})))
-    sent = pa.concat_tables([bloomlm.Events(t, 4).requests(k) for k, (_, t) in enumerate(parts)])
-    found = pa.concat_tables([bloomlm.answers(sent.filter(pa.compute.equal(sent["segment"], s))) for s in range(4)])
+    learned = [r for r in rows if r["doc_id"] is not None and crc(r["doc_id"]) % 10]
+    as_table = lambda some: pa.table({"doc_id": pa.array([r["doc_id"] for r in some], pa.int64()), "text": pa.array([r["text"] for r in some], pa.string())})
+    tokens = [bloomlm.steps(next(blocks.blocks(iter(as_table(learned[k::2]).to_batches()), limit=1 << 62)))[0] for k in range(2)]
+    sent = pa.concat_tables([bloomlm.events(t, 4) for t in tokens])
+    only = lambda t, name, v: t.filter(pa.compute.equal(t[name], v))
+    stored = [bloomlm.built(only(sent, "segment", s)) for s in range(4)]
+    sums = [sum(t[name][0].as_py() for t in stored) for name in ("tokens", "types", "read")]
     counts = Counter()
-    for r in rows:
-        if r["doc_id"] is not None and crc(r["doc_id"]) % 10:
-            counts.update([*ascii_words(r["text"], True), b""])
-    mass = sum(quantised(c) for c in counts.values()) + 0.1 * (len(counts) + 1)
+    for r in learned:
+        counts.update([*ascii_words(r["text"], True), b""])
+    assert sums == [sum(counts.values()), len(counts), sum(map(quantised, counts.values()))]
     want = {id(r): s for r, s in zip(rows, model_scores(rows), strict=True)}
+    parts = [(rows[k::3], as_table(rows[k::3])) for k in range(3)]
+    asked = pa.concat_tables([bloomlm.Events(t, 4).requests(k) for k, (_, t) in enumerate(parts)])
+    found = pa.concat_tables([bloomlm.probed(only(asked, "segment", s), stored[s]) for s in range(4)])
     for k, (some, t) in enumerate(parts):
-        got = bloomlm.scored(t, found.filter(pa.compute.equal(found["block"], k)), 4, sum(counts.values()), len(counts), mass)
+        got = bloomlm.scored(t, only(found, "block", k), 4, *sums)
         assert np.allclose(got["score"].to_numpy(), [want[id(r)] for r in some], rtol=1e-9)
 
 
+@pytest.mark.parametrize("held", [0, 1 << 40])
+def test_op7_filter_outlives_its_builder_and_is_the_same_sent_or_joined(spark, monkeypatch, held):
+    """A filter fitted on one table scores others: with no training text, and with texts it never saw."""
+    monkeypatch.setattr(bloomlm, "HELD", held)
+    kind = "doc_id long, text string, lang int"
+    training = spark.createDataFrame([(1, "a b a b c", 0), (1, "a b a b c", 0), (2, None, 0)], kind)
+    model = bloomlm.fit(training, 3)
+    assert (model.tokens, model.types) == (13, 4)
+    texts = spark.createDataFrame([(7, "a b", 1), (8, "", 1), (None, "never seen", 1), (7, "a b", 1)], kind)
+    got = sorted(((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["score"], 9)) for r in bloomlm.scores(texts, model, 2).collect()))
+    assert [g[:3] for g in got] == [(0, 3, 1), (7, 3, 3), (7, 3, 3), (8, 1, 1)] and got[1] == got[2]
+    q = lambda n: (n + 0.1) / (13 + 0.1 * 5)
+    p = lambda pair, n, x: math.log10((pair + bloomlm.MU * q(x)) / (n + bloomlm.MU))
+    assert got[1][3] == pytest.approx(p(2, 3, 4) + p(4, 4, 4) + p(0, 4, 3), abs=1e-6)
+    empty = bloomlm.fit(training.where("false"), 3)
+    assert [(r["n_known"], round(10 ** r["score"], 6)) for r in bloomlm.scores(texts.where("doc_id = 8"), empty, 2).collect()] == [(0, 1.0)]
+    assert bloomlm.scores(texts.where("false"), model, 2).count() == 0
+
+
+def test_op7_packing_of_ascending_numbers():
+    for x in ([], [0], [2**64 - 1], [0, 0, 5, 2**32, 2**63 + 1], list(range(300))):
+        assert bloomlm.unpacked(bloomlm.packed(np.array(x, np.uint64))).tolist() == x
+
+
 def test_op7_query_is_that_model_but_for_false_positives(spark, corpus):
     folder, rows = corpus
     want = sorted(zip(([r["doc_id"], r["text"]] for r in rows), model_scores(rows), strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[1]))
