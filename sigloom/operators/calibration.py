@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import sinks
 from .metrics import argmax, calibration_error, softmax
 
 
@@ -31,6 +33,26 @@ def platt(rows: DataFrame, logit: str = "logit", label: str = "label", steps: in
     return a, b
 
 
+def platt_document(rows: DataFrame, path: str, logit: str = "logit", label: str = "label") -> dict:
+    """Fits a and b, and writes them with the error before and after as a small JSON document, which is also given back.
+    A calibration that does not lower the error is written all the same, with improved = false."""
+    a, b = platt(rows, logit, label)
+    n = rows.where(F.col(logit).isNotNull() & F.col(label).isNotNull()).count()
+    error = lambda x: calibration_error(rows.select((1 / (1 + F.exp(-x))).alias("p"), F.col(label).alias("y")), "p", "y").first()["ece"]
+    before, after = error(F.col(logit).cast("double")), error(F.lit(a) * F.col(logit) + F.lit(b))
+    out = {"platt_a": a, "platt_b": b, "ece_before": before, "ece_after": after, "n_val_samples": n, "improved": after < before}
+    sinks.write_json(rows.sparkSession, out, path)
+    return out
+
+
+def calibration_of(spark: SparkSession, path: str) -> tuple[float, float]:
+    """a and b of a document that `platt_document` wrote."""
+    values = json.loads("".join(r["value"] for r in spark.read.text(path).collect()))
+    if missing := {"platt_a", "platt_b"} - set(values):
+        raise ValueError(f"{path}: missing {sorted(missing)}")
+    return float(values["platt_a"]), float(values["platt_b"])
+
+
 def temperature(rows: DataFrame, logits: str = "logits", label: str = "label", low: float = 0.1, high: float = 10.0, steps: int = 40) -> DataFrame:
     """temperature, nll: the temperature of the least mean negative log likelihood, kept in low..high. The loss is convex in
     the inverse temperature b, so Newton's method in a bracket of its slope finds it; a step is one aggregate."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import calling, corpus, evaluation, extraction, preparation, preparing, reads
+from . import calling, corpus, delivery, evaluation, extraction, preparation, preparing, reads
 
-MODULES = (reads, corpus, evaluation, calling, preparing, preparation, extraction)
+MODULES = (reads, corpus, evaluation, calling, preparing, preparation, extraction, delivery)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -64,7 +64,7 @@ def prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = I.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    l = I.table(spark, sf_dir, "lineitem")
     return l.groupBy(F.col("l_orderkey").alias("read_id"), F.col("l_linenumber").alias("base_idx")).agg(F.round(F.max("l_discount") * 9, 6).alias("prob"))
 
 
@@ -179,7 +179,7 @@ SELECT read_id, CASE WHEN ac >= 90 AND (am >= 30 OR (abstain AND NOT disrupted))
 WITH {PREDICTIONS}, b AS (SELECT *, {BYTE.format('p2')} AS am, NOT junction_mapped OR coalesce(junction_indel != 0, false) AS disrupted FROM predictions)
 SELECT read_id AS read_name, format('{{:.6f}}', probs[1]) AS prob_0, CASE WHEN am >= 40 OR NOT disrupted THEN call ELSE 'unc' END AS predicted_aa, format('{{:.6f}}', p1) AS confidence, coalesce(CAST(junction_indel AS VARCHAR), '') AS junction_indel, CAST(junction_mapped AS INT) AS junction_mapped FROM b""",
     "k5_tagged_alignments": """
-WITH c AS (SELECT l_orderkey AS read_id, l_linenumber AS base_idx, round(max(l_discount) * 9, 6) AS prob FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+WITH c AS (SELECT l_orderkey AS read_id, l_linenumber AS base_idx, round(max(l_discount) * 9, 6) AS prob FROM lineitem GROUP BY 1, 2),
 t AS (SELECT read_id, arg_min(prob, base_idx) AS prob, arg_max(prob, base_idx) AS last_prob, string_agg(CAST(CAST(floor(prob * 255) AS INT) AS VARCHAR), ',' ORDER BY base_idx) AS ml FROM c GROUP BY 1)
 SELECT o_orderkey AS read_id, prob, ml, last_prob FROM orders LEFT JOIN t ON read_id = o_orderkey""",
     "j13_nearest_reference": f"""

@@ -101,7 +101,7 @@ def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of segment and priority, with the figures of those that have orders."""
-    o = I.table(spark, sf_dir, "orders").join(I.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderpriority like '1%' or o_orderstatus = 'F'")
+    o = I.table(spark, sf_dir, "orders").join(I.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     found = o.groupBy("c_mktsegment", "o_orderpriority").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"), F.stddev_samp("o_totalprice").alias("std"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
     grid = I.table(spark, sf_dir, "customer").select("c_mktsegment").distinct().join(F.broadcast(I.table(spark, sf_dir, "orders").select("o_orderpriority").distinct()))  # two handfuls of values
     return rounded(grid.join(found, ["c_mktsegment", "o_orderpriority"], "left"), 6)
@@ -184,7 +184,7 @@ SELECT CAST(i AS INT) AS label, round(CASE WHEN c > 0 THEN sqrt(n / (k * c)) ELS
     "a32_channel_stats": "SELECT CAST(i AS INT) AS channel, round(avg(CAST(embedding[i + 1] AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST(embedding[i + 1] AS DOUBLE)), 6) AS std, count(*) AS n FROM embeddings, range(64) t(i) GROUP BY 1",
     "j15_summary_grid": """
 WITH f AS (SELECT c_mktsegment, o_orderpriority, count(*) AS n, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS std, min(o_totalprice) AS low, max(o_totalprice) AS high
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority LIKE '1%' OR o_orderstatus = 'F' GROUP BY 1, 2)
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
 SELECT c_mktsegment, o_orderpriority, n, round(mean, 6) AS mean, round(std, 6) AS std, round(low, 6) AS low, round(high, 6) AS high
 FROM (SELECT DISTINCT c_mktsegment FROM customer) CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) LEFT JOIN f USING (c_mktsegment, o_orderpriority)""",
     "a36_best_model": """

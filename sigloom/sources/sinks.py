@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_corpus(chunks: DataFrame, path: str, by: str = "split", compression: str = "zstd") -> None:
-    """A corpus as Parquet, one folder a split; no rows is an error."""
+def write_corpus(chunks: DataFrame, path: str, by: str = "split", compression: str = "zstd") -> dict:
+    """A corpus as Parquet, one folder a split; no rows is an error. Gives back the rows of each split. They are counted as
+    they are written and again from the files, by their footers; a difference is an error. There are few splits."""
     if chunks.isEmpty():
         raise ValueError("there are no chunks to write")
-    chunks.write.partitionBy(by).option("compression", compression).parquet(path)
+    seen = Observation()
+    chunks.observe(seen, F.count("*").alias("n")).write.partitionBy(by).option("compression", compression).parquet(path)
+    there = chunks.sparkSession.read.schema(chunks.schema).parquet(path).groupBy(by).count()
+    found = {r[0]: r[1] for r in there.collect()}
+    if sum(found.values()) != seen.get["n"]:
+        raise ValueError(f"{path} holds {sum(found.values())} of {seen.get['n']} rows")
+    return found
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
@@ -44,13 +51,18 @@ def write_grid_summary(points: DataFrame, path: str) -> None:
 
 
 def checked_yield(extracted: DataFrame, planned: int, allow_shortfall: bool = False) -> int:
-    """Rows there are; none, or fewer than half of those planned, is an error unless allowed."""
+    """Rows there are; see `checked`."""
     n = extracted.count()
-    if not allow_shortfall and (n == 0 or n < 0.5 * planned):
-        raise ValueError(f"{n} of {planned} planned rows")
+    checked(n, planned, allow_shortfall)
     return n
 
 
+def checked(n: int, planned: int, allow_shortfall: bool = False) -> None:
+    """No rows of those planned is an error; fewer than half is one unless allowed."""
+    if n == 0 or (not allow_shortfall and n < 0.5 * planned):
+        raise ValueError(f"{n} of {planned} planned rows")
+
+
 def bundle(models: DataFrame) -> DataFrame:
     """pair, neg, pos, platt_a, platt_b of models that must share an architecture; unknown scalings are 1 and 0."""
     kinds = models.select("architecture").distinct().limit(2).collect()

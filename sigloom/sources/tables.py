@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,9 +68,12 @@ REQUIRED = ("read_id", "pod5", "anchor_end", "target")
 
 
 def manifest(spark: SparkSession, path: str, require: tuple[str, ...] = ()) -> DataFrame:
-    """A training manifest by its suffix (parquet, csv, else tab-separated). Missing columns, no rows and repeated reads
-    are errors; each check is one aggregate."""
-    rows = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, sep="," if path.endswith(".csv") else "\t", header=True, inferSchema=True)
+    """A training manifest by its suffix (parquet, csv, tsv or txt, the latter two tab-separated). Another suffix, missing
+    columns, no rows and repeated reads are errors; each check is one aggregate."""
+    if not (kind := re.search(r"\.(parquet|csv|tsv|txt)$", path.rstrip("/").lower())):
+        raise ValueError(f"{path}: a manifest is .parquet, .csv, .tsv or .txt")
+    path, suffix = path.rstrip("/"), kind[1]
+    rows = spark.read.parquet(path) if suffix == "parquet" else spark.read.csv(path, sep="," if suffix == "csv" else "\t", header=True, inferSchema=True)
     if missing := {*REQUIRED, *require} - set(rows.columns):
         raise ValueError(f"{path}: missing columns {sorted(missing)}")
     sizes = rows.groupBy("read_id").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
@@ -94,3 +99,12 @@ def mapped_only(alignments: DataFrame, min_mapq: int = 0, tags: tuple[str, ...]
 def cl_tag(tags: Column) -> Column:
     """The CL tag, else cl, as a small integer; null if it is no number."""
     return F.coalesce(tags["CL"].try_cast("smallint"), tags["cl"].try_cast("smallint"))
+
+
+def sha256(spark: SparkSession, path: str) -> str:
+    """The lowercase hex SHA-256 of one file's bytes, such as a level table's, by which its drift is seen. The file is read
+    as one value, so it is at most 2 GB."""
+    rows = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} is not one file")
+    return rows[0][0]
