@@ -190,13 +190,15 @@ def spread_residual(signal: Column, base_map: Column, bases: Column, expected: C
     return let(signal, base_map, bases, expected, of)
 
 
-def reference_map(query_map: Column, cigar: Column) -> Column:
+def reference_map(query_map: Column, cigar: Column, stride: int = 0) -> Column:
     """First sample of every reference base of an alignment, and the end: the places of the reference's bases in the read
-    (sequence.reference_places), each taken through the read's map by linear interpolation and rounded down. One walk."""
+    (sequence.reference_places), each taken through the read's map by linear interpolation and rounded down. One walk. A
+    map may be given as what it is beyond `stride` samples a base; then the even part is added before the rest, and a
+    place that is whole but for rounding may go the other way than by the sum of both."""
     def sample(m: Column, q: Column) -> Column:
         last = F.size(m) - 1
         low = F.least(F.floor(q).cast("int"), last - 1)
-        inside = (at(m, low + 1) - at(m, low)) * (q - low) + at(m, low)
-        return F.floor(F.when(q >= last, F.element_at(m, -1).cast("double")).otherwise(inside))
+        inside = (at(m, low + 1) - at(m, low) + stride) * (q - low) + low * stride + at(m, low)
+        return F.floor(F.when(q >= last, (F.element_at(m, -1) + last * stride).cast("double")).otherwise(inside))
 
     return let(query_map, reference_places(cigar), lambda m, p: F.transform(p, lambda q: sample(m, q)))

@@ -65,8 +65,8 @@ def reference_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sample of every reference base of every alignment, ten samples a read base and some uneven ones."""
     rows = alignments(spark, sf_dir)
     bases = F.aggregate("cigar", F.lit(0), lambda n, c: n + F.when(c["op"].isin(*sequence.ON_QUERY), c["len"]).otherwise(0))
-    query_map = F.transform(arrays.indices(bases + 1), lambda i: i * 10 + i % 7)
-    out = rows.select("read_id", F.posexplode(signal.reference_map(query_map, F.col("cigar"))).alias("base", "sample"))
+    uneven = F.transform(arrays.indices(bases + 1), lambda i: i % 7)
+    out = rows.select("read_id", F.posexplode(signal.reference_map(uneven, F.col("cigar"), stride=10)).alias("base", "sample"))
     return out.groupBy("read_id").agg(F.count("*").alias("n"), F.sum(F.col("base").cast("long") * F.col("sample")).alias("weighted"), F.max("sample").alias("end"))
 
 

@@ -38,6 +38,15 @@ def test_query(spark, duck, name):
     assert rows == sorted(tuple(map(plain, r)) for r in want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
+def test_reference_maps_of_places_that_are_whole_but_for_rounding(spark, tmp_path):
+    """One alignment of sf0.1 where the order of two additions decides a sample."""
+    duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.1/lineitem.parquet' WHERE l_orderkey = 54674) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = plans.QUERIES["p15_reference_maps"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == c.sql(plans.ORACLE["p15_reference_maps"]).fetchall() != []
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
