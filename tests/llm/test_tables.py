@@ -98,6 +98,19 @@ def test_op6_recall(spark):
     assert hits >= 0.95 * 10 * len(want)
 
 
+@pytest.mark.parametrize("size", [1e200, 1e160, 1e-170])
+def test_op6_components_whose_squares_are_no_doubles(spark, tmp_path, size):
+    x = np.random.default_rng(6).normal(size=(400, 8)) * (1 if size == 1e200 else size)
+    x[7] = max(size, x[7, 0])  # at 1e200 it is one row among plain ones
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = exact(range(400), x.tolist(), 100, 10)
+    got = {}
+    for r in sorted(queries.op6_nearest_neighbours(spark, str(tmp_path)).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert {q: [i for _, i in rows] for q, rows in got.items()} == {q: [i for _, i in rows] for q, rows in want.items()}
+    assert all(math.isclose(a, b) for q in want for (a, _), (b, _) in zip(got[q], want[q], strict=True))
+
+
 def test_op6_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 64))
