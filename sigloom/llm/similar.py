@@ -11,9 +11,11 @@ sets can share, and parities of a set's shingles bound from below what they don'
 is large: pairs beyond a bound go, and none of those is similar. What stays is held against whole sets.
 
 A group of n near copies has n * n pairs at each shingle. So first all classes at a shingle are held against its first
-and last class; these links and those already known give components, and then all pairs of a shingle whose components
-differ are looked at. A link within a component would change nothing. The pairs of a frequent shingle are dealt to tasks
-in blocks.
+and last class; these links and those already known give components. Copies that are alike to most of their group but to
+neither of the two stay outside of it, and each of them would meet the whole group. So what is outside of a shingle's
+largest component is held against some HUBS classes of it, others at each shingle, in up to TURNS turns. Then all pairs of a
+shingle whose components differ are looked at, but for those with its first or last class, which were. A link within a
+component would change nothing. The pairs of a frequent shingle are dealt to tasks in blocks.
 
 Rows without a doc_id or without words have no links. Rows that share a doc_id are one document with all their links.
 """
@@ -34,6 +36,8 @@ from .components import components
 SAMPLE, COMMON, OFTEN = 20_000, 100_000, 4  # documents in the sample, shingles sent to the workers, documents that hold one
 BLOCK = 2048  # classes at a shingle that a task holds against all others there
 PARITIES = 4  # longs
+HUBS, TURNS = 32, 2  # about how many classes of a component at a shingle the others there are held against, and how often
+WHOLE = 3  # classes at a shingle all of whose pairs have its first or last class
 CHUNK = 6 << 20  # bytes of keys that a task works on at once
 SLACK = 1e-9  # bounds in floating point let through rather than lose
 LOWER = np.arange(256, dtype=np.uint8)
@@ -306,13 +310,30 @@ def groups(documents: DataFrame, known: DataFrame, shingle: int = 5, similarity:
     known = known.unionByName(links(held.where((F.col("x.class") != F.col("y.class")) & possible("x", "y", similarity)).select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y"))))
     roots = kept(components(known), "roots")
 
-    rooted = keyed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    # a shingle of one component has no pair to look at
-    differ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-    rooted = kept(rooted.join(differ, "key").withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")), "rooted")
+    def rooted_by(roots: DataFrame) -> DataFrame:
+        return keyed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+    def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+        return kept(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
+
+    for turn in range(TURNS):
+        rooted = rooted_by(roots)
+        largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("n")).where(f"most.count < n and n > {WHOLE}")
+        sided = kept(rooted.join(largest, "key").select("key", entry.alias("e"), (F.col("root") == F.col("most.root")).alias("inside"), "most.count"), "sided")
+        drawn = F.pmod(F.xxhash64("e.class", "key", F.lit(turn)), F.col("count")) < HUBS
+        x, y = sided.where("not inside").select("key", F.col("e").alias("x")), sided.where("inside").where(drawn).select("key", F.col("e").alias("y"))
+        more = links(x.join(y, "key").where(possible("x", "y", similarity)).select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y")))
+        if more.isEmpty():
+            break
+        roots = joined(roots, more)
+
+    rooted = rooted_by(roots).join(ends.select("key", F.col("low.class").alias("first"), F.col("high.class").alias("last")), "key")
+    # a shingle of one component has no pair to look at, one of few classes none that was not held against its ends
+    differ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(f"low < high and n > {WHOLE}").select("key", "n")
+    rooted = kept(rooted.where("class != first and class != last").drop("first", "last").join(differ, "key").withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")), "rooted")
     x = rooted.where(near).withColumn("deal", F.pmod("class", "of").cast("int")).alias("x")
     y = rooted.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).alias("y")
     shorter = F.struct("x.size", "x.class") < F.struct("y.size", "y.class")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.deal") == F.col("y.deal")) & (F.col("x.root") != F.col("y.root")) & shorter & possible("x", "y", similarity))
     more = links(met.select(F.col("x.class").alias("x"), F.col("y.class").alias("y")))
-    return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return roots if more.isEmpty() else joined(roots, more)

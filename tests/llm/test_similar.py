@@ -108,3 +108,32 @@ def test_parities_bound_what_sets_do_not_share():
     longer = np.unique(np.concatenate((x, rng.integers(0, 2**63, 700, dtype=np.uint64))))
     assert 256 / 4 < similar.apart(similar.parities(x), similar.parities(longer)) <= 700
     assert similar.apart(similar.parities(longer), similar.parities(longer)) == 0
+
+
+def test_texts_outside_of_a_group_of_copies_do_not_meet_all_of_it(spark, monkeypatch):
+    """Copies that are alike to most of their group, but rarely to a given one of it."""
+    rng = random.Random(5)
+    o = fresh(rng, 120)
+    texts = [text(edited(o, rng, 1 + i % 4)) for i in range(400)]
+    rows = list(enumerate(texts, 1))
+    met = []
+    original = similar.perhaps_alike
+
+    def counted(similarity):
+        inner, seen = original(similarity), spark.sparkContext.accumulator(0)
+        met.append(seen)
+
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield from inner(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(similar, "perhaps_alike", counted)
+    known = spark.createDataFrame([], "a long, b long")
+    got = {d: d for d, _ in rows} | {r["node"]: r["root"] for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert got == smallest(rows, all_pairs(rows))
+    pairs = [m.value for m in met]
+    print(pairs)
+    assert pairs[-1] < 2 * len(rows)  # of the pairs whose components differ
