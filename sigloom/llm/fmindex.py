@@ -62,8 +62,10 @@ class FMIndex:
         while step < DEPTH:
             after = np.zeros(len(order), np.int64)
             after[:-step] = order[step:] + 1 if step < len(order) else 0
-            _, order = np.unique(order * (int(order.max(initial=0)) + 2) + after, return_inverse=True)
+            order = order * (int(order.max(initial=0)) + 2) + after
             step *= 2
+            if step < DEPTH:  # the last keys are sorted below: their ranks are not needed
+                _, order = np.unique(order, return_inverse=True)
         self.places = np.argsort(order, kind="stable")
         self.less = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=size))))
         self.wavelet = WaveletMatrix(text[self.places - 1], size)
