@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import indices, let
 
 PANEL = 5_000  # references that are sent along with the plan; larger panels are met in parts
+KEYS = 128  # subsequences of a text that may be its keys
 
 
 def nearest(decodes: DataFrame, text: str, references: DataFrame, name: str, sequence: str) -> DataFrame:
@@ -31,34 +34,58 @@ def nearest(decodes: DataFrame, text: str, references: DataFrame, name: str, seq
     return out.select("*", first["name"].alias("call"), first["d"].alias("distance"), F.coalesce(second["d"] - first["d"], F.lit(0)).alias("margin")).drop("best_")
 
 
+def subsequences(text: Column, less: int) -> Column:
+    """The distinct texts that are left without 0 to `less` of the letters."""
+    def without_one(t: Column) -> Column:
+        return F.transform(indices(F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i), F.substring(t, i + 2, F.length(t))))
+
+    def of(found: Column, last: Column, left: int) -> Column:
+        if not left:
+            return found
+        return let(F.array_distinct(F.flatten(F.transform(last, without_one))), lambda now: of(F.concat(found, now), now, left - 1))
+
+    return let(F.array(text), lambda t: of(t, t, less))
+
+
 def within(texts: DataFrame, text: str, references: DataFrame, sequence: str, distance: int) -> DataFrame:
     """text, sequence, distance: the distinct pairs at most that many edits apart, for panels of any size. Nulls pair with
     nothing; an empty text is a text.
 
-    A sequence is cut into distance + 1 even segments, one of which any text within the distance has unchanged. Sequences
-    are keyed by (length, number of the segment, segment), texts by their pieces where that segment can then stand: the
-    edits before and after it bound its shift. So a join on keys finds every pair, and only those it finds are measured.
-    A text emits some distance ** 3 keys: this is for a few edits; a segment that very many sequences share (a common
-    prefix as long as a segment) makes as many candidates, which Spark splits where they are skewed."""
+    An alignment of two texts that few edits apart has a letter in common in all places but those, so a sequence whose
+    subsequences are few (KEYS at most) meets the texts that share one of the length of the longer less the distance. A
+    longer sequence is cut into distance + 1 even segments, one of which any text within the distance has unchanged. Such
+    sequences are keyed by (length, number of the segment, segment), texts by their pieces where that segment can then
+    stand: the edits before and after it bound its shift. So a join on keys finds every pair, and only those it finds are
+    measured. A text emits some distance ** 3 keys: this is for a few edits; a segment that very many sequences share (a
+    common prefix as long as a segment) makes as many candidates, which Spark splits where they are skewed."""
     if distance < 0:
         raise ValueError("a distance is at least 0")
+    near = lambda met: met.select("s", "t", F.levenshtein("s", "t", distance).alias("d")).where("d >= 0").distinct()
+    short = distance
+    while sum(math.comb(short + 1, i) for i in range(distance + 1)) <= KEYS and distance:
+        short += 1
     n, size, i = F.col("n"), F.col("size"), F.col("i")
+    seen, listed = texts.select(F.col(text).alias("s")).where("s is not null").distinct(), references.select(F.col(sequence).alias("t")).where("t is not null").distinct()
+    kept = listed.where(F.length("t") <= short).select("t", F.explode(subsequences(F.col("t"), distance)).alias("key"))
+    asked = seen.where(F.length("s") <= short + distance).select("s", F.explode(subsequences(F.col("s"), distance)).alias("key"))
+    first = near(asked.join(kept, "key").where(F.length("key") == F.greatest(F.lit(0), F.greatest(F.length("s"), F.length("t")) - distance)))
+
     number = F.explode(F.sequence(F.lit(0), F.lit(distance))).alias("i")
     start = F.floor(i * size / (distance + 1)).cast("int")
     width = F.floor((i + 1) * size / (distance + 1)).cast("int") - start
-    rows = references.select(F.col(sequence).alias("t")).where("t is not null").distinct().select("t", F.length("t").alias("size"), number)
+    rows = listed.where(F.length("t") > short).select("t", F.length("t").alias("size"), number)
     kept = rows.select("t", "size", "i", F.substring("t", start + 1, width).alias("piece"))
 
-    rows = texts.select(F.col(text).alias("s")).where("s is not null").distinct().select("s", F.length("s").alias("n"))
-    rows = rows.select("*", F.explode(F.sequence(F.greatest(F.lit(0), n - distance), n + distance)).alias("size")).select("*", number)
+    rows = seen.select("s", F.length("s").alias("n")).where(n + distance > short)
+    rows = rows.select("*", F.explode(F.sequence(F.greatest(F.lit(short + 1), n - distance), n + distance)).alias("size")).select("*", number)
     low = F.greatest(F.lit(0), start - i, start + n - size - (distance - i))
     high = F.least(n - width, start + i, start + n - size + (distance - i))
     rows = rows.select("*", low.alias("low"), high.alias("high"), width.alias("width")).where("low <= high")
     rows = rows.select("*", F.explode(F.sequence("low", "high")).alias("at"))
     asked = rows.select("s", "size", "i", F.substring("s", F.col("at") + 1, F.col("width")).alias("piece")).distinct()
 
-    met = asked.join(kept, ["size", "i", "piece"]).select("s", "t").distinct().select("s", "t", F.levenshtein("s", "t", distance).alias("d"))
-    return met.where("d >= 0").select(F.col("s").alias("text"), F.col("t").alias("sequence"), F.col("d").alias("distance"))
+    met = first.unionByName(near(asked.join(kept, ["size", "i", "piece"])))
+    return met.select(F.col("s").alias("text"), F.col("t").alias("sequence"), F.col("d").alias("distance"))
 
 
 def nearest_within(decodes: DataFrame, text: str, references: DataFrame, name: str, sequence: str, distance: int) -> DataFrame:
