@@ -13,7 +13,7 @@ import numpy as np
 
 from . import blocks as B
 
-WORDS, CORES = 200_000, 800_000  # entries that a worker remembers
+WORDS, CORES = 40_000, 80_000  # entries that a worker remembers, and as many again that it looked up before
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,21 +44,29 @@ class LowerWordTokenizer:
         self.model = self.full.model
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.older_words: dict[bytes, bytes] = {}
+        self.older_cores: dict[str, bytes] = {}
 
     def core(self, s: str) -> bytes:
         got = self.cores.get(s)
         if got is None:
-            if len(self.cores) >= CORES:
-                self.cores.clear()
-            got = self.cores[s] = np.array([t.id for t in self.model.tokenize(written(s))], "<u4").tobytes()
+            if len(self.cores) >= CORES:  # what is in use comes over from the older ones, the rest is forgotten
+                self.older_cores, self.cores = self.cores, {}
+            got = self.older_cores.get(s)
+            if got is None:
+                got = np.array([t.id for t in self.model.tokenize(written(s))], "<u4").tobytes()
+            self.cores[s] = got
         return got
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """After this, the returned table has each of these words."""
         if len(self.words) > WORDS:
-            self.words.clear()
-        known, core = self.words, self.core
+            self.older_words, self.words = self.words, {}
+        known, older, core = self.words, self.older_words, self.core
         for w in words.difference(known):
+            if w in older:
+                known[w] = older[w]
+                continue
             s = w.decode("utf-8", "replace")
             m = None if "<|" in s else PLAIN.fullmatch(s)  # added tokens are written <|...|>
             if m:

@@ -628,3 +628,20 @@ def test_op2_deals_repeated_rows_to_all_buckets(spark):
     assert sorted(ranks) == list(range(20_000))
     sizes = [r["count"] for r in rows.groupBy(F.pmod(F.xxhash64("row"), F.lit(64))).count().collect()]
     assert len(sizes) == 64 and max(sizes) < 500
+
+
+def test_tokenizer_remembers_no_more_than_its_bounds(monkeypatch):
+    """Two generations of words: what is in use stays, the rest goes, and ids are the same."""
+    monkeypatch.setattr(tokens, "WORDS", 50)
+    monkeypatch.setattr(tokens, "CORES", 100)
+    lower = tokens.LowerWordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(40):
+        block = {f"word{chr(97 + k % 26)}{chr(97 + i)}({chr(97 + k // 26)}".encode() for i in range(20)} | {b"often"}
+        known = lower.learn(block)
+        for w in block:
+            assert np.frombuffer(known[w], "<u4").tolist() == lower.full.encode(w.decode(), add_special_tokens=False).ids
+        assert len(lower.words) + len(lower.older_words) <= 2 * (50 + len(block)) and len(lower.cores) + len(lower.older_cores) <= 200
+    made = {f"{chr(97 + i // 26)}{chr(97 + i % 26)}x".encode() for i in range(300)}
+    assert len(lower.learn(made)) >= 300 and len(lower.cores) + len(lower.older_cores) <= 200  # a block's words are all there
+    lower.learn({b"often"})
+    assert b"often" in lower.words
