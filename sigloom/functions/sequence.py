@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,12 +11,28 @@ from .arrays import at, indices, let, running
 MATCH, INSERT, DELETE, SKIP, SOFT, HARD, PAD, EQUAL, DIFFER = range(9)  # CIGAR operation codes
 MATCHING, ON_REFERENCE, ON_QUERY = (MATCH, EQUAL, DIFFER), (MATCH, DELETE, SKIP, EQUAL, DIFFER), (MATCH, INSERT, SOFT, EQUAL, DIFFER)
 
+LATER_BYTES = bytes(range(0x80, 0xC0))  # of a letter's UTF-8, all but the first
+ROWS = [bytes(49 if b in letters else 48 for b in range(256)) for letters in (b"Aa", b"Cc", b"Gg", b"TtUu")]
+
 
 def capital(sequence: Column) -> Column:
     """ASCII letters in upper case; unlike upper() this never changes a text's length."""
     return F.translate(sequence, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def recoded(text: Column, letters: str, codes: str) -> Column:
+    """translate() for ASCII letters, in tasks' own Python: a batch's bytes at once, where translate looks up a letter at a
+    time. Bytes of other letters are above ASCII and stay. No place for it in a lambda."""
+    table = bytes.maketrans(letters.encode("ascii"), codes.encode("ascii"))
+
+    def of(batch: pa.Array) -> pa.Array:
+        mask, offsets, data = batch.cast(pa.string()).buffers()
+        data = data and pa.py_buffer(data.to_pybytes().translate(table))
+        return pa.Array.from_buffers(pa.string(), len(batch), [mask, offsets, data], batch.null_count, batch.offset)
+
+    return F.arrow_udf(of, "string")(text)
+
+
 def motif_hits(sequence: Column, motif: str, start: Column | None = None, stop: Column | None = None) -> Column:
     """All places, overlapping ones too, where the motif stands in upper or lower case, inside [start, stop)."""
     if not motif:
@@ -40,6 +57,17 @@ def base_codes(sequence: Column) -> Column:
     return F.transform(letters, code)
 
 
+def _one_hot_rows(text: pa.Array) -> pa.Array:
+    rows = ([(raw or b"N").translate(t, LATER_BYTES).decode() for t in ROWS] if raw is not None else None for raw in text.cast(pa.binary()).to_pylist())
+    return pa.array(rows, pa.list_(pa.string()))
+
+
+def one_hot_rows(sequence: Column) -> Column:
+    """The rows of one_hot as texts of 0 and 1, a digit a letter, in tasks' own Python: a call a row, where expressions make
+    one a letter. An empty text has a 0, as one_hot has; null for null. No place for it in a lambda."""
+    return F.arrow_udf(_one_hot_rows, "array<string>")(sequence)
+
+
 def one_hot(sequence: Column) -> Column:
     """Four rows (A, C, G, T) of 0 and 1; other letters are 0 in all."""
     def row(codes: Column, base: int) -> Column:
@@ -49,9 +77,9 @@ def one_hot(sequence: Column) -> Column:
 
 
 def kmers(sequence: Column, k: int) -> Column:
-    """The k-mer that starts at every place, in upper case with T for U."""
-    upper = F.replace(capital(sequence), F.lit("U"), F.lit("T"))
-    return let(F.split(upper, ""), lambda s: F.transform(indices(F.size(s) - k + 1), lambda i: F.array_join(F.slice(s, i + 1, F.lit(k)), "")))
+    """The k-mer that starts at every place, in upper case with T for U. One pass: a letter is read, and the k from it on
+    are looked at. No place for it in a lambda."""
+    return F.regexp_extract_all(recoded(sequence, "abcdefghijklmnopqrstuvwxyzU", "ABCDEFGHIJKLMNOPQRSTTVWXYZT"), F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
 
 
 def context(sequence: Column, base: Column, before: int, after: int) -> Column:

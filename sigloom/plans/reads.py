@@ -73,7 +73,7 @@ LEVELS = "levels AS (SELECT concat(substring('ACGT', ((i >> 4) % 4) + 1, 1), sub
 
 def expected_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected level of every base of a document: that of the k-mer around it, 0 for unknown ones."""
-    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), I.bases(F.col("text")).alias("s"))
+    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), sequence.recoded(F.col("text"), I.LETTERS, I.AS_BASES).alias("s"))
     return chunks.expected_levels(docs, "read_id", "s", kmer_levels(spark), 3)
 
 
@@ -167,8 +167,8 @@ def anchored_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the one-hot encoding: how many ones each has, and a digest of the row, by document."""
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", sequence.one_hot(I.bases(F.col("text"))).alias("x"))
-    return docs.select("doc_id", F.posexplode("x").alias("base", "row")).select("doc_id", "base", F.aggregate("row", F.lit(0), lambda a, v: a + v).alias("ones"), F.md5(F.array_join(F.col("row").cast("array<string>"), "")).alias("digest"))
+    docs = I.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", sequence.one_hot_rows(sequence.recoded(F.col("text"), I.LETTERS, I.AS_BASES)).alias("x"))
+    return docs.select("doc_id", F.posexplode("x").alias("base", "row")).select("doc_id", "base", F.length(F.replace("row", F.lit("0"))).alias("ones"), F.md5("row").alias("digest"))
 
 
 def signal_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:

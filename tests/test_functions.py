@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import arrays, sequence, signal
+from sigloom.plans import reads
 
 
 def value(spark, column, **inputs):
@@ -107,3 +108,30 @@ def test_motif_hits_are_those_of_every_place(spark):
             assert got[i][1] == [p for p in want if p >= 2 and p + len(motif) <= 9]
     long = spark.range(1).select(arrays.running(F.sequence(F.lit(1), F.lit(2000))).alias("x")).first()["x"]
     assert long == [k * (k + 1) // 2 for k in range(2000)]
+
+
+def test_one_hot_rows_are_the_rows_of_one_hot(spark):
+    texts = ["ACGTUacgtuN", "", "A\x01C\nG", "a😀cgé T😀😀", None]
+    rows = spark.createDataFrame([(s,) for s in texts], "s string")
+    for r in rows.select("s", sequence.one_hot("s").alias("x"), sequence.one_hot_rows(F.col("s")).alias("rows")).collect():
+        assert r["rows"] == (None if r["s"] is None else ["".join(map(str, x)) for x in r["x"]])
+    same = rows.select(sequence.recoded(F.col("s"), "acgt", "tgca").eqNullSafe(F.translate("s", "acgt", "tgca")).alias("same"))
+    assert all(r["same"] for r in same.collect())
+
+
+def test_one_hot_query_takes_texts_alone_and_no_call_a_letter(spark, tmp_path):
+    spark.createDataFrame([(1, "Ab c"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = reads.encodings(spark, str(tmp_path))
+    assert [tuple(r)[:3] for r in out.orderBy("doc_id", "base").collect()] == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (1, 3, 0), (3, 0, 0), (3, 1, 0), (3, 2, 0), (3, 3, 0)]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kmers_are_cut_in_one_pass(spark):
+    texts = ["ACgUNa", "", "A\r\nC\nG", "a😀cgé😀", "ac", None]
+    rows = spark.createDataFrame([(s,) for s in texts], "s string")
+    for k in (1, 3):
+        out = rows.select("s", sequence.kmers(F.col("s"), k).alias("x"))
+        for r in out.collect():
+            upper = r["s"] and "".join(c.upper() if c.isascii() else c for c in r["s"]).replace("U", "T")
+            assert r["x"] == (None if r["s"] is None else [upper[i : i + k] for i in range(len(upper) - k + 1)])
+        assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
