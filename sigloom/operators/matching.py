@@ -16,22 +16,24 @@ KEYS = 128  # subsequences of a text that may be its keys
 def nearest(decodes: DataFrame, text: str, references: DataFrame, name: str, sequence: str) -> DataFrame:
     """Adds call, distance and margin (the runner-up's distance less the call's; 0 for a tie or a single reference). Of
     equal distances the smaller name wins. The panel is a bounded table of references, read by the driver; each part of
-    PANEL rows narrows the best two further, so a text is measured once against every reference and never shuffled."""
+    PANEL rows narrows the best two further. A distinct text is measured once against every reference, however many rows
+    have it; rows get its call by a join."""
     panel = sorted((r[name], r[sequence]) for r in references.select(name, sequence).where(F.col(name).isNotNull() & F.col(sequence).isNotNull()).toLocalIterator())
     if not panel:
         raise ValueError("the reference panel is empty")
     kind = f"array<struct<d: int, name: {references.schema[name].dataType.simpleString()}>>"
-    out = decodes.withColumn("best_", F.array().cast(kind))
+    out = decodes.select(F.col(text).alias("text_")).distinct().withColumn("best_", F.array().cast(kind))
 
     def closest(t: Column, part: Column, before: Column) -> Column:
         measured = F.transform(part, lambda r: F.struct(F.levenshtein(t, r["sequence"]).alias("d"), r["name"].alias("name")))
-        return F.slice(F.array_sort(F.concat(before, measured)), F.lit(1), F.lit(2))
+        return F.slice(F.sort_array(F.concat(before, measured)), F.lit(1), F.lit(2))
 
     for k in range(0, len(panel), PANEL):
         part = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("sequence")) for n, s in panel[k : k + PANEL]])
-        out = out.withColumn("best_", let(F.col(text), part, F.col("best_"), closest))
+        out = out.withColumn("best_", let(F.col("text_"), part, F.col("best_"), closest))
     first, second = F.get("best_", F.lit(0)), F.get("best_", F.lit(1))
-    return out.select("*", first["name"].alias("call"), first["d"].alias("distance"), F.coalesce(second["d"] - first["d"], F.lit(0)).alias("margin")).drop("best_")
+    calls = out.select("text_", first["name"].alias("call"), first["d"].alias("distance"), F.coalesce(second["d"] - first["d"], F.lit(0)).alias("margin"))
+    return decodes.join(calls, decodes[text].eqNullSafe(calls["text_"]), "left").drop("text_")
 
 
 def subsequences(text: Column, less: int) -> Column:
