@@ -87,26 +87,39 @@ def reference_motifs(alignments: DataFrame, references: DataFrame, motif: str, a
     differs by TOLERANCE at most. anchor: the position is the read's, or the reference's from the alignment's start; only
     the latter can do without mapping. Alignments meet the motifs of the bins that they reach into. Alignments (read_id, reference_name, reference_start, cigar) of unknown references
     have no motif; references are (reference_name, sequence)."""
-    if anchor not in ("query", "reference"):
-        raise ValueError(f"anchor is query or reference, not {anchor!r}")
-    if anchor == "query" and not require_mapping:
-        raise ValueError("positions of the read need a mapping")
-    n = len(motif)
-    end = F.col("reference_start") + F.aggregate("cigar", F.lit(0).cast("long"), lambda s, c: s + F.when(c["op"].isin(*sequence.ON_REFERENCE), c["len"].cast("long")).otherwise(F.lit(0)))
-    spans = alignments.withColumn("end_", end).where(F.col("end_") > F.col("reference_start"))
-    bins = F.sequence(F.floor(F.greatest(F.col("reference_start"), F.lit(0)) / BIN).cast("int"), F.floor((F.col("end_") - 1) / BIN).cast("int"))
+    rule = {"anchor": anchor, "skip_indels": skip_indels, "allow_edge_indels": allow_edge_indels, "require_mapping": require_mapping}
+    return motifs_by_rule(alignments, references, motif, {"": rule}).drop("rule")
+
+
+def motifs_by_rule(alignments: DataFrame, references: DataFrame, motif: str, rules: dict[str, dict]) -> DataFrame:
+    """The rows of reference_motifs under each of some rules (name: its options), and the rule's name as `rule`. A motif is
+    taken through an alignment once, whatever the number of rules."""
+    n, first, start = len(motif), F.col("reference_start"), F.col("p")
+    end = first + F.aggregate("cigar", F.lit(0).cast("long"), lambda s, c: s + F.when(c["op"].isin(*sequence.ON_REFERENCE), c["len"].cast("long")).otherwise(F.lit(0)))
+    length, mapped = F.col("x.q_stop") - F.col("x.q_start"), F.col("x").isNotNull()
+
+    def outcome(name: str, anchor: str = "query", skip_indels: bool = False, allow_edge_indels: bool = False, require_mapping: bool = True) -> Column:
+        if anchor not in ("query", "reference"):
+            raise ValueError(f"anchor is query or reference, not {anchor!r}")
+        if anchor == "query" and not require_mapping:
+            raise ValueError("positions of the read need a mapping")
+        kept = F.lit(True)
+        if require_mapping:
+            fits = (length == n) & ~indel_inside(F.col("cigar"), first, start, start + n, allow_edge_indels) if skip_indels else F.abs(length - n) <= TOLERANCE
+            kept = mapped & fits
+        position = F.col("x.q_start") if anchor == "query" else (start - first).cast("long")
+        return F.struct(F.lit(name).alias("rule"), position.alias("position"), kept.alias("kept"))
+
+    outcomes = [outcome(name, **options) for name, options in rules.items()]
+    spans = alignments.withColumn("end_", end).where(F.col("end_") > first)
+    bins = F.sequence(F.floor(F.greatest(first, F.lit(0)) / BIN).cast("int"), F.floor((F.col("end_") - 1) / BIN).cast("int"))
     met = spans.where("end_ > 0").withColumn("bin", F.explode(bins)).join(motif_places(references, motif, BIN), ["reference_name", "bin"])
-    inside = F.filter("places", lambda p: (p >= F.col("reference_start")) & (p + n <= F.col("end_")))
+    inside = F.filter("places", lambda p: (p >= first) & (p + n <= F.col("end_")))
     hits = met.select("read_id", "reference_start", "cigar", F.explode(inside).alias("p"))
-    start, first = F.col("p"), F.col("reference_start")
+    # a generator keeps the outcome's filter from being written with the whole walk in it, once for each use
     hits = hits.withColumn("x", sequence.query_interval(F.col("cigar"), first, start, start + n, advance_skips=False))
-    length = F.col("x.q_stop") - F.col("x.q_start")
-    hits = hits.withColumn("junction_mapped", F.col("x").isNotNull()).withColumn("junction_indel", F.coalesce(length - n, F.lit(0)))
-    if require_mapping:
-        fits = (length == n) & ~indel_inside(F.col("cigar"), first, start, start + n, allow_edge_indels) if skip_indels else F.abs(length - n) <= TOLERANCE
-        hits = hits.where(F.col("junction_mapped") & fits)
-    position = F.col("x.q_start") if anchor == "query" else (start - first).cast("long")
-    return hits.select("read_id", position.alias("position"), "junction_indel", "junction_mapped")
+    each = hits.select("read_id", F.coalesce(length - n, F.lit(0)).alias("junction_indel"), mapped.alias("junction_mapped"), F.explode(F.array(*outcomes)).alias("o"))
+    return each.where("o.kept").select("read_id", "o.position", "junction_indel", "junction_mapped", "o.rule")
 
 
 def check_shapes(rows: DataFrame, signal_len: int, features: int | None = None, channels: int = 1, signal: str = "chunk_signal", feature: str = "chunk_features") -> DataFrame:

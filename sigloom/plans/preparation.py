@@ -87,11 +87,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Motifs of the reference in every read, by lenient and strict rules, and by the reference's own coordinate."""
-    out = None
-    for rule, options in RULES.items():
-        one = preparing.reference_motifs(named_alignments(spark, sf_dir), references(spark, sf_dir), "CA", **options).withColumn("rule", F.lit(rule))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return preparing.motifs_by_rule(named_alignments(spark, sf_dir), references(spark, sf_dir), "CA", RULES)
 
 
 RULES = {"lenient": {}, "strict": {"skip_indels": True}, "reference": {"anchor": "reference", "require_mapping": False}}

@@ -360,3 +360,24 @@ def test_normalised_samples_keep_their_rows(spark):
     assert got[(1, 3)] == pytest.approx((9 - 3.5) / (1.4826 * 2))
     with pytest.raises(ValueError):
         normalize.normalised(samples, "other")
+
+
+def test_nearest_measures_a_distinct_text_once(spark):
+    """Rows of one text share one measurement; nulls stay rows."""
+    decodes = spark.createDataFrame([(i, (None, "ab", "ac")[i % 3]) for i in range(30)], "id int, s string")
+    panel = spark.createDataFrame([("x", "ab"), ("y", "acd")], "name string, sequence string")
+    out = matching.nearest(decodes, "s", panel, "name", "sequence")
+    got = {tuple(r)[1:] for r in out.collect()}
+    assert out.count() == 30 and got == {(None, "x", None, 0), ("ab", "x", 0, 2), ("ac", "x", 1, 0)}
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_motifs_by_rule_walk_an_alignment_once(spark):
+    cigar = "array(named_struct('op', 0, 'len', 3), named_struct('op', 2, 'len', 2), named_struct('op', 0, 'len', 9))"
+    reads = spark.range(3).selectExpr("id as read_id", "0L as reference_name", "int(id) as reference_start", f"{cigar} as cigar")
+    refs = spark.createDataFrame([(0, "ACACGACCACACACGACA")], "reference_name long, sequence string")
+    rules = {"lenient": {}, "strict": {"skip_indels": True}, "reference": {"anchor": "reference", "require_mapping": False}}
+    out = preparing.motifs_by_rule(reads, refs, "CA", rules)
+    for rule, options in rules.items():
+        one = sorted(map(tuple, preparing.reference_motifs(reads, refs, "CA", **options).collect()))
+        assert one and one == sorted(tuple(r)[:4] for r in out.where(F.col("rule") == rule).collect())
