@@ -117,3 +117,15 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "id int, signal array<double>, map array<int>, levels array<double>")
     got = {r["id"]: r["map"] for r in refine.refine(df, "id", half=1).collect()}
     assert got[1][0] == 0 and got[1][-1] == 6 and got[2] == [0, 1] and got[3] == [0, 1, 2] and got[4] == [0, 1] and got[5] == []
+
+
+def test_a_band_of_many_samples_takes_few_calls(monkeypatch):
+    """Dwells take slices of the band: no clipping of indices and no choice over whole bands for each."""
+    signal, base_map, levels = np.sin(np.arange(90.0)), np.arange(0, 91, 3), np.arange(30) % 5 * 1.0
+    want = refine.boundaries(signal, base_map, levels)
+
+    def refused(*_, **__):
+        raise AssertionError("indices are clipped")
+
+    monkeypatch.setattr(refine.np, "clip", refused)
+    assert (refine.boundaries(signal, base_map, levels) == want).all() and (want != base_map).any()
