@@ -46,7 +46,7 @@ ARROW = pa.schema([
     ("next_reference_name", pa.string()), ("next_reference_start", pa.int32()), ("template_length", pa.int32()), ("tag_types", pa.map_(pa.string(), pa.string())),
     *[(name, pa.bool_()) for name in BITS],
 ])
-NIBBLES = str.maketrans("0123456789abcdef", BASES)
+NIBBLES, CODES, KNOWN = str.maketrans("0123456789abcdef", BASES), str.maketrans(BASES, "0123456789abcdef"), frozenset(BASES)
 SPLIT_BYTES, ROWS, LARGEST, CHAIN = 32 << 20, 2048, 1 << 28, 8
 HEAD = struct.Struct("<iiBBHHHiiii")
 
@@ -118,7 +118,10 @@ def packed(row: dict, places: dict[str, int]) -> bytes:
         raise ValueError(f"a read's name has {len(name) - 1} bytes, at most 254 fit")
     start = -1 if row.get("reference_start") is None else row["reference_start"]
     span = sum(c["len"] for c in cigar if c["op"] in (0, 2, 3, 7, 8)) or 1
-    codes = "".join(f"{BASES.index(c):x}" for c in sequence.upper().replace("U", "T"))
+    letters = sequence.upper().replace("U", "T")
+    if not KNOWN.issuperset(letters):
+        raise ValueError(f"a sequence has {', '.join(sorted(set(letters) - KNOWN))}, which no record can hold")
+    codes = letters.translate(CODES)
     scores = row.get("qualities")
     at = lambda key: -1 if row.get(key) is None else places[row[key]]
     next_start = -1 if row.get("next_reference_start") is None else row["next_reference_start"]
@@ -129,6 +132,20 @@ def packed(row: dict, places: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+def values_of(column: pa.Array) -> list:
+    """A column's values as to_pylist gives them; maps and lists of structs are taken apart as a whole, not value by value."""
+    kind = column.type
+    if pa.types.is_map(kind):
+        parts = list(zip(column.keys.to_pylist(), column.items.to_pylist(), strict=True))
+    elif pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
+        fields = [f.name for f in kind.value_type]
+        parts = [dict(zip(fields, x, strict=True)) for x in zip(*(f.to_pylist() for f in column.values.flatten()), strict=True)]
+    else:
+        return column.to_pylist()
+    at = column.offsets.to_pylist()
+    return [parts[a:b] if there else None for a, b, there in zip(at, at[1:], column.is_valid().to_pylist(), strict=False)]
+
+
 def packed_header(references: list[tuple[str, int]], text: str = "") -> bytes:
     raw = text.encode()
     parts = [b"BAM\1", struct.pack("<i", len(raw)), raw, struct.pack("<i", len(references))]
@@ -419,8 +436,8 @@ class BamWriter(DataSourceArrowWriter):
                 writer.add(packed_header(self.references, self.text))
                 writer.flush()
             for batch in iterator:
-                for row in batch.to_pylist():
-                    writer.add(packed(row, places))
+                for values in zip(*map(values_of, batch.columns), strict=True):
+                    writer.add(packed(dict(zip(batch.schema.names, values, strict=True)), places))
                     n += 1
             writer.flush()
             if not self.single:

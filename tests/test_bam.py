@@ -4,6 +4,7 @@ import gzip
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,19 @@ def test_a_head_in_the_data_is_no_block(tmp_path):
     system, inside = bgzf.opened(str(path))
     with system.open_input_file(inside) as file:
         assert bgzf.first_block(file, 1, path.stat().st_size) == len(stored)
+
+
+def test_a_sequence_is_packed_as_a_whole_and_unknown_letters_are_named():
+    row = {"read_id": "r", "sequence": bam.BASES + "acgun"}
+    assert bam.parsed(bam.packed(row, {})[4:], [])[6] == bam.BASES + "ACGTN"
+    for letter in "EFI5":  # some of them would read as codes
+        with pytest.raises(ValueError, match=f"a sequence has {letter}"):
+            bam.packed({"read_id": "r", "sequence": f"AC{letter}G"}, {})
+
+
+def test_columns_are_taken_apart_as_they_are():
+    kinds = {"c": pa.list_(pa.struct([("op", pa.int32()), ("len", pa.int32())])), "t": pa.map_(pa.string(), pa.string()), "s": pa.string()}
+    columns = {"c": [[{"op": 0, "len": 3}, {"op": 1, "len": 2}], None, [], [{"op": 2, "len": None}]], "t": [[("a", "1"), ("b", None)], [], None, [("c", "2")]], "s": ["x", None, "", "y"]}
+    for name, kind in kinds.items():
+        for column in (whole := pa.array(columns[name], kind), whole.slice(1), whole.slice(0, 1), whole.slice(4)):
+            assert bam.values_of(column) == column.to_pylist()
