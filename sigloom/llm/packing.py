@@ -31,19 +31,16 @@ BUCKET = 200_000  # pieces that are ranked in one window, of all lengths
 
 def pieces(batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """The vocabulary drops white space, so a text's ids are its words' ids one after another."""
-    end = np.asarray([end_id], "<u4").tobytes()
     tokenizer = T.lower_words(path)
     for block in B.blocks(batches, owner="packing"):
-        texts = [t.split() for t in block.texts()]
-        known = tokenizer.learn({w for t in texts for w in t})
-        ids = block.batch.column("doc_id").to_pylist()
+        found, upto = tokenizer.ids(block)
+        raw = memoryview(np.insert(found, upto[1:], end_id).astype("<u4", copy=False)).cast("B")
+        upto = (upto + np.arange(block.n + 1)).tolist()  # with the end ids
         out: list[tuple] = []
-        for doc, words in zip(ids, texts, strict=True):
-            raw = b"".join([known[w] for w in words]) + end
-            total = len(raw) // 4
-            for start in range(0, total, limit):
-                part = raw[4 * start : 4 * (start + limit)]
-                out.append((doc, start, len(part) // 4, zlib.crc32(part), total))
+        for doc, first, last in zip(block.batch.column("doc_id").to_pylist(), upto, upto[1:], strict=False):
+            for start in range(first, last, limit):
+                stop = min(start + limit, last)
+                out.append((doc, start - first, stop - start, zlib.crc32(raw[4 * start : 4 * stop]), last - first))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 

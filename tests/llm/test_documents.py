@@ -645,3 +645,40 @@ def test_tokenizer_remembers_no_more_than_its_bounds(monkeypatch):
     assert len(lower.learn(made)) >= 300 and len(lower.cores) + len(lower.older_cores) <= 200  # a block's words are all there
     lower.learn({b"often"})
     assert b"often" in lower.words
+
+
+def test_op2_ids_of_random_texts():
+    """Texts side by side in a block give the library's own ids: endings, case, marks that join letters, special strings."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    parts = ["a", "b", "'s", "'T", "'re", "'VE", "'l", "'ll", "'", "''", "r", "e", "É", "é", "ß", "ÿ", "×", "÷", "ª", "ñ", "À", " ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x01", "\x7f", "\xa0", "\x85", " "]
+    parts += ["1", "23", "!", ",", "\"", "<", "|", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "日", "J", "̌", "I", "̇", "́", "İ", "²", "Ⅷ", "٣", "_", "The", " cat", ".", "Σ", "K", "ǅ", "Ā", "Ã"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    full = Tokenizer.from_file(path)
+    for size in [0, 1, 1, 2, *[400] * 25]:
+        texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 5, 12]))) for _ in range(size)]
+        texts = [None if t == "" and rng.random() < 0.5 else t for t in texts]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(size), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        got = [r for b in packing.pieces(iter([batch]), path, 7, 1) for r in b.to_pylist()]
+        want = []
+        for i, t in enumerate(texts):
+            ids = full.encode(t or "", add_special_tokens=False).ids + [1]
+            want += [(i, s, len(ids[s : s + 7]), zlib.crc32(np.array(ids[s : s + 7], "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 7)]
+        assert [tuple(r.values()) for r in got] == want
+
+
+def test_op2_handles_a_pretoken_once_whatever_stands_beside_it():
+    """Case and punctuation make no new words, and the new ones of a block are merged together."""
+    import pyarrow as pa
+
+    stems = [f"stem{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    text = " ".join(w for s in stems for w in (s, s.title(), s.upper(), s + ",", s + ".", f"({s})", s + "'s", f'"{s}!"'))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    blocks._kept.clear()
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], names=["doc_id", "text"])
+    list(packing.pieces(iter([batch]), path, 2048, 1))
+    assert len(tokens.lower_words(path).words) == len(stems) + 7
